@@ -3,4 +3,4 @@
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
-from . import timing_queries, index_queries  # noqa: E402,F401  registration
+from . import clip_queries, index_queries, timing_queries  # noqa: E402,F401  registration
