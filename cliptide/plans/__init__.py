@@ -3,4 +3,5 @@
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
-from . import clip_queries, index_queries, timing_queries  # noqa: E402,F401  registration
+from . import audio_queries, capability_queries, clip_queries, index_queries  # noqa: E402,F401  registration
+from . import playout_queries, timing_queries  # noqa: E402,F401

@@ -161,23 +161,26 @@ def j7(metadata_ref, metadata_node):
     return md.with_known_target(metadata_ref, metadata_node, "Package")
 
 
-@query("j8_package_tracks", ["metadata_node"], """
+@query("j8_package_tracks", ["customer", "metadata_node"], """
 , p as (select concat('C', cast(c_custkey as varchar)) as uid, [concat('N', cast(c_nationkey as varchar)),
     concat('R', cast(c_nationkey % 6 as varchar)), concat('N', cast(c_custkey % 30 as varchar))] as refs from customer),
 o as (select uid, unnest(range(0, 3)) as position, unnest(refs) as to_uid from p),
 k as (select uid as to_uid, min(kind) as target_kind from metadata_node where uid is not null group by uid)
 select o.uid, cast(position as int) as position, o.to_uid, target_kind from o left join k using (to_uid)""")
-def j8(metadata_node):
-    raise NotImplementedError
-
-
-def _j8(spark, sf_dir):
-    from ..sources import load, view
+def j8(customer, metadata_node):
     text = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
-    packages = load(spark, sf_dir, "customer").select(
+    packages = customer.select(
         text("C", c("c_custkey")).alias("uid"),
         F.array(text("N", c("c_nationkey")), text("R", c("c_nationkey") % 6), text("N", c("c_custkey") % 30)).alias("refs"))
-    return md.resolve_ordered_refs(packages, view(spark, sf_dir, "metadata_node"))
+    return md.resolve_ordered_refs(packages, metadata_node)
+
+
+@query("j7_untracked_descriptors", ["metadata_ref", "metadata_node"], """
+select from_uid, to_uid from metadata_ref r where not exists
+  (select 1 from metadata_node n where n.uid = r.from_uid and n.kind = 'Track')""")
+def j7_anti(metadata_ref, metadata_node):
+    tracks = metadata_node.where("kind = 'Track'").select(c("uid").alias("from_uid"))
+    return metadata_ref.join(tracks, "from_uid", "left_anti")
 
 
 @query("j9_proxy_association", ["clip", "proxy"], """
@@ -294,28 +297,15 @@ def v10(message_log):
                               (F.length("opcode") > 8).alias("name_over"))
 
 
-MANIFEST = """
+@query("j17_manifest_check", ["documents"], """
 , m as (select doc_id as item_id, sha256(text) as digest from documents where doc_id % 13 <> 4),
 e as (select doc_id as item_id, case when doc_id % 17 = 3 then sha256(concat(text, '!')) else sha256(text) end as expected
-  from documents where doc_id % 19 <> 5)"""
-
-
-def _j17(spark, sf_dir):
-    from ..sources import load
-    docs = load(spark, sf_dir, "documents").select(c("doc_id").alias("item_id"), c("text").alias("content"))
+  from documents where doc_id % 19 <> 5)
+select coalesce(m.item_id, e.item_id) as item_id, case when m.item_id is null then 'missing' when e.item_id is null then 'unexpected'
+  when digest = expected then 'ok' else 'changed' end as status from m full outer join e on m.item_id = e.item_id""")
+def j17(documents):
+    docs = documents.select(c("doc_id").alias("item_id"), c("text").alias("content"))
     # Planted: some media are absent, some are not in the manifest, some have another digest there.
-    manifest = docs.where("item_id % 19 <> 5").select(
-        "item_id", F.sha2(F.when(c("item_id") % 17 == 3, F.concat("content", F.lit("!"))).otherwise(c("content")), 256).alias("expected"))
+    listed = F.when(c("item_id") % 17 == 3, F.concat("content", F.lit("!"))).otherwise(c("content"))
+    manifest = docs.where("item_id % 19 <> 5").select("item_id", F.sha2(listed, 256).alias("expected"))
     return md.manifest_check(docs.where("item_id % 13 <> 4"), manifest)
-
-
-def _register_raw():
-    from .registry import ORACLE, QUERIES
-    QUERIES["j8_package_tracks"] = _j8
-    QUERIES["j17_manifest_check"] = _j17
-    ORACLE["j17_manifest_check"] = "with" + MANIFEST.strip()[1:] + """
-select coalesce(m.item_id, e.item_id) as item_id, case when m.item_id is null then 'missing' when e.item_id is null then 'unexpected'
-  when digest = expected then 'ok' else 'changed' end as status from m full outer join e on m.item_id = e.item_id"""
-
-
-_register_raw()

@@ -6,7 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import view
+from ..sources import load, view
+from ..sources.adapters import VIEWS as SPARK_VIEWS
 from .oracle_views import NEEDS, VIEWS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,21 +21,23 @@ def with_views(body: str, views: Sequence[str], recursive: bool = False) -> str:
     names: list[str] = []
     for v in views:
         for n in (*NEEDS.get(v, ()), v):
-            if n not in names:
+            if n in VIEWS and n not in names:
                 names.append(n)
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
     body = body.strip()
     joint = "" if body.startswith(",") else "\n"
     word = "with recursive" if recursive else "with"
-    return f"{word} {ctes}{joint}{body}" if ctes else body
+    if not ctes:
+        return f"{word} {body[1:].lstrip()}" if body.startswith(",") else body
+    return f"{word} {ctes}{joint}{body}"
 
 
 def query(name: str, views: Sequence[str] = (), sql: str | None = None, recursive: bool = False):
-    """Register ``fn(*view DataFrames)`` under ``name``; ``fn`` receives the views in order."""
+    """Register ``fn`` under ``name``; it receives the named views or driver tables in order."""
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(*(view(spark, sf_dir, v) for v in views))
+            return fn(*((view if v in SPARK_VIEWS else load)(spark, sf_dir, v) for v in views))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
