@@ -38,6 +38,7 @@ def ordered_scan(
     sums: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    befores: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Add position-dependent columns along ``order`` within ``keys``.
@@ -46,13 +47,15 @@ def ordered_scan(
     sums   running sum up to and including the row
     lags   value of the previous row
     lasts  last non-null value up to and including the row
+    befores  last non-null value strictly before the row
     maxes  running maximum up to and including the row
 
     Keys must not be null; ``order`` is ascending.
     """
-    sums, lags, lasts, maxes = (dict(m or {}) for m in (sums, lags, lasts, maxes))
+    sums, lags, lasts, befores, maxes = (dict(m or {}) for m in (sums, lags, lasts, befores, maxes))
+    known = lasts | befores
     keep = df.columns
-    values = {f"_v_{n}": c for m in (sums, lags, lasts, maxes) for n, c in m.items()}
+    values = {f"_v_{n}": c for m in (sums, lags, known, maxes) for n, c in m.items()}
     rows = df.withColumns({"_chunk": chunk, **values})
     place = F.struct(*order)
 
@@ -61,7 +64,7 @@ def ordered_scan(
     summary += [F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums]
     summary += [F.max_by(F.struct(F.col(f"_v_{n}").alias("v")), place).alias(f"_t_{n}") for n in lags]
     summary += [
-        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_l_{n}") for n in lasts
+        F.max_by(f"_v_{n}", F.when(F.col(f"_v_{n}").isNotNull(), place)).alias(f"_l_{n}") for n in known
     ]
     summary += [F.max(f"_v_{n}").alias(f"_m_{n}") for n in maxes]
     heads = rows.groupBy(*keys, "_chunk").agg(*summary)
@@ -71,7 +74,7 @@ def ordered_scan(
     carried = [F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_c_n")] if rank else []
     carried += [F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in sums]
     carried += [F.lag(f"_t_{n}").over(across).alias(f"_c_{n}") for n in lags]
-    carried += [F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts]
+    carried += [F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in known]
     carried += [F.max(f"_m_{n}").over(before).alias(f"_c_{n}") for n in maxes]
     carry = heads.select(*keys, "_chunk", *carried)
 
@@ -83,6 +86,8 @@ def ordered_scan(
     local |= {f"_w_{n}": F.sum(f"_v_{n}").over(upto) for n in sums}
     local |= {f"_w_{n}": F.lag(f"_v_{n}").over(within) for n in lags}
     local |= {f"_w_{n}": F.last(f"_v_{n}", ignorenulls=True).over(upto) for n in lasts}
+    ahead = within.rowsBetween(Window.unboundedPreceding, -1)
+    local |= {f"_w_{n}": F.last(f"_v_{n}", ignorenulls=True).over(ahead) for n in befores}
     local |= {f"_w_{n}": F.max(f"_v_{n}").over(upto) for n in maxes}
 
     # Windows first: their sort by (keys, chunk, order) also serves the join on (keys, chunk).
@@ -94,6 +99,6 @@ def ordered_scan(
     out += [
         F.when(F.col("_rn") == 1, F.col(f"_c_{n}")["v"]).otherwise(F.col(f"_w_{n}")).alias(n) for n in lags
     ]
-    out += [F.coalesce(f"_w_{n}", f"_c_{n}").alias(n) for n in lasts]
+    out += [F.coalesce(f"_w_{n}", f"_c_{n}").alias(n) for n in known]
     out += [F.greatest(f"_w_{n}", f"_c_{n}").alias(n) for n in maxes]
     return both.select(*out)
