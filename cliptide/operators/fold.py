@@ -50,6 +50,9 @@ class Machine:
     def state_fields(self) -> list[T.StructField]:
         return T.StructType.fromDDL(self.state).fields
 
+    def output_fields(self) -> list[T.StructField]:
+        return T.StructType.fromDDL(self.outputs).fields
+
     def state_names(self) -> list[str]:
         return [f.name for f in self.state_fields()]
 
@@ -71,7 +74,7 @@ def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: S
     ordered = log.repartition(*group).sortWithinPartitions(*group, "_place", *order)
 
     key_fields = [rows.schema[k] for k in group]
-    out_fields = machine.state_fields() if ends else T.StructType.fromDDL(machine.outputs).fields
+    out_fields = machine.state_fields() if ends else machine.output_fields()
     schema = T.StructType([*(key_fields if ends else key_fields[:-1]), *out_fields])
     arrow = to_arrow_schema(schema)
     width = len(group) if ends else len(keys)
