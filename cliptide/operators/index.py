@@ -10,6 +10,8 @@ from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 # Samples per bucket of an interval join: about one packet of a 48 kHz clip at 25 frames per second.
 SAMPLES_PER_BUCKET = 2048
+# Samples per chunk of a gap audit: about 23 minutes at 48 kHz, some tens of thousands of packets.
+SAMPLES_PER_CHUNK = 1 << 26
 
 
 def essence_kind(key: Column) -> Column:
@@ -100,7 +102,7 @@ def requests_on_index(requests: DataFrame, index: DataFrame, width: int = SAMPLE
     return interval_join(requests, index, ["clip_id"], ("req_start", "req_end"), ("start_sample", "end_sample"), width)
 
 
-def gap_audit(index: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
+def gap_audit(index: DataFrame, chunk_width: int = SAMPLES_PER_CHUNK) -> DataFrame:
     """Start of each block against the end of the one before it: ok, gap or overlap."""
     seen = ordered_scan(
         index, ["clip_id", "channel"], ["start_sample", "edit_unit", "copy"], div("start_sample", chunk_width),

@@ -21,15 +21,17 @@ def asof_backward(
 ) -> DataFrame:
     """Greatest ``point`` not after ``at`` per key; null when there is none.
 
-    Both sides become one ordered log and the last point is carried forward, so the work is one sort of
-    both sides whatever the number of points per key.
+    Positions of both sides become one ordered log and the last point is carried forward, so the work is
+    one sort of both whatever the number of points per key. Only distinct positions enter it: requests
+    for the same place share their answer, which is joined back to them.
     """
-    log = points.select(*keys, F.col(point).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias(
-        request_id), F.col(point).alias("_p")).unionByName(
-        requests.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), request_id, F.lit(None).cast(
-            points.schema[point].dataType).alias("_p")))
-    seen = ordered_scan(log, keys, ["_at", "_side", request_id], div("_at", chunk_width), lasts={point: F.col("_p")})
-    return seen.where("_side = 1").select(request_id, *keys, F.col("_at").alias(at), point)
+    kind = points.schema[point].dataType
+    asked = requests.select(*keys, F.col(at).cast(kind).alias("_at"), F.lit(None).cast(kind).alias("_p"))
+    known = points.select(*keys, F.col(point).alias("_at"), F.col(point).alias("_p"))
+    places = asked.unionByName(known).groupBy(*keys, "_at").agg(F.max("_p").alias("_p"))
+    answers = ordered_scan(places, keys, ["_at"], div("_at", chunk_width), lasts={point: F.col("_p")})
+    return requests.withColumn("_at", F.col(at).cast(kind)).join(
+        answers.select(*keys, "_at", point), [*keys, "_at"], "left").select(request_id, *keys, at, point)
 
 
 def _buckets(start: Column, end: Column, width: int) -> Column:

@@ -5,6 +5,8 @@ Each is a small step function on tuples, shared by the batch fold and the stream
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from .fold import Machine
 
 # ---- player commands ----------------------------------------------------------------------------
@@ -219,37 +221,40 @@ def reorder(depth: int = 2) -> Machine:
 
     The smallest order count leaves when more than ``depth`` wait. A refresh picture first releases all
     that wait, or drops them where ``discard`` is set, and the end of the clip releases the rest.
-    ``pending`` is flattened (order count, decode number) pairs in ascending order.
+    ``pending`` is stored flat, as (order count, decode number) pairs.
     """
 
-    def release(pending, keep, released, waiting):
-        out = []
-        while len(pending) > keep:
+    def release(heap, keep, released):
+        out, waiting = [], len(heap)
+        while len(heap) > keep:
             released += 1
-            poc, decode_no = pending.pop(0)
+            poc, decode_no = heappop(heap)
             out.append((released, decode_no, poc, waiting))
         return released, out
 
-    def pairs(flat):
-        return [(flat[i], flat[i + 1]) for i in range(0, len(flat), 2)]
-
     def step(state, row):
-        flat, released = state
+        heap, released = state
         decode_no, idr, poc, discard = row
-        pending, out = pairs(flat), []
+        out = []
         if idr:
-            if not discard:
-                released, out = release(pending, 0, released, len(pending))
-            pending = []
-        pending.append((poc, decode_no))
-        pending.sort()
-        released, more = release(pending, depth, released, len(pending))
-        return (tuple(x for p in pending for x in p), released), [*out, *more]
-
-    def finish(state):
-        pending = pairs(state[0])
-        return release(pending, 0, state[1], len(pending))[1]
+            if discard:
+                heap = []
+            else:
+                released, out = release(heap, 0, released)
+        heappush(heap, (poc, decode_no))
+        if len(heap) > depth:
+            released, more = release(heap, depth, released)
+            out = out + more if out else more
+        return (heap, released), out
+
+    def thaw(stored):
+        flat = stored[0]
+        return sorted((flat[i], flat[i + 1]) for i in range(0, len(flat), 2)), stored[1]
+
+    def freeze(state):
+        return [x for p in sorted(state[0]) for x in p], state[1]
 
     return Machine(
         "pending array<bigint>, released bigint", ((), 0), ("decode_no", "idr", "poc", "discard"),
-        "release_no bigint, decode_no bigint, poc bigint, waiting bigint", step, counters=("released",), finish=finish)
+        "release_no bigint, decode_no bigint, poc bigint, waiting bigint", step, counters=("released",),
+        finish=lambda state: release(state[0], 0, state[1])[1], thaw=thaw, freeze=freeze)

@@ -38,7 +38,7 @@ w as (select track_id, block_no, sum(energy) over f::double / sum(n) over f as m
 b as (select *, row_number() over (partition by track_id order by m desc, block_no) as place from w where blocks = 5)
 select track_id, block_no as start_block, round(sqrt(m) / 8388608, 6) as rms from b where place = 1""")
 def w8(pcm_sample):
-    return au.loudest_range(pcm_sample, 5, 16)
+    return au.loudest_range(pcm_sample, 5)
 
 
 INTER = """, st as (select track_id, block_no, sum(len(samples)) over (partition by track_id order by block_no) - len(samples) as start_sample
@@ -50,7 +50,7 @@ rows_ as (select sample, count(*) < 10 as short, list(s24 order by track_id) as
 @query("v7_interleave", ["pcm_block", "pcm_sample"], INTER + """
 select sample, short, array_to_string(v, ',') as sample_values from rows_""")
 def v7(pcm_block, pcm_sample):
-    placed = au.block_positions(pcm_block, 64).withColumn("samples", au.to_s24(c("samples")))
+    placed = au.block_positions(pcm_block).withColumn("samples", au.to_s24(c("samples")))
     return au.interleave(placed, 10).select("sample", "short", F.array_join("values", ",").alias("sample_values"))
 
 
@@ -77,7 +77,7 @@ select sample, 'monitor' as mode, concat(v[4], ',', v[1]) as sample_values from
 union all select sample, 'four-mono', concat(v[1], ',', v[2], ',', v[3], ',', v[4]) from rows_ where not short
 union all select sample, 'none', '' from rows_ where not short""")
 def v11(pcm_block, pcm_sample):
-    placed = au.block_positions(pcm_block, 64).withColumn("samples", au.to_s24(c("samples")))
+    placed = au.block_positions(pcm_block).withColumn("samples", au.to_s24(c("samples")))
     rows = au.interleave(placed, 10).where("not short")
     out = au.route(rows, "monitor").unionByName(au.route(rows, "four-mono")).unionByName(au.route(rows, "none"))
     return out.select("sample", "mode", F.array_join("values", ",").alias("sample_values"))

@@ -87,7 +87,7 @@ select session_id, resource_id, op, seq, case when op = 'create' then 'ok' when
 def r7(resource_log):
     # Planted: one destroy in nine is repeated later.
     again = resource_log.where("op = 'destroy' and resource_id % 9 = 0").withColumn("seq", c("seq") + 1000000)
-    return cap.ownership_audit(resource_log.unionByName(again), 1 << 14)
+    return cap.ownership_audit(resource_log.unionByName(again))
 
 
 @query("a15_evidence_rollup", ["evidence"], f"""

@@ -12,7 +12,6 @@ from .registry import query
 from .snippets import DAMAGED, INDEX, REQUESTS, damaged, requests
 
 c = F.col
-CHUNK = 256
 
 GAPS = DAMAGED + """, seen as (select *, lag(end_sample) over (partition by clip_id, channel
     order by start_sample, edit_unit, copy) as prev_end from damaged),
@@ -29,8 +28,8 @@ TOTALS = """, totals as (select clip_id, min(e) as total_samples, count(*) as ch
 select clip_id, total_samples, channels, round(total_samples / 48000.0::double, 6) as seconds, blocks, gap_blocks, overlap_blocks
 from totals join g using (clip_id)""")
 def flagship(packet):
-    index = stage(ix.packet_index(packet, CHUNK), "audio-index")
-    gaps = ix.gap_totals(ix.gap_audit(damaged(index), 4096)).groupBy("clip_id").agg(
+    index = stage(ix.packet_index(packet), "audio-index")
+    gaps = ix.gap_totals(ix.gap_audit(damaged(index))).groupBy("clip_id").agg(
         *[F.sum(n).alias(n) for n in ("blocks", "gap_blocks", "overlap_blocks")])
     return ix.clip_samples(index).withColumn("seconds", F.round(c("total_samples") / 48000, 6)).join(gaps, "clip_id")
 
@@ -49,7 +48,7 @@ def src2(pcm_block):
 select clip_id, channel, edit_unit, start_sample, sample_count, file_offset from idx
 where end_sample > 1200 and start_sample < 2400""")
 def src3(packet):
-    return ix.extract_range(ix.packet_index(packet, CHUNK), 1200, 2400).select(
+    return ix.extract_range(ix.packet_index(packet), 1200, 2400).select(
         "clip_id", "channel", "edit_unit", "start_sample", "sample_count", "file_offset")
 
 
@@ -95,7 +94,7 @@ def p5(packet):
 @query("w1_packet_index", ["packet"], INDEX + """
 select clip_id, channel, packet_no, edit_unit, start_sample, sample_count, end_sample, file_offset, payload_len from idx""")
 def w1(packet):
-    return ix.packet_index(packet, CHUNK)
+    return ix.packet_index(packet)
 
 
 @query("w1_tracks_by_rank", ["packet", "clip"], INDEX + """
@@ -105,15 +104,15 @@ select clip_id, channel, cast(track_id as int) as track_id, packet_no, start_sam
 def w1_tracks(packet, clip):
     lanes = clip.where("lane_count > 0").select("clip_id", F.explode(F.sequence(F.lit(0), c("lane_count") - 1)).alias("l"))
     tracks = lanes.select("clip_id", (c("l") * 7 + 3).alias("track_id"))
-    return ix.tracks_by_rank(ix.packet_index(packet, CHUNK), tracks).select(
+    return ix.tracks_by_rank(ix.packet_index(packet), tracks).select(
         "clip_id", "channel", "track_id", "packet_no", "start_sample")
 
 
 @query("w2_gap_audit", ["packet"], GAPS + """
 select clip_id, channel, edit_unit, cast(copy as int) as copy, delta, status from audit""")
 def w2(packet):
-    index = stage(ix.packet_index(packet, CHUNK), "audio-index")
-    return ix.gap_audit(damaged(index), 4096).select("clip_id", "channel", "edit_unit", "copy", "delta", "status")
+    index = stage(ix.packet_index(packet), "audio-index")
+    return ix.gap_audit(damaged(index)).select("clip_id", "channel", "edit_unit", "copy", "delta", "status")
 
 
 @query("w2_gap_totals", ["packet"], GAPS + """
@@ -122,8 +121,8 @@ select clip_id, channel, count(*) as blocks, count(*) filter (status = 'gap') as
   cast(sum(greatest(-delta, 0)) as bigint) as overlap_samples, bool_and(delta >= 0) as monotonic
 from audit group by clip_id, channel""")
 def w2_totals(packet):
-    index = stage(ix.packet_index(packet, CHUNK), "audio-index")
-    return ix.gap_totals(ix.gap_audit(damaged(index), 4096))
+    index = stage(ix.packet_index(packet), "audio-index")
+    return ix.gap_totals(ix.gap_audit(damaged(index)))
 
 
 @query("j1_random_access_lookup", ["command_log", "packet"], REQUESTS + """
@@ -133,7 +132,7 @@ from req r left join s on s.clip_id = r.clip_id and s.sync_frame <= r.frame grou
 def j1(command_log, packet):
     sync = packet.where("is_sync").select("clip_id", (c("packet_no") - 1).alias("sync_frame"))
     asked = requests(command_log).select("request_id", "clip_id", "frame")
-    return asof_backward(asked, sync, ["clip_id"], "frame", "request_id", "sync_frame", 32)
+    return asof_backward(asked, sync, ["clip_id"], "frame", "request_id", "sync_frame")
 
 
 @query("j2_index_override", ["packet"], """
@@ -148,9 +147,9 @@ select d.clip_id, d.edit_unit, case when m.clip_id is not null then 'provided' e
   case when m.clip_id is not null then key_frame_offset = 0 else picture = 'I' end as random_access
 from d left join m on m.clip_id = d.clip_id left join p on p.clip_id = d.clip_id and p.edit_unit = d.edit_unit""")
 def j2(packet):
-    from ..operators.scan import div, ordered_scan
+    from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
     video = packet.where("essence_key = 'avc.1'").select("clip_id", "packet_no", "picture")
-    derived = ordered_scan(video, ["clip_id"], ["packet_no"], div("packet_no", CHUNK), rank="n").select(
+    derived = ordered_scan(video, ["clip_id"], ["packet_no"], div("packet_no", ROWS_PER_CHUNK), rank="n").select(
         "clip_id", (c("n") - 1).alias("edit_unit"), (c("picture") == "I").alias("random_access"))
     derived = stage(derived, "video-index")
     last = derived.groupBy("clip_id").agg(F.max("edit_unit").alias("last"))
@@ -165,7 +164,7 @@ from req r join idx i on i.clip_id = r.clip_id and i.end_sample > r.req_start an
 where r.req_start < r.req_end""")
 def j3(command_log, packet):
     asked = requests(command_log).select("request_id", "clip_id", "req_start", "req_end")
-    return ix.requests_on_index(asked, ix.packet_index(packet, CHUNK), 64).select(
+    return ix.requests_on_index(asked, ix.packet_index(packet), 64).select(
         "request_id", "clip_id", "channel", "edit_unit", "start_sample", "end_sample")
 
 
@@ -180,12 +179,12 @@ select clip_id, frame, coalesce(tracks, 0) as tracks, coalesce(covered, 0) as co
   coalesce(tracks, 0) = 4 and coalesce(covered, 0) = 4 * (fe - fs) as complete
 from fr left join tot using (clip_id, frame)""")
 def j4(clip, packet):
-    return ix.frame_coverage(t.frame_samples(clip), ix.packet_index(packet, CHUNK), 4)
+    return ix.frame_coverage(t.frame_samples(clip), ix.packet_index(packet), 4)
 
 
 @query("a1_clip_samples", ["packet"], INDEX + TOTALS + "select clip_id, total_samples, channels from totals")
 def a1(packet):
-    return ix.clip_samples(ix.packet_index(packet, CHUNK))
+    return ix.clip_samples(ix.packet_index(packet))
 
 
 @query("a3_picture_counts", ["packet"], """
@@ -199,7 +198,7 @@ def a3(packet):
 select clip_id, packet_no - 1 as position, row_number() over (partition by clip_id order by packet_no) as idr_no
 from packet where is_sync""")
 def a3_idr(packet):
-    return ix.idr_positions(packet, CHUNK)
+    return ix.idr_positions(packet)
 
 
 @query("a4_gop_summary", ["packet"], """
@@ -207,7 +206,7 @@ def a3_idr(packet):
 select clip_id, cast(g as bigint) as gop_no, count(*) as length, cast(sum(payload_len) as bigint) as bytes,
   min(packet_no) as first_packet, max(packet_no) as last_packet from r group by clip_id, g""")
 def a4(packet):
-    return ix.gop_summary(packet, CHUNK)
+    return ix.gop_summary(packet)
 
 
 @query("a5_format_homogeneity", ["clip"], """
@@ -238,7 +237,7 @@ def a6(packet):
 select clip_id, channel, cast(grouping(clip_id, channel) as int) as level, count(*) as tracks, cast(sum(n) as bigint) as packets,
   cast(sum(b) as bigint) as bytes, round(cast(sum(s) as double) / 48000, 6) as seconds from ch group by rollup (clip_id, channel)""")
 def a16(packet):
-    return ix.corpus_summary(ix.packet_index(packet, CHUNK))
+    return ix.corpus_summary(ix.packet_index(packet))
 
 
 @query("a18_cut_summary", ["clip"], """
@@ -261,4 +260,4 @@ select clip_id, round(cast(total_samples as double) / sample_rate - cast(duratio
   as delta_seconds, coalesce(n, 0) as outside_frames
 from clip join totals using (clip_id) left join o using (clip_id)""")
 def a19(clip, packet):
-    return ix.av_extent(clip, ix.packet_index(packet, CHUNK), t.frame_samples(clip))
+    return ix.av_extent(clip, ix.packet_index(packet), t.frame_samples(clip))

@@ -28,7 +28,7 @@ select run_id, round(max(us) / 1000.0::double, 6) as max_ms, round(sum(us)::doub
   round(quantile_cont(us, 0.5) / 1000.0::double, 6) as median_ms, round(quantile_cont(us, 0.9) / 1000.0::double, 6) as p90_ms
 from u group by run_id""")
 def a9(frame_decision):
-    return po.lateness_distribution(frame_decision, 5000)
+    return po.lateness_distribution(frame_decision)
 
 
 BREAKDOWN = """
@@ -58,14 +58,14 @@ DEPTH = """
 @query("w7_queue_depth", ["resource_log"], DEPTH + """
 select session_id, resource_id, op, seq, depth, op = 'create' and depth > 4 as backpressure from d""")
 def w7(resource_log):
-    return po.queue_depth(resource_log, "session_id", 4, 4096)
+    return po.queue_depth(resource_log, "session_id", 4)
 
 
 @query("w7_queue_summary", ["resource_log"], DEPTH + """
 select session_id, max(depth) as peak, count(*) filter (depth > 4) as above_capacity,
   count(*) filter (op = 'create' and depth > 4) as backpressure from d group by session_id""")
 def w7_summary(resource_log):
-    return po.queue_summary(po.queue_depth(resource_log, "session_id", 4, 4096), "session_id", 4)
+    return po.queue_summary(po.queue_depth(resource_log, "session_id", 4), "session_id", 4)
 
 
 @query("s3_selection_completeness", ["frame_decision"], """
@@ -88,4 +88,4 @@ def j16(frame_decision, packet):
         "run_id", "frame", F.when(c("frame") % 10 == 4, "CapabilityMissing").otherwise("Prepared").alias("video_status"))
     audio = packet.where("essence_key = 'pcm.1'").select(
         c("clip_id").alias("run_id"), "packet_no", (c("payload_len") % 3 == 0).alias("audio_complete"))
-    return po.presentation_slots(video, audio, 32)
+    return po.presentation_slots(video, audio)

@@ -9,10 +9,6 @@ from ..operators import player as pl
 from .registry import query
 
 c = F.col
-CHUNK = 32
-# Sessions of the driver tables have a few dozen commands; a small block makes the replay of every one
-# of them go through several blocks.
-BLOCK = 1 << 18
 
 # One command at a time by recursion: the sequential definition of the replay.
 REPLAY = """, calls as materialized (select session_id, seq, command, frame as target, frame_count, expected_generation as expected from command_log),
@@ -51,7 +47,7 @@ replayed as materialized (select * from states where seq > 0)"""
 
 
 def _replayed(command_log):
-    return pl.replay(command_log, block_rows=BLOCK)
+    return pl.replay(command_log)
 
 
 @query("r1_player_replay", ["command_log"], REPLAY + """
@@ -73,10 +69,10 @@ def r1_blocks(command_log):
 select session_id, seq, accepted, status = coalesce(status_before, 'Empty') and generation = coalesce(generation_before, 0) as unchanged
 from b where reason = 'StaleGeneration'""", recursive=True)
 def r3(command_log):
-    from ..operators.scan import div, ordered_scan
+    from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
     from ..sources import stage
     seen = ordered_scan(
-        stage(_replayed(command_log), "replay"), ["session_id"], ["seq"], div("seq", CHUNK),
+        stage(_replayed(command_log), "replay"), ["session_id"], ["seq"], div("seq", ROWS_PER_CHUNK),
         lags={"s0": c("status"), "g0": c("generation")})
     same = (c("status") == F.coalesce("s0", F.lit("Empty"))) & (c("generation") == F.coalesce("g0", F.lit(0)))
     return seen.where("reason = 'StaleGeneration'").select("session_id", "seq", "accepted", same.alias("unchanged"))
@@ -111,7 +107,7 @@ def life_ops(command_log):
     from st s join ops k on k.session_id = s.session_id and k.seq = s.seq + 1) x)
 select session_id, seq, op, accepted, status, run from st where seq > 0""", recursive=True)
 def r2(command_log):
-    return pl.lifecycle_replay(life_ops(command_log), 24)
+    return pl.lifecycle_replay(life_ops(command_log))
 
 
 SRC_OPS = """, opened as (select session_id, seq, sub, frame as target, expected_generation is not null as stale, case
@@ -165,7 +161,7 @@ def source_ops(command_log):
 select session_id, seq, cast(sub as int) as sub, op, accepted, loaded, active, cue,
   active and preloaded and ranged and cue is not null and anchored as play_ready, playing, revision from st where n > 0""", recursive=True)
 def r4(command_log):
-    return pl.source_replay(source_ops(command_log), block_rows=24)
+    return pl.source_replay(source_ops(command_log))
 
 
 @query("r6_coverage_cursor", ["command_log"], """
@@ -183,7 +179,7 @@ select session_id, seq, label, covered_until, submissions from st where seq > 0"
 def r6(command_log):
     ticks = command_log.select(
         "session_id", "seq", "frame", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick").alias("op"))
-    return pl.coverage_replay(ticks, 24)
+    return pl.coverage_replay(ticks)
 
 
 ORDERED = """, o as (select *, row_number() over (partition by clip_id, segment_true order by poc_true) - 1 as present_no,
@@ -193,21 +189,21 @@ ORDERED = """, o as (select *, row_number() over (partition by clip_id, segment_
 @query("w5_counter_unroll", ["picture"], """
 select clip_id, decode_no, segment_true + 1 as segment, poc_lsb, poc_true as poc from picture""")
 def w5(picture):
-    return pic.unroll_order(picture, 256, 256)
+    return pic.unroll_order(picture, 256)
 
 
 @query("w6_presentation_order", ["picture"], ORDERED + """
 select clip_id, segment_true as segment, decode_no, poc_true as poc, present_no, present_no - local_no as displacement from o""")
 def w6(picture):
     known = picture.select("clip_id", c("segment_true").alias("segment"), "decode_no", c("poc_true").alias("poc"))
-    return pic.presentation_order(known, 256)
+    return pic.presentation_order(known)
 
 
 @query("r5_reorder_buffer", ["picture"], """
 select clip_id, row_number() over (partition by clip_id order by segment_true, poc_true) as release_no, decode_no, poc_true as poc from picture""")
 def r5(picture):
     asked = picture.select("clip_id", "decode_no", "idr", c("poc_true").alias("poc"), F.lit(False).alias("discard"))
-    return pl.reorder_pictures(asked, 2, 200).select("clip_id", "release_no", "decode_no", "poc")
+    return pl.reorder_pictures(asked, 2).select("clip_id", "release_no", "decode_no", "poc")
 
 
 @query("r5_reorder_peak", ["picture"], """
@@ -215,7 +211,7 @@ def r5(picture):
 select clip_id, cast(least(max(n), 3) as bigint) as peak_waiting, cast(sum(n) as bigint) as released from n group by clip_id""")
 def r5_peak(picture):
     asked = picture.select("clip_id", "decode_no", "idr", c("poc_true").alias("poc"), F.lit(False).alias("discard"))
-    return pl.reorder_pictures(asked, 2, 200).groupBy("clip_id").agg(
+    return pl.reorder_pictures(asked, 2, 400).groupBy("clip_id").agg(
         F.max("waiting").alias("peak_waiting"), F.count("*").alias("released"))
 
 
@@ -224,12 +220,12 @@ def r5_peak(picture):
 select session_id, seq, case when prev_seq is null then 'first' when seq <= prev_seq then 'not-increasing' when seq > prev_seq + 1 then 'gap'
   else 'ok' end as status, coalesce(generation < prev_generation, false) as generation_back from s""")
 def w3(transcript):
-    return pl.sequence_audit(transcript, 4).select("session_id", "seq", "status", "generation_back")
+    return pl.sequence_audit(transcript).select("session_id", "seq", "status", "generation_back")
 
 
 @query("w4_generation_numbering", ["command_log"], REPLAY + "select session_id, seq, command, accepted, generation from replayed", recursive=True)
 def w4(command_log):
-    return pl.generation_numbers(_replayed(command_log), CHUNK)
+    return pl.generation_numbers(_replayed(command_log))
 
 
 @query("w10_latest_snapshot", ["command_log"], REPLAY + """
@@ -245,13 +241,13 @@ CHANGES = REPLAY + """, ch as (select * from (select session_id, seq, status, la
 
 @query("w11_state_changes", ["command_log"], CHANGES + "select session_id, seq, previous, status from ch", recursive=True)
 def w11(command_log):
-    return pl.state_changes(_replayed(command_log), CHUNK)
+    return pl.state_changes(_replayed(command_log))
 
 
 @query("w11_transition_counts", ["command_log"], CHANGES + """
 select previous, status, count(*) as times from ch where previous is not null group by all""", recursive=True)
 def w11_counts(command_log):
-    return pl.transition_counts(pl.state_changes(_replayed(command_log), CHUNK))
+    return pl.transition_counts(pl.state_changes(_replayed(command_log)))
 
 
 def _dimension_sql() -> str:
@@ -280,7 +276,7 @@ def a11(command_log):
 select session_id, count(*) filter (accepted) as accepted, count(*) filter (not accepted) as rejected, cast(0 as bigint) as mutated_by_rejection
 from replayed group by session_id""", recursive=True)
 def a12(command_log):
-    return pl.command_counters(_replayed(command_log), CHUNK)
+    return pl.command_counters(_replayed(command_log))
 
 
 @query("a13_duplicate_commands", ["command_log"], """
@@ -338,7 +334,7 @@ select session_id, seq, frame, array_to_string(list_sort(list_filter(win, lambda
   array_to_string(list_sort(list_filter(before, lambda x: not list_contains(win, x))), ',') as discarded from l""")
 def s1(command_log):
     text = lambda n: F.array_join(F.sort_array(n), ",").alias(n)
-    return pl.prepared_window(command_log, 10, 90, chunk_width=CHUNK).select(
+    return pl.prepared_window(command_log, 10, 90).select(
         "session_id", "seq", "frame", text("added"), text("kept"), text("discarded"))
 
 
@@ -346,7 +342,7 @@ def s1(command_log):
 select session_id, seq, case when len(before) = 0 then 'Empty' when not list_contains(before, frame) then 'Underrun'
   when len(list_filter(before, lambda x: x >= frame)) < 3 then 'LowWater' else 'Ok' end as health from l""")
 def s2(command_log):
-    return pl.window_health(pl.prepared_window(command_log, 10, 90, chunk_width=CHUNK), 3)
+    return pl.window_health(pl.prepared_window(command_log, 10, 90), 3)
 
 
 @query("k4_run_cap", ["command_log"], """
@@ -354,7 +350,7 @@ def s2(command_log):
   from command_log where command = 'Play' window w as (partition by session_id order by seq rows unbounded preceding))
 select session_id, seq, frame, tick from t where tick <= 5 and past = 0""")
 def k4(command_log):
-    return pl.run_cap(command_log.where("command = 'Play'").select("session_id", "seq", "frame"), 5, 100, CHUNK)
+    return pl.run_cap(command_log.where("command = 'Play'").select("session_id", "seq", "frame"), 5, 100)
 
 
 @query("k3_ordered_tracks", ["packet"], """

@@ -18,10 +18,12 @@ c = F.col
 SLICES = 4
 
 
-def _stream(log, parts=None, ts="ts"):
+def _stream(log, slices=None, ts="ts"):
+    """The log as a stream that takes one slice per micro-batch."""
     spark = log.sparkSession
-    path = src.land(parts or src.time_slices(log, ts, SLICES), fresh_path(spark, "landed"))
-    return src.open_stream(spark, path, log.schema, ts)
+    parts, files = slices or src.time_slices(log, ts, SLICES)
+    path = src.land(parts, fresh_path(spark, "landed"), files)
+    return src.open_stream(spark, path, log.schema, ts, files)
 
 
 def _heartbeat(log):
@@ -61,11 +63,11 @@ def st1(command_log):
 @query("st2_streaming_dedup", ["command_log"], "select distinct session_id, command_id from command_log")
 def st2(command_log):
     # Planted: one command in seven arrives again with the following slice.
-    parts = src.time_slices(command_log, "ts", SLICES)
+    parts, files = src.time_slices(command_log, "ts", SLICES)
     again = [p.where("command_id % 7 = 0") for p in parts]
     sent = [parts[0], *(p.unionByName(r) for p, r in zip(parts[1:], again))]
     return src.run_to_table(
-        win.drop_repeated(_stream(command_log, sent), ["session_id", "command_id"], "ts", "20 days"), "commands"
+        win.drop_repeated(_stream(command_log, (sent, files)), ["session_id", "command_id"], "ts", "20 days"), "commands"
     ).select("session_id", "command_id")
 
 
@@ -98,30 +100,27 @@ def st4(events):
 
     Rows count as late against the watermark of the batch before, so two slices go in between.
     """
-    parts = src.time_slices(events, "ts", 8)
+    parts, files = src.time_slices(events, "ts", 8)
     held = parts.pop(5)
-    stream = _stream(events, [*parts, held, _heartbeat(events)]).observe(
-        "arrivals", F.count("event_id").alias("rows"))
+    stream = _stream(events, ([*parts, held, _heartbeat(events)], files))
     wins = win.live_counters(stream, "ts", "1 day", "1 hour", {
         "counted": c("event_id").isNotNull(), "on_time": c("value") <= 5, "dropped": c("value") > 40})
     spark = events.sparkSession
-    out, state = fresh_path(spark, "late"), fresh_path(spark, "late-state")
-    q = wins.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode(
-        "append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    arrivals = win.ArrivalCounts()
-    arrivals.watch(q)
-    total = spark.read.schema(wins.schema).parquet(out).agg(*[F.sum(n).alias(n) for n in ("counted", "on_time", "dropped")])
-    seen = F.lit(arrivals.seen).cast("bigint")
-    return total.select(seen.alias("arrived"), "counted", (seen - c("counted")).alias("late"), "on_time", "dropped")
+    total = src.run_to_table(wins, "late").agg(*[F.sum(n).alias(n) for n in ("counted", "on_time", "dropped")])
+    arrivals = win.ArrivalCounts(fresh_path(spark, "arrivals"))
+    src.run_batches(stream.where("event_id is not null").select("event_id"), "arrivals", arrivals.add)
+    seen = arrivals.read(spark).agg(F.sum("rows").alias("arrived"))
+    # Both sides are a single row of totals.
+    return total.join(F.broadcast(seen)).select(
+        "arrived", "counted", (c("arrived") - c("counted")).alias("late"), "on_time", "dropped")
 
 
 @query("st5_live_status", ["command_log"], """
 select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as commands, count(*) filter (command = 'Play') as plays,
   count(*) filter (expected_generation is not null) as checked from command_log group by 1""")
 def st5(command_log):
-    parts = [*src.time_slices(command_log, "ts", SLICES), _heartbeat(command_log)]
-    wins = win.live_counters(_stream(command_log, parts), "ts", "1 day", "1 hour", {
+    parts, files = src.time_slices(command_log, "ts", SLICES)
+    wins = win.live_counters(_stream(command_log, ([*parts, _heartbeat(command_log)], files)), "ts", "1 day", "1 hour", {
         "commands": c("command_id").isNotNull(), "plays": c("command") == "Play", "checked": c("expected_generation").isNotNull()})
     return src.run_to_table(wins, "status").select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "commands", "plays", "checked")
@@ -134,5 +133,5 @@ def st6(command_log):
     spark = command_log.sparkSession
     stream = _stream(command_log).select("session_id", "seq", "command", "frame")
     table = sinks.SnapshotTable(fresh_path(spark, "snapshots"), "session_id", "seq", "session_id bigint, seq bigint, command string, frame bigint")
-    src.run_batches(stream, "snapshots", table.upsert)
-    return table.read(spark)
+    last = src.run_batches(stream, "snapshots", table.upsert)
+    return table.read(spark, last)

@@ -31,23 +31,21 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 class SnapshotTable:
     """Newest row per key, kept by ``foreachBatch``.
 
-    Each batch writes a new version from the one before it, so a batch that is run again overwrites its
-    own version and readers always see a whole one.
+    Each batch writes a new version from the one before it, so a batch that is run again after a failure
+    overwrites its own version only, and readers always see a whole one. Nothing is kept in the driver.
     """
 
     def __init__(self, path: str, key: str, newest: str, schema: str):
         self.path, self.key, self.newest, self.schema = path, key, newest, schema
-        self.version: int | None = None
 
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        if self.version is not None and self.version != batch_id:
-            rows = rows.unionByName(spark.read.schema(self.schema).parquet(f"{self.path}/{self.version}"))
+        if batch_id > 0:
+            rows = rows.unionByName(self.read(spark, batch_id - 1))
         rest = [c for c in batch.columns if c != self.key]
         newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.col(self.newest)).alias("s"))
         newest.select(self.key, "s.*").write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
-        self.version = batch_id
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).parquet(f"{self.path}/{self.version}")
+    def read(self, spark: SparkSession, version: int) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(f"{self.path}/{version}")

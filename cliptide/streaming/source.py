@@ -10,27 +10,33 @@ from pyspark.sql import functions as F
 from ..sources.tables import fresh_path, stage
 
 
-def time_slices(df: DataFrame, ts: str, slices: int) -> list[DataFrame]:
-    """Cut a log into equal spans of time, from its two ends only; each slice is a filter."""
+ROWS_PER_FILE = 4_000_000
+
+
+def time_slices(df: DataFrame, ts: str, slices: int) -> tuple[list[DataFrame], int]:
+    """Cut a log into equal spans of time, from its two ends only; each slice is a filter.
+
+    Also says into how many files a slice should go.
+    """
     log = stage(df, "log")
     seconds = F.col(ts).cast("timestamp").cast("long")
-    low, high = log.agg(F.min(seconds), F.max(seconds)).first()
+    low, high, rows = log.agg(F.min(seconds), F.max(seconds), F.count("*")).first()
     step = (high - low) // slices + 1
-    return [log.where((seconds >= low + i * step) & (seconds < low + (i + 1) * step)) for i in range(slices)]
+    parts = [log.where((seconds >= low + i * step) & (seconds < low + (i + 1) * step)) for i in range(slices)]
+    return parts, 1 + rows // slices // ROWS_PER_FILE
 
 
-def land(parts: Sequence[DataFrame], path: str, files: int = 1) -> str:
+def land(parts: Sequence[DataFrame], path: str, files: int) -> str:
     """Write slices one after another, so arrival order is the order given.
 
-    Each slice becomes ``files`` files, so a stream reading as many per trigger takes a slice at a time;
-    raise it with the size of a slice.
+    Each slice becomes ``files`` files, and a stream reading as many per trigger takes a slice at a time.
     """
     for p in parts:
         p.repartition(files).write.mode("append").parquet(path)
     return path
 
 
-def open_stream(spark, path: str, schema, ts: str = "ts", files_per_trigger: int = 1) -> DataFrame:
+def open_stream(spark, path: str, schema, ts: str, files_per_trigger: int) -> DataFrame:
     """Read a landed log as a stream with its declared schema; event time becomes TIMESTAMP here only,
     because a watermark does not take the zone-less type."""
     log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -49,7 +55,9 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int], None]) -> None:
+def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int], None]) -> int:
+    """Drain a stream through ``each``; returns the number of the last batch."""
     state = fresh_path(stream.sparkSession, f"{label}-state")
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q.lastProgress.batchId

@@ -39,7 +39,7 @@ class MachineProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         m = self.machine
         *state, last = self.kept.get() if self.kept.exists() else (*m.initial, None)
-        state = tuple(state)
+        state = m.thaw(tuple(state))
         batch = pd.concat(list(rows)).sort_values(self.seq)
         at = m.inputs.index(self.seq)
         out = []
@@ -51,7 +51,7 @@ class MachineProcessor(StatefulProcessor):
             last = row[at]
             state, produced = m.step(state, row)
             out.extend((key[0], False, *p) for p in produced)
-        self.kept.update((*state, last))
+        self.kept.update((*m.freeze(state), last))
         frame = pd.DataFrame(out, columns=[self.key, "late", *names])
         for f in self.out_fields:
             if isinstance(f.dataType, (T.LongType, T.IntegerType)):
