@@ -135,15 +135,15 @@ def ordered_fold(log: DataFrame, keys: Sequence[str], order: Sequence[str], mach
     ``block`` must not decrease along the order and bounds the rows of a key one task folds at a time.
     """
     group = [*keys, "_block"]
-    rows = log.withColumn("_block", block)
+    wanted = list(dict.fromkeys([*group, *order, *machine.inputs]))
+    # Read to see the blocks, once per round and for the result, so it is written out rather than
+    # computed for each.
+    rows = stage(log.withColumn("_block", block).select(*wanted), "fold-log")
     blocks = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
     many = blocks.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
     if many.isEmpty():
         return _run(rows, None, keys, order, machine, ends=False)
 
-    # Read once per round and once for the result, so it is written out rather than computed again.
-    wanted = list(dict.fromkeys([*group, *order, *machine.inputs]))
-    rows = stage(rows.select(*wanted), "fold-log")
     marks = settle(rows.join(many, list(keys), "left_semi"), blocks.join(many, list(keys), "left_semi"), keys, order, machine)
     return _run(rows, marks, keys, order, machine, ends=False)
 

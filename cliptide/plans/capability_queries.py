@@ -43,7 +43,7 @@ def j12(decoder_request, capability, capability_format):
 @query("j13_request_response", ["message_log"], """
 , a as (select session_id, request_id, count(*) as responses, min(seq) as first_response from message_log where kind = 'response' group by all)
 select q.session_id, cast(q.request_id as bigint) as request_id, q.opcode, q.seq, coalesce(responses, 0) as responses, first_response
-from message_log q left join a on a.session_id = q.session_id and a.request_id = q.request_id where q.kind = 'request'""")
+from message_log q left join a on a.session_id = q.session_id and a.request_id = q.request_id where q.kind = 'request'""", settle=["message_log"])
 def j13(message_log):
     return cap.replies(message_log)
 
@@ -52,7 +52,7 @@ def j13(message_log):
 , a as (select session_id, request_id, count(*) as n, count(*) filter (payload_len % 7 = 0) as bad from message_log
   where kind = 'response' group by all)
 select opcode, count(*) as requests, count(*) filter (n is null) as unanswered, round(sum(bad)::double / nullif(sum(n), 0), 6) as error_share
-from message_log q left join a on a.session_id = q.session_id and a.request_id = q.request_id where q.kind = 'request' group by opcode""")
+from message_log q left join a on a.session_id = q.session_id and a.request_id = q.request_id where q.kind = 'request' group by opcode""", settle=["message_log"])
 def j13_summary(message_log):
     return cap.reply_summary(message_log, c("payload_len") % 7 == 0)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import timing as t
 from ..operators import index as ix
 from ..operators.interval import asof_backward
+from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
 from ..sources import stage
 from .registry import query
 from .snippets import DAMAGED, INDEX, REQUESTS, damaged, requests
@@ -26,7 +27,7 @@ TOTALS = """, totals as (select clip_id, min(e) as total_samples, count(*) as ch
 , g as (select clip_id, count(*) as blocks, count(*) filter (status = 'gap') as gap_blocks,
     count(*) filter (status = 'overlap') as overlap_blocks from audit group by clip_id)
 select clip_id, total_samples, channels, round(total_samples / 48000.0::double, 6) as seconds, blocks, gap_blocks, overlap_blocks
-from totals join g using (clip_id)""")
+from totals join g using (clip_id)""", settle=["packet"])
 def flagship(packet):
     index = stage(ix.packet_index(packet), "audio-index")
     gaps = ix.gap_totals(ix.gap_audit(damaged(index))).groupBy("clip_id").agg(
@@ -46,7 +47,7 @@ def src2(pcm_block):
 
 @query("src3_range_extract", ["packet"], INDEX + """
 select clip_id, channel, edit_unit, start_sample, sample_count, file_offset from idx
-where end_sample > 1200 and start_sample < 2400""")
+where end_sample > 1200 and start_sample < 2400""", settle=["packet"])
 def src3(packet):
     return ix.extract_range(ix.packet_index(packet), 1200, 2400).select(
         "clip_id", "channel", "edit_unit", "start_sample", "sample_count", "file_offset")
@@ -92,7 +93,7 @@ def p5(packet):
 
 
 @query("w1_packet_index", ["packet"], INDEX + """
-select clip_id, channel, packet_no, edit_unit, start_sample, sample_count, end_sample, file_offset, payload_len from idx""")
+select clip_id, channel, packet_no, edit_unit, start_sample, sample_count, end_sample, file_offset, payload_len from idx""", settle=["packet"])
 def w1(packet):
     return ix.packet_index(packet)
 
@@ -100,7 +101,7 @@ def w1(packet):
 @query("w1_tracks_by_rank", ["packet", "clip"], INDEX + """
 , tr as (select clip_id, lane * 7 + 3 as track_id, row_number() over (partition by clip_id order by lane * 7 + 3) - 1 as channel
   from (select clip_id, unnest(range(0, lane_count)) as lane from clip) l)
-select clip_id, channel, cast(track_id as int) as track_id, packet_no, start_sample from idx join tr using (clip_id, channel)""")
+select clip_id, channel, cast(track_id as int) as track_id, packet_no, start_sample from idx join tr using (clip_id, channel)""", settle=["packet"])
 def w1_tracks(packet, clip):
     lanes = clip.where("lane_count > 0").select("clip_id", F.explode(F.sequence(F.lit(0), c("lane_count") - 1)).alias("l"))
     tracks = lanes.select("clip_id", (c("l") * 7 + 3).alias("track_id"))
@@ -109,7 +110,7 @@ def w1_tracks(packet, clip):
 
 
 @query("w2_gap_audit", ["packet"], GAPS + """
-select clip_id, channel, edit_unit, cast(copy as int) as copy, delta, status from audit""")
+select clip_id, channel, edit_unit, cast(copy as int) as copy, delta, status from audit""", settle=["packet"])
 def w2(packet):
     index = stage(ix.packet_index(packet), "audio-index")
     return ix.gap_audit(damaged(index)).select("clip_id", "channel", "edit_unit", "copy", "delta", "status")
@@ -119,7 +120,7 @@ def w2(packet):
 select clip_id, channel, count(*) as blocks, count(*) filter (status = 'gap') as gap_blocks,
   count(*) filter (status = 'overlap') as overlap_blocks, cast(sum(greatest(delta, 0)) as bigint) as gap_samples,
   cast(sum(greatest(-delta, 0)) as bigint) as overlap_samples, bool_and(delta >= 0) as monotonic
-from audit group by clip_id, channel""")
+from audit group by clip_id, channel""", settle=["packet"])
 def w2_totals(packet):
     index = stage(ix.packet_index(packet), "audio-index")
     return ix.gap_totals(ix.gap_audit(damaged(index)))
@@ -128,7 +129,7 @@ def w2_totals(packet):
 @query("j1_random_access_lookup", ["command_log", "packet"], REQUESTS + """
 , s as (select clip_id, packet_no - 1 as sync_frame from packet where is_sync)
 select r.request_id, r.clip_id, r.frame, max(s.sync_frame) as sync_frame
-from req r left join s on s.clip_id = r.clip_id and s.sync_frame <= r.frame group by all""")
+from req r left join s on s.clip_id = r.clip_id and s.sync_frame <= r.frame group by all""", settle=["command_log", "packet"])
 def j1(command_log, packet):
     sync = packet.where("is_sync").select("clip_id", (c("packet_no") - 1).alias("sync_frame"))
     asked = requests(command_log).select("request_id", "clip_id", "frame")
@@ -145,9 +146,8 @@ m as (select clip_id from (select clip_id, count(*) as a from d group by clip_id
   join (select clip_id, count(*) as b from p group by clip_id) y using (clip_id) where a = b)
 select d.clip_id, d.edit_unit, case when m.clip_id is not null then 'provided' else 'derived' end as source,
   case when m.clip_id is not null then key_frame_offset = 0 else picture = 'I' end as random_access
-from d left join m on m.clip_id = d.clip_id left join p on p.clip_id = d.clip_id and p.edit_unit = d.edit_unit""")
+from d left join m on m.clip_id = d.clip_id left join p on p.clip_id = d.clip_id and p.edit_unit = d.edit_unit""", settle=["packet"])
 def j2(packet):
-    from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
     video = packet.where("essence_key = 'avc.1'").select("clip_id", "packet_no", "picture")
     derived = ordered_scan(video, ["clip_id"], ["packet_no"], div("packet_no", ROWS_PER_CHUNK), rank="n").select(
         "clip_id", (c("n") - 1).alias("edit_unit"), (c("picture") == "I").alias("random_access"))
@@ -161,7 +161,7 @@ def j2(packet):
 @query("j3_range_overlap", ["command_log", "packet"], INDEX + REQUESTS + """
 select r.request_id, r.clip_id, i.channel, i.edit_unit, i.start_sample, i.end_sample
 from req r join idx i on i.clip_id = r.clip_id and i.end_sample > r.req_start and i.start_sample < r.req_end
-where r.req_start < r.req_end""")
+where r.req_start < r.req_end""", settle=["packet"])
 def j3(command_log, packet):
     asked = requests(command_log).select("request_id", "clip_id", "req_start", "req_end")
     return ix.requests_on_index(asked, ix.packet_index(packet), 64).select(
@@ -177,12 +177,12 @@ cov as (select f.clip_id, f.frame, i.channel, sum(least(fe, end_sample) - greate
 tot as (select clip_id, frame, count(*) as tracks, cast(sum(covered) as bigint) as covered from cov group by all)
 select clip_id, frame, coalesce(tracks, 0) as tracks, coalesce(covered, 0) as covered,
   coalesce(tracks, 0) = 4 and coalesce(covered, 0) = 4 * (fe - fs) as complete
-from fr left join tot using (clip_id, frame)""")
+from fr left join tot using (clip_id, frame)""", settle=["packet"])
 def j4(clip, packet):
     return ix.frame_coverage(t.frame_samples(clip), ix.packet_index(packet), 4)
 
 
-@query("a1_clip_samples", ["packet"], INDEX + TOTALS + "select clip_id, total_samples, channels from totals")
+@query("a1_clip_samples", ["packet"], INDEX + TOTALS + "select clip_id, total_samples, channels from totals", settle=["packet"])
 def a1(packet):
     return ix.clip_samples(ix.packet_index(packet))
 
@@ -196,7 +196,7 @@ def a3(packet):
 
 @query("a3_idr_positions", ["packet"], """
 select clip_id, packet_no - 1 as position, row_number() over (partition by clip_id order by packet_no) as idr_no
-from packet where is_sync""")
+from packet where is_sync""", settle=["packet"])
 def a3_idr(packet):
     return ix.idr_positions(packet)
 
@@ -204,7 +204,7 @@ def a3_idr(packet):
 @query("a4_gop_summary", ["packet"], """
 , r as (select *, sum(cast(is_sync as int)) over (partition by clip_id order by packet_no) as g from packet)
 select clip_id, cast(g as bigint) as gop_no, count(*) as length, cast(sum(payload_len) as bigint) as bytes,
-  min(packet_no) as first_packet, max(packet_no) as last_packet from r group by clip_id, g""")
+  min(packet_no) as first_packet, max(packet_no) as last_packet from r group by clip_id, g""", settle=["packet"])
 def a4(packet):
     return ix.gop_summary(packet)
 
@@ -235,7 +235,7 @@ def a6(packet):
 @query("a16_corpus_summary", ["packet"], INDEX + """
 , ch as (select clip_id, channel, count(*) as n, sum(payload_len) as b, sum(sample_count) as s from idx group by all)
 select clip_id, channel, cast(grouping(clip_id, channel) as int) as level, count(*) as tracks, cast(sum(n) as bigint) as packets,
-  cast(sum(b) as bigint) as bytes, round(cast(sum(s) as double) / 48000, 6) as seconds from ch group by rollup (clip_id, channel)""")
+  cast(sum(b) as bigint) as bytes, round(cast(sum(s) as double) / 48000, 6) as seconds from ch group by rollup (clip_id, channel)""", settle=["packet"])
 def a16(packet):
     return ix.corpus_summary(ix.packet_index(packet))
 
@@ -258,6 +258,6 @@ def a18(clip):
 o as (select clip_id, count(*) filter (fe > total_samples) as n from fr group by clip_id)
 select clip_id, round(cast(total_samples as double) / sample_rate - cast(duration_frames * rate_den as double) / rate_num, 6)
   as delta_seconds, coalesce(n, 0) as outside_frames
-from clip join totals using (clip_id) left join o using (clip_id)""")
+from clip join totals using (clip_id) left join o using (clip_id)""", settle=["packet"])
 def a19(clip, packet):
     return ix.av_extent(clip, ix.packet_index(packet), t.frame_samples(clip))

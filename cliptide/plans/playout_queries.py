@@ -26,7 +26,7 @@ def a8(frame_decision):
 , u as (select run_id, cast(round(lateness_ms * 1000) as bigint) as us from frame_decision)
 select run_id, round(max(us) / 1000.0::double, 6) as max_ms, round(sum(us)::double / count(*) / 1000, 6) as mean_ms,
   round(quantile_cont(us, 0.5) / 1000.0::double, 6) as median_ms, round(quantile_cont(us, 0.9) / 1000.0::double, 6) as p90_ms
-from u group by run_id""")
+from u group by run_id""", settle=["frame_decision"])
 def a9(frame_decision):
     return po.lateness_distribution(frame_decision)
 
@@ -70,7 +70,7 @@ def w7_summary(resource_log):
 
 @query("s3_selection_completeness", ["frame_decision"], """
 select run_id, cast(count(*) filter (frame % 2 = 0) as bigint) as selected, cast(count(*) filter (frame % 2 <> 0) as bigint) as skipped,
-  count(*) as source, cast(0 as bigint) as in_both, cast(0 as bigint) as in_neither from frame_decision group by run_id""")
+  count(*) as source, cast(0 as bigint) as in_both, cast(0 as bigint) as in_neither from frame_decision group by run_id""", settle=["frame_decision"])
 def s3(frame_decision):
     return po.selection_completeness(frame_decision, 2)
 
@@ -82,7 +82,7 @@ a as (select clip_id as run_id, packet_no, payload_len % 3 = 0 as audio_complete
     row_number() over (partition by clip_id order by packet_no) as slot from packet where essence_key = 'pcm.1')
 select v.run_id, v.slot - 1 as slot, frame, packet_no, case when video_status <> 'Prepared' then video_status
   when packet_no is null then 'MissingAudio' when not audio_complete then 'IncompleteAudio' else 'Ready' end as status
-from v left join a on a.run_id = v.run_id and a.slot = v.slot""")
+from v left join a on a.run_id = v.run_id and a.slot = v.slot""", settle=["frame_decision", "packet"])
 def j16(frame_decision, packet):
     video = frame_decision.where("frame % 2 = 0").select(
         "run_id", "frame", F.when(c("frame") % 10 == 4, "CapabilityMissing").otherwise("Prepared").alias("video_status"))

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources import load, view
+from ..sources import load, stage, view
 from ..sources.adapters import VIEWS as SPARK_VIEWS
 from .oracle_views import NEEDS, VIEWS
 
@@ -32,12 +32,19 @@ def with_views(body: str, views: Sequence[str], recursive: bool = False) -> str:
     return f"{word} {ctes}{joint}{body}"
 
 
-def query(name: str, views: Sequence[str] = (), sql: str | None = None, recursive: bool = False):
-    """Register ``fn`` under ``name``; it receives the named views or driver tables in order."""
+def query(
+    name: str, views: Sequence[str] = (), sql: str | None = None, recursive: bool = False, settle: Sequence[str] = ()
+):
+    """Register ``fn`` under ``name``; it receives the named views or driver tables in order.
+
+    Views in ``settle`` are written to the shared folder first: an ordered scan reads its input twice,
+    and a view that is itself an ordered scan would be sorted and shuffled for each reading.
+    """
 
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(*((view if v in SPARK_VIEWS else load)(spark, sf_dir, v) for v in views))
+            inputs = [(view if v in SPARK_VIEWS else load)(spark, sf_dir, v) for v in views]
+            return fn(*(stage(df, v) if v in settle else df for v, df in zip(views, inputs)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__

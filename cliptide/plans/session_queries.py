@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import pictures as pic
 from ..operators import player as pl
+from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
+from ..sources import stage
 from .registry import query
 
 c = F.col
@@ -50,6 +52,11 @@ def _replayed(command_log):
     return pl.replay(command_log)
 
 
+def _settled(command_log):
+    """The replay written out, for scans that read it twice: it must not be folded for each reading."""
+    return stage(_replayed(command_log), "replay")
+
+
 @query("r1_player_replay", ["command_log"], REPLAY + """
 select session_id, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation from replayed""", recursive=True)
 def r1(command_log):
@@ -69,10 +76,8 @@ def r1_blocks(command_log):
 select session_id, seq, accepted, status = coalesce(status_before, 'Empty') and generation = coalesce(generation_before, 0) as unchanged
 from b where reason = 'StaleGeneration'""", recursive=True)
 def r3(command_log):
-    from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
-    from ..sources import stage
     seen = ordered_scan(
-        stage(_replayed(command_log), "replay"), ["session_id"], ["seq"], div("seq", ROWS_PER_CHUNK),
+        _settled(command_log), ["session_id"], ["seq"], div("seq", ROWS_PER_CHUNK),
         lags={"s0": c("status"), "g0": c("generation")})
     same = (c("status") == F.coalesce("s0", F.lit("Empty"))) & (c("generation") == F.coalesce("g0", F.lit(0)))
     return seen.where("reason = 'StaleGeneration'").select("session_id", "seq", "accepted", same.alias("unchanged"))
@@ -187,13 +192,13 @@ ORDERED = """, o as (select *, row_number() over (partition by clip_id, segment_
 
 
 @query("w5_counter_unroll", ["picture"], """
-select clip_id, decode_no, segment_true + 1 as segment, poc_lsb, poc_true as poc from picture""")
+select clip_id, decode_no, segment_true + 1 as segment, poc_lsb, poc_true as poc from picture""", settle=["picture"])
 def w5(picture):
     return pic.unroll_order(picture, 256)
 
 
 @query("w6_presentation_order", ["picture"], ORDERED + """
-select clip_id, segment_true as segment, decode_no, poc_true as poc, present_no, present_no - local_no as displacement from o""")
+select clip_id, segment_true as segment, decode_no, poc_true as poc, present_no, present_no - local_no as displacement from o""", settle=["picture"])
 def w6(picture):
     known = picture.select("clip_id", c("segment_true").alias("segment"), "decode_no", c("poc_true").alias("poc"))
     return pic.presentation_order(known)
@@ -225,7 +230,7 @@ def w3(transcript):
 
 @query("w4_generation_numbering", ["command_log"], REPLAY + "select session_id, seq, command, accepted, generation from replayed", recursive=True)
 def w4(command_log):
-    return pl.generation_numbers(_replayed(command_log))
+    return pl.generation_numbers(_settled(command_log))
 
 
 @query("w10_latest_snapshot", ["command_log"], REPLAY + """
@@ -241,13 +246,13 @@ CHANGES = REPLAY + """, ch as (select * from (select session_id, seq, status, la
 
 @query("w11_state_changes", ["command_log"], CHANGES + "select session_id, seq, previous, status from ch", recursive=True)
 def w11(command_log):
-    return pl.state_changes(_replayed(command_log))
+    return pl.state_changes(_settled(command_log))
 
 
 @query("w11_transition_counts", ["command_log"], CHANGES + """
 select previous, status, count(*) as times from ch where previous is not null group by all""", recursive=True)
 def w11_counts(command_log):
-    return pl.transition_counts(pl.state_changes(_replayed(command_log)))
+    return pl.transition_counts(pl.state_changes(_settled(command_log)))
 
 
 def _dimension_sql() -> str:
@@ -276,7 +281,7 @@ def a11(command_log):
 select session_id, count(*) filter (accepted) as accepted, count(*) filter (not accepted) as rejected, cast(0 as bigint) as mutated_by_rejection
 from replayed group by session_id""", recursive=True)
 def a12(command_log):
-    return pl.command_counters(_replayed(command_log))
+    return pl.command_counters(_settled(command_log))
 
 
 @query("a13_duplicate_commands", ["command_log"], """
@@ -331,7 +336,7 @@ l as (select *, coalesce(lag(win) over (partition by session_id order by seq), [
 @query("s1_prepared_window", ["command_log"], WINDOWS + """
 select session_id, seq, frame, array_to_string(list_sort(list_filter(win, lambda x: not list_contains(before, x))), ',') as added,
   array_to_string(list_sort(list_filter(win, lambda x: list_contains(before, x))), ',') as kept,
-  array_to_string(list_sort(list_filter(before, lambda x: not list_contains(win, x))), ',') as discarded from l""")
+  array_to_string(list_sort(list_filter(before, lambda x: not list_contains(win, x))), ',') as discarded from l""", settle=["command_log"])
 def s1(command_log):
     text = lambda n: F.array_join(F.sort_array(n), ",").alias(n)
     return pl.prepared_window(command_log, 10, 90).select(
@@ -340,7 +345,7 @@ def s1(command_log):
 
 @query("s2_window_health", ["command_log"], WINDOWS + """
 select session_id, seq, case when len(before) = 0 then 'Empty' when not list_contains(before, frame) then 'Underrun'
-  when len(list_filter(before, lambda x: x >= frame)) < 3 then 'LowWater' else 'Ok' end as health from l""")
+  when len(list_filter(before, lambda x: x >= frame)) < 3 then 'LowWater' else 'Ok' end as health from l""", settle=["command_log"])
 def s2(command_log):
     return pl.window_health(pl.prepared_window(command_log, 10, 90), 3)
 
@@ -348,7 +353,7 @@ def s2(command_log):
 @query("k4_run_cap", ["command_log"], """
 , t as (select session_id, seq, frame, row_number() over w as tick, sum(case when frame >= 100 then 1 else 0 end) over w as past
   from command_log where command = 'Play' window w as (partition by session_id order by seq rows unbounded preceding))
-select session_id, seq, frame, tick from t where tick <= 5 and past = 0""")
+select session_id, seq, frame, tick from t where tick <= 5 and past = 0""", settle=["command_log"])
 def k4(command_log):
     return pl.run_cap(command_log.where("command = 'Play'").select("session_id", "seq", "frame"), 5, 100)
 

@@ -106,12 +106,11 @@ def st4(events):
     wins = win.live_counters(stream, "ts", "1 day", "1 hour", {
         "counted": c("event_id").isNotNull(), "on_time": c("value") <= 5, "dropped": c("value") > 40})
     spark = events.sparkSession
-    total = src.run_to_table(wins, "late").agg(*[F.sum(n).alias(n) for n in ("counted", "on_time", "dropped")])
+    counted = src.run_to_table(wins, "late").drop("start")
     arrivals = win.ArrivalCounts(fresh_path(spark, "arrivals"))
     src.run_batches(stream.where("event_id is not null").select("event_id"), "arrivals", arrivals.add)
-    seen = arrivals.read(spark).agg(F.sum("rows").alias("arrived"))
-    # Both sides are a single row of totals.
-    return total.join(F.broadcast(seen)).select(
+    both = counted.unionByName(arrivals.read(spark).withColumnRenamed("rows", "arrived"), allowMissingColumns=True)
+    return both.agg(*[F.sum(n).alias(n) for n in both.columns]).select(
         "arrived", "counted", (c("arrived") - c("counted")).alias("late"), "on_time", "dropped")
 
 

@@ -84,7 +84,7 @@ def t7(packet):
 @query("t8_pts_dts", ["packet"], """
 , d as (select clip_id, packet_no, composition_offset,
   cast(sum(duration) over (partition by clip_id order by packet_no) - duration as bigint) as dts from packet)
-select clip_id, packet_no, dts, dts + composition_offset as pts from d""")
+select clip_id, packet_no, dts, dts + composition_offset as pts from d""", settle=["packet"])
 def t8(packet):
     return ix.presentation_times(packet)
 
@@ -102,7 +102,7 @@ def t9(clip):
     (frame + 40) * 48000 // 1000 as req_end from command_log where command in ('Seek', 'Cue'))
 select r.request_id, r.clip_id, r.req_start, r.req_end, count(i.clip_id) as blocks
 from req r left join idx i on i.clip_id = r.clip_id and i.end_sample > r.req_start and i.start_sample < r.req_end
-group by all""")
+group by all""", settle=["packet", "command_log"])
 def t10(command_log, packet):
     asked = command_log.where("command in ('Seek', 'Cue')").select(
         c("command_id").alias("request_id"), c("session_id").alias("clip_id"),
