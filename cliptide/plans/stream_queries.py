@@ -45,19 +45,19 @@ def snk1(clip):
 
 @query("src4_event_stream", ["command_log"], "select command, count(*) as commands from command_log group by command")
 def src4(command_log):
-    return src.run_to_table(_stream(command_log).select("command_id", "command"), "events").groupBy("command").agg(
+    return src.run_to_table(command_log.sparkSession, _stream(command_log).select("command_id", "command"), "events").groupBy("command").agg(
         F.count("*").alias("commands"))
 
 
 @query("snk2_transcript", ["command_log"], "select session_id, seq, command_id, command from command_log")
 def snk2(command_log):
-    return src.run_to_table(_stream(command_log).select("session_id", "seq", "command_id", "command"), "transcript")
+    return src.run_to_table(command_log.sparkSession, _stream(command_log).select("session_id", "seq", "command_id", "command"), "transcript")
 
 
 @query("st1_streaming_replay", ["command_log"], REPLAY + """
 select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation from replayed""", recursive=True)
 def st1(command_log):
-    return src.run_to_table(replay_stream(_stream(command_log), machines.player()), "replay")
+    return src.run_to_table(command_log.sparkSession, replay_stream(_stream(command_log), machines.player()), "replay")
 
 
 @query("st2_streaming_dedup", ["command_log"], "select distinct session_id, command_id from command_log")
@@ -67,7 +67,7 @@ def st2(command_log):
     again = [p.where("command_id % 7 = 0") for p in parts]
     sent = [parts[0], *(p.unionByName(r) for p, r in zip(parts[1:], again))]
     return src.run_to_table(
-        win.drop_repeated(_stream(command_log, (sent, files)), ["session_id", "command_id"], "ts", "20 days"), "commands"
+        command_log.sparkSession, win.drop_repeated(_stream(command_log, (sent, files)), ["session_id", "command_id"], "ts", "20 days"), "commands"
     ).select("session_id", "command_id")
 
 
@@ -85,30 +85,30 @@ st as (
 select session_id, seq, label, covered_until, submissions from st where seq > 0""", recursive=True)
 def st3(command_log):
     ticks = _stream(command_log).withColumn("op", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick"))
-    return src.run_to_table(replay_stream(ticks, machines.coverage()), "coverage").drop("late")
+    return src.run_to_table(command_log.sparkSession, replay_stream(ticks, machines.coverage()), "coverage").drop("late")
 
 
 SLICED = """, b as (select min(epoch_ms(ts) // 1000) as low, max(epoch_ms(ts) // 1000) as high from events),
-s as (select e.*, (epoch_ms(ts) // 1000 - low) // ((high - low) // 8 + 1) as slice from events e, b)"""
+s as (select e.*, (epoch_ms(ts) // 1000 - low) // ((high - low) // 4 + 1) as slice from events e, b)"""
 
 
 @query("st4_late_accounting", ["events"], SLICED + """
-select count(*) as arrived, count(*) filter (slice <> 5) as counted, count(*) filter (slice = 5) as late,
-  count(*) filter (slice <> 5 and value <= 5) as on_time, count(*) filter (slice <> 5 and value > 40) as dropped from s""")
+select count(*) as arrived, count(*) filter (slice <> 1) as counted, count(*) filter (slice = 1) as late,
+  count(*) filter (slice <> 1 and value <= 5) as on_time, count(*) filter (slice <> 1 and value > 40) as dropped from s""")
 def st4(events):
-    """The sixth slice is held back until the watermark has passed it: none of its rows may vanish unseen.
+    """The second slice is held back until the watermark has passed it: none of its rows may vanish unseen.
 
-    Rows count as late against the watermark of the batch before, so two slices go in between.
+    Rows count as late against the watermark of the batch before, so both remaining slices go in between.
     """
-    parts, files = src.time_slices(events, "ts", 8)
-    held = parts.pop(5)
+    parts, files = src.time_slices(events, "ts", SLICES)
+    held = parts.pop(1)
     stream = _stream(events, ([*parts, held, _heartbeat(events)], files))
     wins = win.live_counters(stream, "ts", "1 day", "1 hour", {
         "counted": c("event_id").isNotNull(), "on_time": c("value") <= 5, "dropped": c("value") > 40})
     spark = events.sparkSession
-    counted = src.run_to_table(wins, "late").drop("start")
+    counted = src.run_to_table(spark, wins, "late").drop("start")
     arrivals = win.ArrivalCounts(fresh_path(spark, "arrivals"))
-    src.run_batches(stream.where("event_id is not null").select("event_id"), "arrivals", arrivals.add)
+    src.run_batches(spark, stream.where("event_id is not null").select("event_id"), "arrivals", arrivals.add)
     both = counted.unionByName(arrivals.read(spark).withColumnRenamed("rows", "arrived"), allowMissingColumns=True)
     return both.agg(*[F.sum(n).alias(n) for n in both.columns]).select(
         "arrived", "counted", (c("arrived") - c("counted")).alias("late"), "on_time", "dropped")
@@ -121,7 +121,7 @@ def st5(command_log):
     parts, files = src.time_slices(command_log, "ts", SLICES)
     wins = win.live_counters(_stream(command_log, ([*parts, _heartbeat(command_log)], files)), "ts", "1 day", "1 hour", {
         "commands": c("command_id").isNotNull(), "plays": c("command") == "Play", "checked": c("expected_generation").isNotNull()})
-    return src.run_to_table(wins, "status").select(
+    return src.run_to_table(command_log.sparkSession, wins, "status").select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "commands", "plays", "checked")
 
 
@@ -132,5 +132,5 @@ def st6(command_log):
     spark = command_log.sparkSession
     stream = _stream(command_log).select("session_id", "seq", "command", "frame")
     table = sinks.SnapshotTable(fresh_path(spark, "snapshots"), "session_id", "seq", "session_id bigint, seq bigint, command string, frame bigint")
-    last = src.run_batches(stream, "snapshots", table.upsert)
+    last = src.run_batches(spark, stream, "snapshots", table.upsert)
     return table.read(spark, last)

@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import fresh_path, stage
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session for streams, leaving the settings of the caller's as they are.
+
+    State lives in RocksDB, off the heap. Every state partition is opened in every micro-batch and their
+    number is fixed for a stream's life, so there are at most two per core.
+    """
+    own = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        own.conf.set(name, spark.conf.get(name))
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", str(min(wanted, 2 * spark.sparkContext.defaultParallelism)))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
+
 
 ROWS_PER_FILE = 4_000_000
 
@@ -36,16 +53,15 @@ def land(parts: Sequence[DataFrame], path: str, files: int) -> str:
     return path
 
 
-def open_stream(spark, path: str, schema, ts: str, files_per_trigger: int) -> DataFrame:
+def open_stream(spark: SparkSession, path: str, schema, ts: str, files_per_trigger: int) -> DataFrame:
     """Read a landed log as a stream with its declared schema; event time becomes TIMESTAMP here only,
     because a watermark does not take the zone-less type."""
-    log = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    log = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     return log.withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Drain a stream into a parquet table in the shared folder and read it back."""
-    spark = stream.sparkSession
+def run_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    """Drain a stream into a parquet table in the shared folder and read it back with ``spark``."""
     out, state = fresh_path(spark, label), fresh_path(spark, f"{label}-state")
     q = (
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
@@ -55,9 +71,9 @@ def run_to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int], None]) -> int:
+def run_batches(spark: SparkSession, stream: DataFrame, label: str, each: Callable[[DataFrame, int], None]) -> int:
     """Drain a stream through ``each``; returns the number of the last batch."""
-    state = fresh_path(stream.sparkSession, f"{label}-state")
+    state = fresh_path(spark, f"{label}-state")
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
     return q.lastProgress.batchId

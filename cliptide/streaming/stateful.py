@@ -12,9 +12,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fold import Machine
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def plain_column(column: pd.Series, whole: bool) -> list:
     """Values as the step functions take them. A nullable integer reaches pandas as float."""
     missing = column.isna()
@@ -65,9 +62,7 @@ class MachineProcessor(StatefulProcessor):
 
 
 def replay_stream(stream: DataFrame, machine: Machine, key: str = "session_id", seq: str = "seq") -> DataFrame:
-    """A machine over a stream keyed by session."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    """A machine over a stream keyed by session; needs the RocksDB state of ``stream_session``."""
     keyed = T.StructType([stream.schema[key], T.StructField("late", T.BooleanType()),
                           *machine.output_fields()])
     columns = list(dict.fromkeys([key, *machine.inputs]))
