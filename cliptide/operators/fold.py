@@ -31,6 +31,10 @@ from ..sources.tables import stage
 
 Row = tuple
 
+# A step costs far more than its bytes suggest, so tasks are sized by rows. A fixed number also keeps
+# adaptive execution from merging them by size.
+ROWS_PER_TASK = 20_000
+
 
 @dataclass(frozen=True)
 class Machine:
@@ -61,12 +65,31 @@ class Machine:
         return [f.name for f in self.state_fields()]
 
 
+def _values(column: pa.Array) -> list:
+    """An Arrow column as plain Python values; far faster than one conversion per value."""
+    kind = column.type
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(kind):
+        coded = column.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        return [None if i is None else words[i] for i in _values(coded.indices)]
+    if not (pa.types.is_integer(kind) or pa.types.is_boolean(kind)):
+        return column.to_pylist()
+    if column.null_count == 0:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    filled = column.fill_null(False if pa.types.is_boolean(kind) else 0).to_numpy(zero_copy_only=False).tolist()
+    known = column.is_valid().to_numpy(zero_copy_only=False).tolist()
+    return [v if k else None for v, k in zip(filled, known)]
+
+
 def _s(name: str) -> str:
     return f"_s_{name}"
 
 
-def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: Sequence[str], machine: Machine, ends: bool
-         ) -> DataFrame:
+def _run(
+    rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: Sequence[str], machine: Machine, tasks: int, ends: bool
+) -> DataFrame:
     """Fold every (key, block). A mark is a row that comes before its block and carries its start state."""
     group = [*keys, "_block"]
     states = machine.state_names()
@@ -75,7 +98,7 @@ def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: S
     if marks is not None:
         log = log.unionByName(
             marks.select(*group, F.lit(0).alias("_place"), "_final", *map(_s, states)), allowMissingColumns=True)
-    ordered = log.repartition(*group).sortWithinPartitions(*group, "_place", *order)
+    ordered = log.repartition(tasks, *group).sortWithinPartitions(*group, "_place", *order)
 
     key_fields = [rows.schema[k] for k in group]
     out_fields = machine.state_fields() if ends else machine.output_fields()
@@ -101,7 +124,7 @@ def _run(rows: DataFrame, marks: DataFrame | None, keys: Sequence[str], order: S
             return [(*key[:width], *o) for o in finish(state)] if finish and final else ()
 
         for batch in batches:
-            read = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
+            read = lambda n: _values(batch.column(batch.schema.get_field_index(n)))
             groups = zip(*[read(k) for k in group])
             places = read("_place")
             starts = list(zip(*[read(_s(n)) for n in states])) if marked else None
@@ -140,15 +163,21 @@ def ordered_fold(log: DataFrame, keys: Sequence[str], order: Sequence[str], mach
     # computed for each.
     rows = stage(log.withColumn("_block", block).select(*wanted), "fold-log")
     blocks = rows.groupBy(*group).agg(F.count("*").alias("_rows"))
-    many = blocks.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    if many.isEmpty():
-        return _run(rows, None, keys, order, machine, ends=False)
+    per_key = blocks.groupBy(*keys).agg(F.count("*").alias("_n"), F.sum("_rows").alias("_rows"))
+    most, total = per_key.agg(F.max("_n"), F.sum("_rows")).first()
+    tasks = min(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // ROWS_PER_TASK + 1)
+    if (most or 0) < 2:
+        return _run(rows, None, keys, order, machine, tasks, ends=False)
 
-    marks = settle(rows.join(many, list(keys), "left_semi"), blocks.join(many, list(keys), "left_semi"), keys, order, machine)
-    return _run(rows, marks, keys, order, machine, ends=False)
+    many = per_key.where("_n > 1").select(*keys)
+    marks = settle(rows.join(many, list(keys), "left_semi"), blocks.join(many, list(keys), "left_semi"), keys, order, machine,
+                   tasks)
+    return _run(rows, marks, keys, order, machine, tasks, ends=False)
 
 
-def settle(rows: DataFrame, blocks: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine) -> DataFrame:
+def settle(
+    rows: DataFrame, blocks: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, tasks: int
+) -> DataFrame:
     """Start state of every block of the keys that have several."""
     group = [*keys, "_block"]
     fields = machine.state_fields()
@@ -163,7 +192,7 @@ def settle(rows: DataFrame, blocks: DataFrame, keys: Sequence[str], order: Seque
     changed, ends = marks, None
     while True:
         busy = rows.join(changed.select(*group), group, "left_semi")
-        fresh = _run(busy, changed, keys, order, machine, ends=True)
+        fresh = _run(busy, changed, keys, order, machine, tasks, ends=True)
         if ends is not None:
             fresh = fresh.unionByName(ends.join(changed.select(*group), group, "left_anti"))
         ends = stage(fresh, "fold-ends")
