@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import load
-from . import bpe, langid, simhash
+from ..sources import load, stage
+from . import bpe, langid, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,3 +45,13 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     told = langid.identify(docs, language_model(docs))
     return told.select("doc_id", F.coalesce(_part(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = stage(quality.statistics(load(spark, sf_dir, "documents")), "statistics")
+    labels = load(spark, sf_dir, "labels").where(_part(4) != 2).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(measured, quality.fit(measured, labels))
+    return scored.select(
+        "doc_id", F.coalesce(_part(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
