@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load, stage
-from . import bpe, decontaminate, langid, quality, simhash
+from . import bpe, decontaminate, langid, quality, simhash, syncmer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmer.robustness(load(spark, sf_dir, "documents"))
