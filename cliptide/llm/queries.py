@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load, stage
-from . import bpe, decontaminate, langid, quality, simhash, syncmer
+from . import bpe, decontaminate, langid, quality, simhash, syncmer, url_list
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmer.robustness(load(spark, sf_dir, "documents"))
+
+
+@query
+def op6_url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_list.screen(*url_list.derived_log(load(spark, sf_dir, "pages")))
+
+
+ORACLE["op6_url_list"] = url_list.SQL
