@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load, stage
-from . import bpe, decontaminate, langid, lpf, quality, simhash, syncmer, url_list
+from . import bpe, decontaminate, langid, lpf, quality, simhash, syncmer, url_list, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,8 @@ ORACLE["op6_url_list"] = url_list.SQL
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf.digest(lpf.dedup(load(spark, sf_dir, "documents")))
+
+
+@query
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.passages(load(spark, sf_dir, "documents"))
