@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load, stage
-from . import bpe, decontaminate, langid, lpf, quality, simhash, syncmer, url_list, windows
+from . import bpe, decontaminate, langid, lpf, pages, quality, simhash, syncmer, url_list, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.passages(load(spark, sf_dir, "documents"))
+
+
+@query
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(load(spark, sf_dir, "pages"))
