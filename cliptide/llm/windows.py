@@ -311,7 +311,8 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     cuts = stage(passages(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("word_start", "word_end")).alias("__cuts")).withColumnRenamed("doc_id", "__cut_id"), "cuts")
     near, far = thin(docs, cuts.withColumnRenamed("__cut_id", id_col), id_col)
-    at, has_length = docs.columns.index(text_col), length_col in docs.columns
+    at = docs.columns.index(text_col)
+    length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
         for batch in batches:
@@ -330,9 +331,8 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 texts.append(text)
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if has_length:
-                k = docs.columns.index(length_col)
-                columns[k] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(k).type)
+            if length_at is not None:
+                columns[length_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(length_at).type)
             left = [t is None or bool(t.strip()) or not own.is_valid for t, own in zip(texts, batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(left, pa.bool_()))
 
