@@ -229,6 +229,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(doc_id, n_bytes, n_removed, kept, spans): each text without the bytes that earlier documents cover.
 
     kept is the remaining bytes, spans the removed ranges [lo, hi) in order. Null is an empty text. Repeated rows stay.
+    An id names one text; different texts under one id are each cut by all ranges found for the id.
     """
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()),
@@ -249,7 +250,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     mark = np.zeros(len(raw) + 1, np.int64)
                     if at.is_valid:
                         lo, hi = (at.values.field(i).to_numpy() for i in (0, 1))
-                        np.add.at(mark, lo, 1)
+                        np.add.at(mark, np.minimum(lo, len(raw)), 1)
                         np.add.at(mark, np.minimum(hi, len(raw)), -1)
                     drop = np.cumsum(mark)[:-1] > 0
                     edge = np.flatnonzero(np.diff(np.concatenate(([0], drop.view(np.int8), [0]))))

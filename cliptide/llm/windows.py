@@ -307,7 +307,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs``, all columns, with the passages of earlier documents cut out of the texts; the first copy stays.
 
     The cut takes the words and the white space after them. A document of which no word is left goes. The length column,
-    if there is one, follows the text.
+    if there is one, follows the text. Different texts under one id are each cut at all places found for the id.
     """
     cuts = stage(passages(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("word_start", "word_end")).alias("__cuts")).withColumnRenamed("doc_id", "__cut_id"), "cuts")
     near, far = thin(docs, cuts.withColumnRenamed("__cut_id", id_col), id_col)
@@ -326,7 +326,8 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     edge = np.concatenate((begin, [len(data)]))
                     keep = np.ones(len(data), bool)
                     for c in own.as_py():
-                        keep[edge[c["word_start"]] : edge[c["word_end"]]] = False
+                        a, b = (min(c[k], len(edge) - 1) for k in ("word_start", "word_end"))
+                        keep[edge[a] : edge[b]] = False
                     text = data[keep].tobytes().decode().rstrip()
                 texts.append(text)
             columns = list(batch.columns[:-1])
