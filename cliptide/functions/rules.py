@@ -160,26 +160,51 @@ def exposes_path(text: Column) -> Column:
     return text.startswith("/") | text.contains("file:")
 
 
-def path_audit(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
-    """Long form of every identity or binding field that shows a private path."""
-    long = df.unpivot([key], list(fields), "field", "text")
-    return long.where(exposes_path(F.col("text"))).select(key, "field")
+# The texts of a prepared input in which a private path may show.
+PRIVATE_FIELDS = (
+    "binding_ref", "proxy_binding_ref", "public_uri", "source_id", "workspace_uri", "original_media_id", "proxy_media_id",
+)
+
+
+def exposes_any(fields: Sequence[str] = PRIVATE_FIELDS, flag: str = "private_path_exposed") -> Column:
+    """A record is private if it says so itself or if any of its texts shows a path; never null."""
+    shown = [F.coalesce(exposes_path(F.col(f)), F.lit(False)) for f in fields]
+    return any_of([F.coalesce(F.col(flag), F.lit(False)), *shown])
+
+
+def path_audit(df: DataFrame, key: str, fields: Sequence[str] = PRIVATE_FIELDS, flag: str = "private_path_exposed") -> DataFrame:
+    """Long form of every field that shows a private path, and of the flag where it is set."""
+    long = df.unpivot([key], list(fields), "field", "text").where(exposes_path(F.col("text"))).select(key, "field")
+    return long.unionByName(df.where(flag).select(key, F.lit(flag).alias("field")))
+
+
+def path_counts(df: DataFrame, fields: Sequence[str] = PRIVATE_FIELDS) -> DataFrame:
+    """Per field: values that show a private path, and values that are there."""
+    long = df.select(*fields).unpivot([], list(fields), "field", "text")
+    return long.groupBy("field").agg(F.count_if(exposes_path(F.col("text"))).alias("blocked"), F.count("text").alias("checked"))
 
 
 def validate_prepared(scheme: str = "media://") -> Column:
     """First failing rule of a prepared input, or ``ok``.
 
-    Expects public_uri, binding_ref, proxy_binding_ref, audio_authority, proxy_aac_authoritative,
-    playback_input, proxy_available, picture, mode, lanes, sample_rate, bit_depth, project_channels,
-    project_rate, rate_den, duration_frames, range_start, range_end and timing_compatible.
+    Expects contract_version, the texts of PRIVATE_FIELDS, private_path_exposed, audio_authority,
+    proxy_aac_authoritative, playback_input, proxy_available, picture, mode, lanes, sample_rate, bit_depth,
+    project_channels, project_rate, rate_den, duration_frames, range_start, range_end, timing_compatible, proxy_bound
+    and proxy_video. The media ids may be null, the other two URIs may not; a null range is no range.
     """
     c = F.col
     by_proxy = c("mode") == "ProxyPreview"
-    compatible = F.coalesce(c("timing_compatible"), F.lit(False))
+    known = lambda name: F.coalesce(c(name), F.lit(False))
+    compatible = known("timing_compatible")
+    public = lambda name, absent: F.coalesce(public_uri_ok(c(name), scheme), F.lit(absent))
+    named = (
+        (F.trim(F.coalesce("contract_version", F.lit(""))) != "") & public("public_uri", False) & public("workspace_uri", False)
+        & public("original_media_id", True) & public("proxy_media_id", True)
+    )
     return first_label(
         [
-            (~public_uri_ok(c("public_uri"), scheme), URI_MISSING),
-            (any_of([exposes_path(c(f)) for f in ("binding_ref", "proxy_binding_ref", "public_uri")]), PATH_EXPOSED),
+            (~named, URI_MISSING),
+            (exposes_any(), PATH_EXPOSED),
             (c("proxy_aac_authoritative"), PROXY_AUDIO),
             (c("audio_authority") != "Original", AUDIO_MISSING),
             (~(((c("mode") == "ProxyPreview") & (c("picture") == "Proxy"))
@@ -193,7 +218,7 @@ def validate_prepared(scheme: str = "media://") -> Column:
              PROJECT_AUDIO),
             (c("range_start") >= c("range_end"), RANGE),
             (by_proxy & ~compatible, TIMING_UNKNOWN),
-            (by_proxy & c("proxy_binding_ref").isNull(), MODE),
+            (by_proxy & (~known("proxy_bound") | c("proxy_binding_ref").isNull() | ~known("proxy_video")), MODE),
         ],
         "ok",
     )

@@ -15,6 +15,9 @@ FULL_SCALE = 8388608
 SILENCE_RMS = 1e-4  # -80 dBFS
 
 # Output mode -> channels in output order.
+# Samples of a grid cell in which the channels of a clip meet.
+SAMPLES_PER_CELL = 4096
+
 ROUTES = {"none": [], "monitor": [3, 0], "four-mono": [0, 1, 2, 3]}
 
 
@@ -119,27 +122,42 @@ def loudest_range(samples: DataFrame, blocks_per_range: int, chunk_width: int =
              F.round(F.sqrt("best.m") / FULL_SCALE, 6).alias("rms"))
 
 
-def interleave(placed: DataFrame, channels: int) -> DataFrame:
-    """Channels side by side per sample: one row per sample with one value per channel in order.
+def interleave(placed: DataFrame, channels: int, grid: int = SAMPLES_PER_CELL) -> DataFrame:
+    """Channels of a clip side by side: (clip_id, sample, short, values), one value for each expected channel in order.
 
-    Blocks meet by their start sample, so a group holds one block per channel. ``short`` marks a range
-    where a channel is missing or has fewer samples; its values are null there.
+    Rows are blocks (clip_id, channel, start_sample, length, samples) with channels from 0. Blocks are cut at a grid of
+    samples and meet by (clip, grid cell), so the channels' own block cuts do not matter and a long clip is spread. A
+    channel that is missing at a sample, or whose blocks leave a gap or overlap in the cell, is null there; ``short``
+    marks the samples with a null. Channels beyond the expected ones are left out.
     """
-    at_start = placed.groupBy("start_sample").agg(
-        F.sort_array(F.collect_list(F.struct("track_id", "samples"))).alias("ch"),
-        F.max("length").alias("longest"), F.min("length").alias("shortest"))
-    row = lambda i: F.transform("ch", lambda x: F.get(x["samples"], i.cast("int")))
-    short = (F.size("ch") < channels) | (F.col("shortest") < F.col("longest"))
-    rows = at_start.select(
-        "start_sample", short.alias("short"),
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.col("longest") - 1), row)).alias("i", "values"))
-    return rows.select((F.col("start_sample") + F.col("i")).alias("sample"), "short", "values")
+    c = F.col
+    end = c("start_sample") + c("length")
+    cut = placed.where((c("length") > 0) & (c("channel") < channels)).withColumn(
+        "cell", F.explode(F.sequence(div("start_sample", grid), div(end - 1, grid))))
+    begin, stop = F.greatest("start_sample", c("cell") * grid), F.least(end, (c("cell") + 1) * grid)
+    part = F.struct(
+        (begin - c("cell") * grid).cast("int").alias("at"),
+        F.slice("samples", (begin - c("start_sample") + 1).cast("int"), (stop - begin).cast("int")).alias("s"))
+    track = cut.groupBy("clip_id", "cell", "channel").agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    joins = F.forall(
+        F.sequence(F.lit(1), F.size("parts")),
+        lambda i: (i == F.size("parts")) | (F.get("parts", i)["at"] == F.get("parts", i - 1)["at"] + F.size(F.get("parts", i - 1)["s"])))
+    track = track.where(joins).select(
+        "clip_id", "cell", F.struct("channel", c("parts")[0]["at"].alias("at"), F.flatten(F.transform("parts", lambda x: x["s"])).alias("s")).alias("t"))
+    cells = track.groupBy("clip_id", "cell").agg(F.collect_list("t").alias("ch"), F.max(c("t.at") + F.size("t.s")).alias("n"), F.min("t.at").alias("lo"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(channels - 1)), lambda k: F.get(F.filter("ch", lambda x: x["channel"] == k), F.lit(0)))
+    row = lambda i: F.transform("slots", lambda x: F.when(i >= x["at"], F.get(x["s"], i - x["at"])))
+    rows = cells.withColumn("slots", slots).select(
+        "clip_id", "cell", "lo", F.posexplode(F.transform(F.sequence(c("lo"), c("n") - 1), row)).alias("i", "values"))
+    return rows.select(
+        "clip_id", (c("cell") * grid + c("lo") + c("i")).alias("sample"), F.exists("values", lambda v: v.isNull()).alias("short"), "values")
 
 
 def route(rows: DataFrame, mode: str) -> DataFrame:
-    """Interleaved rows with the channels of an output mode, in its order."""
+    """Interleaved rows with the channels of an output mode, in its order; samples without one of these are left out."""
     picked = F.array(*[F.get("values", F.lit(ch)) for ch in ROUTES[mode]]).cast("array<int>")
-    return rows.select("sample", F.lit(mode).alias("mode"), picked.alias("values"))
+    return rows.select("clip_id", "sample", F.lit(mode).alias("mode"), picked.alias("values")).where(
+        F.forall("values", lambda v: v.isNotNull()))
 
 
 def byte_readings(sample: Column) -> dict[str, Column]:

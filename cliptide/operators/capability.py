@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 PIXELS_PER_BUCKET = 256
-CONFIG = ["profile", "bit_depth", "chroma"]
+CONFIG = ["codec", "scan", "profile", "bit_depth", "chroma"]
+
+
+def by_scan(capabilities: DataFrame) -> DataFrame:
+    """One row for each scan mode a capability has; one that has neither decodes nothing."""
+    modes = F.array_compact(F.array(F.when(F.col("progressive"), "progressive"), F.when(F.col("interlaced"), "interlaced")))
+    return capabilities.withColumn("scan", F.explode(modes))
 
 
 def usable(capabilities: DataFrame, formats: DataFrame) -> DataFrame:
@@ -24,7 +31,7 @@ def reach(capabilities: DataFrame) -> DataFrame:
     distinct width, however many capabilities there are, and each request meets at most one of them.
     """
     tall = lambda b: F.max(F.when(F.col("backend") == b, F.col("max_height")))
-    per_width = capabilities.where("progressive").groupBy(*CONFIG, "max_width").agg(
+    per_width = by_scan(capabilities).groupBy(*CONFIG, "max_width").agg(
         tall("hardware").alias("hw"), tall("software").alias("sw"))
     wider = Window.partitionBy(*CONFIG).orderBy(F.desc("max_width")).rowsBetween(Window.unboundedPreceding, 0)
     narrower = Window.partitionBy(*CONFIG).orderBy("max_width")
@@ -91,11 +98,15 @@ def live_at_disconnect(log: DataFrame) -> DataFrame:
 
 
 def ownership_audit(log: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Outcome of every operation on a resource; failing ones have no effect on later ones."""
+    """Outcome of every operation on a resource; failing ones have no effect on later ones.
+
+    A resource's life ends with its owner's first destroy: a second destroy and any other use after it fail alike.
+    """
     created = F.col("op") == "create"
-    owned = ordered_scan(
+    # Staged between the scans: each reads its input twice.
+    owned = stage(ordered_scan(
         log, ["resource_id"], ["seq", "op", "session_id"], div("seq", chunk_width),
-        sums={"life": created.cast("bigint")}, lasts={"owner": F.when(created, F.col("session_id"))})
+        sums={"life": created.cast("bigint")}, lasts={"owner": F.when(created, F.col("session_id"))}), "owned")
     ends = (F.col("op") == "destroy") & (F.col("session_id") == F.col("owner"))
     ended = ordered_scan(
         owned, ["resource_id", "life"], ["seq", "op", "session_id"], div("seq", chunk_width),
@@ -103,7 +114,7 @@ def ownership_audit(log: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFr
     outcome = (
         F.when(created, "ok").when(F.col("owner").isNull(), "unknown-resource")
         .when(F.col("session_id") != F.col("owner"), "not-owner")
-        .when(F.col("ends") > 1, "already-destroyed").otherwise("ok")
+        .when(F.col("ends") > F.when(F.col("op") == "destroy", 1).otherwise(0), "already-destroyed").otherwise("ok")
     )
     return ended.select("session_id", "resource_id", "op", "seq", outcome.alias("outcome"))
 

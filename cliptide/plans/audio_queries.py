@@ -43,15 +43,24 @@ def w8(pcm_sample):
 
 INTER = """, st as (select track_id, block_no, sum(len(samples)) over (partition by track_id order by block_no) - len(samples) as start_sample
   from pcm_block),
-g as (select cast(start_sample + pos as bigint) as sample, track_id, s24 from pcm_sample join st using (track_id, block_no)),
-rows_ as (select sample, count(*) < 10 as short, list(s24 order by track_id) as v from g group by sample)"""
+g as (select cast(track_id // 5 as bigint) as clip_id, cast(start_sample + pos as bigint) as sample, track_id % 5 as ch, s24
+  from pcm_sample join st using (track_id, block_no)),
+rows_ as (select clip_id, sample, count(*) < 5 as short, ["""+", ".join(f"max(s24) filter (ch = {k})" for k in range(5))+"""] as v from g group by all)"""
+
+
+def _placed(pcm_block):
+    """Two clips of five channels each."""
+    return au.block_positions(pcm_block).withColumns({
+        "samples": au.to_s24(c("samples")), "clip_id": F.floor(c("track_id") / 5), "channel": c("track_id") % 5})
+
+
 
 
 @query("v7_interleave", ["pcm_block", "pcm_sample"], INTER + """
-select sample, short, array_to_string(v, ',') as sample_values from rows_""")
+select clip_id, sample, short, array_to_string(list_transform(v, lambda x: coalesce(cast(x as varchar), '-')), ',') as sample_values from rows_""")
 def v7(pcm_block, pcm_sample):
-    placed = au.block_positions(pcm_block).withColumn("samples", au.to_s24(c("samples")))
-    return au.interleave(placed, 10).select("sample", "short", F.array_join("values", ",").alias("sample_values"))
+    return au.interleave(_placed(pcm_block), 5).select(
+        "clip_id", "sample", "short", F.array_join("values", ",", "-").alias("sample_values"))
 
 
 @query("v8_scale_clamp", ["pcm_sample"], """
@@ -73,14 +82,14 @@ def v9(pcm_sample):
 
 
 @query("v11_output_routing", ["pcm_block", "pcm_sample"], INTER + """
-select sample, 'monitor' as mode, concat(v[4], ',', v[1]) as sample_values from rows_ where not short
-union all select sample, 'four-mono', concat(v[1], ',', v[2], ',', v[3], ',', v[4]) from rows_ where not short
-union all select sample, 'none', '' from rows_ where not short""")
+select clip_id, sample, 'monitor' as mode, concat(v[4], ',', v[1]) as sample_values from rows_ where v[4] is not null and v[1] is not null
+union all select clip_id, sample, 'four-mono', concat(v[1], ',', v[2], ',', v[3], ',', v[4]) from rows_
+  where v[1] is not null and v[2] is not null and v[3] is not null and v[4] is not null
+union all select clip_id, sample, 'none', '' from rows_""")
 def v11(pcm_block, pcm_sample):
-    placed = au.block_positions(pcm_block).withColumn("samples", au.to_s24(c("samples")))
-    rows = au.interleave(placed, 10).where("not short")
+    rows = au.interleave(_placed(pcm_block), 5)
     out = au.route(rows, "monitor").unionByName(au.route(rows, "four-mono")).unionByName(au.route(rows, "none"))
-    return out.select("sample", "mode", F.array_join("values", ",").alias("sample_values"))
+    return out.select("clip_id", "sample", "mode", F.array_join("values", ",").alias("sample_values"))
 
 
 @query("j15_path_equivalence", ["pcm_block", "pcm_sample"], """

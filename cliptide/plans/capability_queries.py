@@ -13,14 +13,15 @@ VIEWS = ["decoder_request", "capability", "capability_format"]
 # The naive form: every request against every capability it could meet, kept to distinct shapes so that
 # DuckDB stays within memory at larger scale.
 MATCH = """
-, u as (select distinct profile, bit_depth, chroma, max_width, max_height, backend from capability a where progressive and exists
-    (select 1 from capability_format f where f.capability_id = a.capability_id and f.bit_depth = a.bit_depth and f.chroma = a.chroma)),
-q as (select distinct profile, bit_depth, chroma, width, height from decoder_request),
+, u as (select distinct codec, scan, profile, bit_depth, chroma, max_width, max_height, backend from
+    (select *, 'progressive' as scan from capability where progressive union all select *, 'interlaced' from capability where interlaced) a
+  where exists (select 1 from capability_format f where f.capability_id = a.capability_id and f.bit_depth = a.bit_depth and f.chroma = a.chroma)),
+q as (select distinct codec, scan, profile, bit_depth, chroma, width, height from decoder_request),
 m as (select q.*, coalesce(bool_or(u.backend = 'hardware'), false) as hardware, coalesce(bool_or(u.backend = 'software'), false) as software
-  from q left join u on u.profile = q.profile and u.bit_depth = q.bit_depth and u.chroma = q.chroma
-    and q.width <= u.max_width and q.height <= u.max_height group by all),
+  from q left join u on u.codec = q.codec and u.scan = q.scan and u.profile = q.profile and u.bit_depth = q.bit_depth
+    and u.chroma = q.chroma and q.width <= u.max_width and q.height <= u.max_height group by all),
 r as (select request_id, hardware, software, case when hardware then 'hardware' when software then 'software' else 'unsupported' end
-  as backend from decoder_request join m using (profile, bit_depth, chroma, width, height))"""
+  as backend from decoder_request join m using (codec, scan, profile, bit_depth, chroma, width, height))"""
 
 
 @query("j10_capability_match", VIEWS, MATCH + "select request_id, hardware or software as satisfied from r")
@@ -77,17 +78,22 @@ def a14(resource_log):
 
 @query("r7_resource_ownership", ["resource_log"], """
 , log2 as (select * from resource_log union all
-  select session_id, resource_id, op, seq + 1000000 from resource_log where op = 'destroy' and resource_id % 9 = 0),
+  select session_id, resource_id, op, seq + 1000000 from resource_log where op = 'destroy' and resource_id % 9 = 0 union all
+  select session_id, resource_id, 'use', case when resource_id % 2 = 0 then seq + 500000 else seq - 1 end from resource_log
+    where op = 'destroy' and resource_id % 7 = 0),
 e as (select *, count(*) filter (op = 'create') over w as life, last_value(case when op = 'create' then session_id end ignore nulls) over w as owner
   from log2 window w as (partition by resource_id order by seq, op, session_id rows unbounded preceding)),
 d as (select *, count(*) filter (op = 'destroy' and session_id = owner) over (partition by resource_id, life
     order by seq, op, session_id rows unbounded preceding) as ends from e)
 select session_id, resource_id, op, seq, case when op = 'create' then 'ok' when owner is null then 'unknown-resource'
-  when session_id <> owner then 'not-owner' when ends > 1 then 'already-destroyed' else 'ok' end as outcome from d""")
+  when session_id <> owner then 'not-owner' when ends > case when op = 'destroy' then 1 else 0 end then 'already-destroyed' else 'ok' end as outcome from d""")
 def r7(resource_log):
-    # Planted: one destroy in nine is repeated later.
+    # Planted: one destroy in nine is repeated later, and one resource in seven is used by whoever destroys it, every
+    # second time after that.
     again = resource_log.where("op = 'destroy' and resource_id % 9 = 0").withColumn("seq", c("seq") + 1000000)
-    return cap.ownership_audit(resource_log.unionByName(again))
+    use = resource_log.where("op = 'destroy' and resource_id % 7 = 0").withColumns({
+        "op": F.lit("use"), "seq": F.when(c("resource_id") % 2 == 0, c("seq") + 500000).otherwise(c("seq") - 1)})
+    return cap.ownership_audit(resource_log.unionByName(again).unionByName(use))
 
 
 @query("a15_evidence_rollup", ["evidence"], f"""

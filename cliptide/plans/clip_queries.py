@@ -8,6 +8,7 @@ from ..functions import rules as r
 from ..functions.timing import interval_ns, rates_equal
 from ..operators import metadata as md
 from .registry import query
+from .snippets import EXPOSED, PRIVATE
 
 c = F.col
 
@@ -217,53 +218,58 @@ def v1(identity):
     return identity.select("page_id", r.public_uri_ok(c("uri"), "http://").alias("public"))
 
 
-@query("v2_private_path_audit", ["clip"], """
-, f as (select clip_id, 'public_uri' as field, public_uri as text from clip union all select clip_id, 'binding_ref', binding_ref from clip
-  union all select clip_id, 'proxy_ref', case when clip_id % 101 = 0 then concat('file:', public_uri) end from clip)
-select clip_id, field from f where starts_with(text, '/') or contains(text, 'file:')""")
-def v2(clip):
-    fields = clip.withColumn("proxy_ref", F.when(c("clip_id") % 101 == 0, F.concat(F.lit("file:"), c("public_uri"))))
-    return r.path_audit(fields, "clip_id", ["public_uri", "binding_ref", "proxy_ref"])
+LONG = " union all ".join(f"select clip_id, '{f}' as field, {f} as text from prepared" for f in PRIVATE)
 
 
-@query("v2_private_path_counts", ["identity"], """
-select 'uri' as field, count(*) filter (starts_with(uri, '/') or contains(uri, 'file:')) as blocked, count(*) as checked from identity""")
-def v2_counts(identity):
-    return identity.agg(F.count_if(r.exposes_path(c("uri"))).alias("blocked"), F.count("*").alias("checked")).select(
-        F.lit("uri").alias("field"), "blocked", "checked")
+@query("v2_private_path_audit", ["prepared"], f"""
+, f as ({LONG})
+select clip_id, field from f where starts_with(text, '/') or contains(text, 'file:')
+union all select clip_id, 'private_path_exposed' from prepared where private_path_exposed""")
+def v2(prepared):
+    return r.path_audit(prepared, "clip_id")
 
 
+@query("v2_private_path_counts", ["prepared"], f"""
+, f as ({LONG})
+select field, count(*) filter (starts_with(text, '/') or contains(text, 'file:')) as blocked, count(text) as checked from f group by field""")
+def v2_counts(prepared):
+    return r.path_counts(prepared)
+
+
+PUBLIC = "starts_with({0}, 'media://') and not contains({0}, chr(92)) and not contains({0}, 'file:')"
 VALID = f"""
 , s as (select c.*, {PICTURE} as picture, {MODE} as mode, p.clip_id is not null as has_proxy,
     c.rate_num * p.rate_den = p.rate_num * c.rate_den and c.duration_frames = p.duration_frames as ok_timing
-  from clip c left join proxy p on p.clip_id = c.clip_id)
-select clip_id, case when not starts_with(public_uri, 'media://') then 'missing public source URI'
-  when starts_with(binding_ref, '/') then 'private path exposure rejected'
+  from prepared c left join proxy p on p.clip_id = c.clip_id)
+select clip_id, case when trim(contract_version) = '' or not ({PUBLIC.format('public_uri')}) or not ({PUBLIC.format('workspace_uri')})
+    or not coalesce({PUBLIC.format('original_media_id')}, true) or not coalesce({PUBLIC.format('proxy_media_id')}, true)
+    then 'missing public source URI'
+  when {EXPOSED} then 'private path exposure rejected'
   when audio_authority = 'ProxyAac' then 'proxy AAC cannot be authoritative'
+  when audio_authority <> 'Original' then 'missing authoritative original audio'
   when picture = 'MissingProxy' then 'selected picture representation does not match source mode'
   when lane_count = 0 then 'no original audio lanes'
   when lane_count = 4 and clip_id % 5 = 2 then 'stereo collapse is not a valid runtime audio model'
   when lane_count < 2 or duration_frames = 0 then 'invalid project audio'
   when range_start >= range_end then 'invalid active range'
   when mode = 'ProxyPreview' and not coalesce(ok_timing, false) then 'original/proxy timing compatibility unknown'
-  when mode = 'ProxyPreview' and clip_id % 7 = 3 then 'invalid source mode'
+  when mode = 'ProxyPreview' and (not proxy_bound or proxy_binding_ref is null or not has_proxy) then 'invalid source mode'
   else 'ok' end as outcome from s"""
 
 
-@query("v3_prepared_validation", ["clip", "proxy"], VALID)
-def v3(clip, proxy):
-    p = proxy.select("clip_id", c("rate_num").alias("pn"), c("rate_den").alias("pd"), c("duration_frames").alias("pf"))
+@query("v3_prepared_validation", ["prepared", "proxy"], VALID)
+def v3(prepared, proxy):
+    p = proxy.select("clip_id", c("rate_num").alias("pn"), c("rate_den").alias("pd"), c("duration_frames").alias("pf"), F.lit(True).alias("proxy_video"))
     channels = F.when(c("lane_count") > 0, F.sequence(F.lit(0), c("lane_count") - 1)).otherwise(F.array().cast("array<int>"))
-    # Planted: a four-lane clip in five has a stereo lane, and a proxy clip in seven has no proxy binding.
+    # Planted: a four-lane clip in five has a stereo lane.
     stereo = (c("lane_count") == 4) & (c("clip_id") % 5 == 2)
     lanes = F.transform(r.lanes(channels), lambda x: F.struct(
         x["lane_index"].alias("lane_index"), x["source_channel"].alias("source_channel"),
         F.when(stereo & (x["lane_index"] == 2), "Stereo").otherwise(x["kind"]).alias("kind"),
         x["authoritative"].alias("authoritative")))
     same = rates_equal(c("rate_num"), c("rate_den"), c("pn"), c("pd")) & (c("duration_frames") == c("pf"))
-    ready = chosen(clip).join(p, "clip_id", "left").withColumns({
+    ready = chosen(prepared).join(p, "clip_id", "left").withColumns({
         "lanes": lanes, "timing_compatible": same, "proxy_aac_authoritative": c("audio_authority") == "ProxyAac",
-        "proxy_binding_ref": F.when(c("clip_id") % 7 != 3, F.lit("opaque-proxy")),
         "project_channels": F.lit(2), "project_rate": F.lit(48000)})
     return ready.select("clip_id", r.validate_prepared().alias("outcome"))
 

@@ -63,6 +63,19 @@ select o_orderkey as clip_id, o_custkey as project_id,
   case when o_custkey % 2 = 0 then 1920 else 1280 end as width, case when o_custkey % 2 = 0 then 1080 else 720 end as height,
   case when o_custkey % 3 = 0 then 10 else 8 end as video_depth, case when o_custkey % 3 = 0 then '4:2:2' else '4:2:0' end as chroma
 from orders
+""",
+    "prepared": """
+select * replace (case when clip_id % 37 = 8 then range_start else range_end end as range_end,
+    case when clip_id % 37 = 9 then 'Unknown' else audio_authority end as audio_authority),
+  case when clip_id % 37 = 1 then ' ' else '1.0' end as contract_version,
+  case when clip_id % 37 = 5 then '/srv/media/source' else concat('source-', cast(clip_id as varchar)) end as source_id,
+  case when clip_id % 37 = 2 then 'http://workspace/db' else 'media://local/workspace' end as workspace_uri,
+  case when clip_id % 37 = 3 then concat('media://local', chr(92), 'original') when clip_id % 2 = 1 then null else concat('media://local/original/', cast(clip_id as varchar)) end as original_media_id,
+  case when clip_id % 37 = 4 then 'media://local/file:/proxy' when clip_id % 3 = 1 then null else concat('media://local/proxy/', cast(clip_id as varchar)) end as proxy_media_id,
+  clip_id % 37 = 6 as private_path_exposed,
+  case when clip_id % 37 = 7 then 'file:/srv/proxy.mp4' when clip_id % 7 = 3 then null else 'opaque-proxy' end as proxy_binding_ref,
+  clip_id % 7 <> 5 as proxy_bound
+from clip
 """,
     "proxy": """
 select case when clip_id % 11 = 0 then clip_id + 100000000 else clip_id end as clip_id,
@@ -97,6 +110,7 @@ from conversations
 """,
     "capability": """
 select p_partkey as capability_id, p_brand as device, p_type as profile,
+  case when p_partkey % 5 = 4 then 'H265' else 'H264' end as codec, p_partkey % 4 = 3 as interlaced,
   case when p_partkey % 3 = 0 then 10 else 8 end as bit_depth, p_size * 100 as max_width, p_size * 60 as max_height,
   case when p_partkey % 2 = 0 then 'hardware' else 'software' end as backend, p_partkey % 7 <> 0 as progressive,
   case when p_partkey % 3 = 0 then '4:2:2' else '4:2:0' end as chroma,
@@ -113,6 +127,8 @@ select o_orderkey as request_id,
     when 4 then 'SMALL' when 5 then 'LARGE' else 'UNKNOWN' end as profile,
   case when o_orderkey % 4 = 0 then 10 else 8 end as bit_depth,
   case when o_orderkey % 4 = 0 then '4:2:2' else '4:2:0' end as chroma,
+  case when o_orderkey % 6 = 5 then 'H265' else 'H264' end as codec,
+  case when o_custkey % 8 = 3 then 'interlaced' else 'progressive' end as scan,
   1000 + o_custkey % 45 * 100 as width, 600 + o_custkey % 45 * 60 as height
 from orders
 """,
@@ -149,4 +165,4 @@ from pages
 """,
 }
 
-NEEDS = {"picture": ("packet",), "proxy": ("clip",), "capability_format": ("capability",)}
+NEEDS = {"picture": ("packet",), "proxy": ("clip",), "prepared": ("clip",), "capability_format": ("capability",)}

@@ -30,3 +30,7 @@ def requests(command_log: DataFrame) -> DataFrame:
 def damaged(index: DataFrame) -> DataFrame:
     copies = F.when((F.col("edit_unit") + 1) % 53 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return index.where((F.col("edit_unit") + 1) % 37 != 0).withColumn("copy", F.explode(copies))
+
+# Does a row of prepared show a private path: every text it may show in, and its own flag.
+PRIVATE = ("binding_ref", "proxy_binding_ref", "public_uri", "source_id", "workspace_uri", "original_media_id", "proxy_media_id")
+EXPOSED = " or ".join(["private_path_exposed", *[f"coalesce(starts_with({f}, '/') or contains({f}, 'file:'), false)" for f in PRIVATE]])

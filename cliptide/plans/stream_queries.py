@@ -13,6 +13,7 @@ from ..streaming import windows as win
 from ..streaming.stateful import replay_stream
 from .registry import query
 from .session_queries import REPLAY
+from .snippets import EXPOSED
 
 c = F.col
 SLICES = 4
@@ -32,14 +33,14 @@ def _heartbeat(log):
     return last.select(*[(c("ts") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in log.schema.fields])
 
 
-@query("snk1_public_manifest", ["clip"], """
+@query("snk1_public_manifest", ["prepared"], f"""
 select clip_id, public_uri, width, height, duration_frames,
   sha256(concat_ws('|', public_uri, width, height, duration_frames, rate_num, rate_den)) as checksum
-from clip where not starts_with(binding_ref, '/')""")
-def snk1(clip):
-    spark = clip.sparkSession
+from prepared where not ({EXPOSED})""")
+def snk1(prepared):
+    spark = prepared.sparkSession
     path = fresh_path(spark, "manifest")
-    sinks.write_manifest(clip, path)
+    sinks.write_manifest(prepared, path)
     return sinks.read_manifest(spark, path)
 
 

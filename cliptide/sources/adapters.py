@@ -124,6 +124,23 @@ def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clips with the identity and binding facts of a prepared input; each kind of fault is planted in one of 37."""
+    faulty = {"range_end": "case when clip_id % 37 = 8 then range_start else range_end end",
+              "audio_authority": "case when clip_id % 37 = 9 then 'Unknown' else audio_authority end"}
+    return clip(spark, sf_dir).withColumns({k: F.expr(v) for k, v in faulty.items()}).selectExpr(
+        "*",
+        "case when clip_id % 37 = 1 then ' ' else '1.0' end as contract_version",
+        "case when clip_id % 37 = 5 then '/srv/media/source' else concat('source-', cast(clip_id as string)) end as source_id",
+        "case when clip_id % 37 = 2 then 'http://workspace/db' else 'media://local/workspace' end as workspace_uri",
+        "case when clip_id % 37 = 3 then concat('media://local', chr(92), 'original') when clip_id % 2 = 1 then null else concat('media://local/original/', cast(clip_id as string)) end as original_media_id",
+        "case when clip_id % 37 = 4 then 'media://local/file:/proxy' when clip_id % 3 = 1 then null else concat('media://local/proxy/', cast(clip_id as string)) end as proxy_media_id",
+        "clip_id % 37 = 6 as private_path_exposed",
+        "case when clip_id % 37 = 7 then 'file:/srv/proxy.mp4' when clip_id % 7 = 3 then null else 'opaque-proxy' end as proxy_binding_ref",
+        "clip_id % 7 <> 5 as proxy_bound",
+    )
+
+
 def proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clip(spark, sf_dir).where("proxy_available").selectExpr(
         "case when clip_id % 11 = 0 then clip_id + 100000000 else clip_id end as clip_id",
@@ -178,10 +195,11 @@ def message_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").selectExpr(
         "p_partkey as capability_id", "p_brand as device", "p_type as profile",
+        "case when p_partkey % 5 = 4 then 'H265' else 'H264' end as codec",
         "case when p_partkey % 3 = 0 then 10 else 8 end as bit_depth",
         "p_size * 100 as max_width", "p_size * 60 as max_height",
         "case when p_partkey % 2 = 0 then 'hardware' else 'software' end as backend",
-        "p_partkey % 7 <> 0 as progressive",
+        "p_partkey % 7 <> 0 as progressive", "p_partkey % 4 = 3 as interlaced",
         "case when p_partkey % 3 = 0 then '4:2:2' else '4:2:0' end as chroma",
         "case p_partkey % 4 when 0 then 'integrated' when 1 then 'discrete' else 'other' end as device_class",
         "p_partkey % 5 = 0 as preferred_vendor",
@@ -199,6 +217,8 @@ def decoder_request(spark: SparkSession, sf_dir: str) -> DataFrame:
              when 4 then 'SMALL' when 5 then 'LARGE' else 'UNKNOWN' end as profile""",
         "case when o_orderkey % 4 = 0 then 10 else 8 end as bit_depth",
         "case when o_orderkey % 4 = 0 then '4:2:2' else '4:2:0' end as chroma",
+        "case when o_orderkey % 6 = 5 then 'H265' else 'H264' end as codec",
+        "case when o_custkey % 8 = 3 then 'interlaced' else 'progressive' end as scan",
         "1000 + o_custkey % 45 * 100 as width",
         "600 + o_custkey % 45 * 60 as height",
     )
@@ -261,7 +281,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = {
     f.__name__: f
     for f in (
-        command_log, packet, picture, pcm_block, pcm_sample, clip, proxy, frame_decision, stage_timing, resource_log,
+        command_log, packet, picture, pcm_block, pcm_sample, clip, prepared, proxy, frame_decision, stage_timing, resource_log,
         message_log, capability, capability_format, decoder_request, metadata_node, metadata_ref, evidence,
         open_error, transcript, identity,
     )

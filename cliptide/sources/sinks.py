@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rules import exposes_path
+from ..functions.rules import exposes_any
 
 
 def public_manifest(clips: DataFrame) -> DataFrame:
-    """One public-safe record per clip; rows showing a private path are left out, not masked."""
-    c = F.col
-    safe = ~(exposes_path(c("public_uri")) | exposes_path(c("binding_ref")))
+    """One public-safe record per clip; rows that show a private path in any text, or say so, are left out, not masked."""
     text = F.concat_ws("|", "public_uri", "width", "height", "duration_frames", "rate_num", "rate_den")
-    return clips.where(safe).select(
+    return clips.where(~exposes_any()).select(
         "clip_id", "public_uri", "width", "height", "duration_frames", F.sha2(text, 256).alias("checksum"))
 
 

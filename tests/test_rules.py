@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cliptide.functions import rules as r
+from cliptide.operators import audio as au
 from cliptide.operators import capability as cap
 from cliptide.operators import index as ix
 from cliptide.operators import metadata as md
@@ -15,12 +16,16 @@ GOOD = dict(
     public_uri="media://local/source/1", binding_ref="opaque-1", proxy_binding_ref="opaque-p", audio_authority="Original",
     proxy_aac_authoritative=False, playback_input="ProxyIfAvailable", proxy_available=True, picture="Proxy", mode="ProxyPreview",
     lanes=[(i, i, "Mono", True) for i in range(4)], sample_rate=48000, bit_depth=24, project_channels=4, project_rate=48000, rate_den=1,
-    duration_frames=100, range_start=0, range_end=100, timing_compatible=True)
+    duration_frames=100, range_start=0, range_end=100, timing_compatible=True, contract_version="1", source_id="s-1",
+    workspace_uri="media://ws", original_media_id=None, proxy_media_id="media://p/1", private_path_exposed=False, proxy_bound=True,
+    proxy_video=True)
 SCHEMA = (
     "public_uri string, binding_ref string, proxy_binding_ref string, audio_authority string, proxy_aac_authoritative boolean, "
     "playback_input string, proxy_available boolean, picture string, mode string, "
     "lanes array<struct<lane_index:int,source_channel:int,kind:string,authoritative:boolean>>, sample_rate int, bit_depth int, "
-    "project_channels int, project_rate int, rate_den int, duration_frames bigint, range_start bigint, range_end bigint, timing_compatible boolean")
+    "project_channels int, project_rate int, rate_den int, duration_frames bigint, range_start bigint, range_end bigint, timing_compatible boolean, "
+    "contract_version string, source_id string, workspace_uri string, original_media_id string, proxy_media_id string, "
+    "private_path_exposed boolean, proxy_bound boolean, proxy_video boolean")
 CASES = [
     ({}, "ok"),
     (dict(playback_input="Original", picture="Original", mode="OriginalMedia", range_start=10, range_end=90, proxy_binding_ref=None), "ok"),
@@ -42,6 +47,19 @@ CASES = [
     (dict(timing_compatible=None), r.TIMING_UNKNOWN),
     (dict(proxy_binding_ref=None), r.MODE),
     (dict(public_uri="x", binding_ref="/a", lanes=[]), r.URI_MISSING),
+    (dict(contract_version="  "), r.URI_MISSING),
+    (dict(contract_version=None), r.URI_MISSING),
+    (dict(workspace_uri="http://ws"), r.URI_MISSING),
+    (dict(workspace_uri=None), r.URI_MISSING),
+    (dict(original_media_id="x\\y"), r.URI_MISSING),
+    (dict(proxy_media_id="media://file:p"), r.URI_MISSING),
+    (dict(proxy_media_id=None), "ok"),
+    (dict(source_id="/srv/s"), r.PATH_EXPOSED),
+    (dict(private_path_exposed=True), r.PATH_EXPOSED),
+    (dict(private_path_exposed=True, lanes=[]), r.PATH_EXPOSED),
+    (dict(proxy_bound=False), r.MODE),
+    (dict(proxy_video=None), r.MODE),
+    (dict(proxy_bound=False, timing_compatible=False), r.TIMING_UNKNOWN),
 ]
 
 
@@ -90,19 +108,39 @@ def test_device_preference(spark):
 
 def test_ownership(spark):
     log = [(1, 7, "destroy", 0), (1, 7, "create", 1), (2, 7, "use", 2), (1, 7, "use", 3), (2, 7, "destroy", 4), (1, 7, "destroy", 5),
-           (1, 7, "destroy", 6), (3, 7, "create", 7), (3, 7, "destroy", 8)]
+           (1, 7, "destroy", 6), (3, 7, "create", 7), (3, 7, "destroy", 8), (3, 7, "use", 9), (1, 7, "use", 10)]
     df = spark.createDataFrame(log, "session_id bigint, resource_id bigint, op string, seq bigint")
     for width in (2, 100):
         got = sorted(cap.ownership_audit(df, width).collect(), key=lambda x: x.seq)
-        assert [x.outcome for x in got] == ["unknown-resource", "ok", "not-owner", "ok", "not-owner", "ok", "already-destroyed", "ok", "ok"]
+        assert [x.outcome for x in got] == ["unknown-resource", "ok", "not-owner", "ok", "not-owner", "ok", "already-destroyed", "ok", "ok",
+                                             "already-destroyed", "not-owner"]
 
 
 def test_manifest_keeps_private_rows_out(spark):
-    rows = [(1, "media://a", "opaque", 2, 2, 10, 25, 1), (2, "media://b", "/srv/x", 2, 2, 10, 25, 1)]
-    df = spark.createDataFrame(rows, "clip_id bigint, public_uri string, binding_ref string, width int, height int, duration_frames bigint, rate_num int, rate_den int")
+    names = ["public_uri", "binding_ref", "proxy_binding_ref", "source_id", "workspace_uri", "original_media_id", "proxy_media_id"]
+    safe = dict(zip(names, ["media://a", "opaque", None, "s", "media://w", None, "media://p"]))
+    cases = [safe, *[{**safe, n: "x file:y"} for n in names], {**safe, "binding_ref": "/srv/x"}]
+    rows = [(i, *case.values(), False, 2, 2, 10, 25, 1) for i, case in enumerate(cases)] + [(99, *safe.values(), True, 2, 2, 10, 25, 1)]
+    df = spark.createDataFrame(rows, "clip_id bigint, " + ", ".join(f"{n} string" for n in names) + (
+        ", private_path_exposed boolean, width int, height int, duration_frames bigint, rate_num int, rate_den int"))
     path = fresh_path(spark, "manifest")
     sinks.write_manifest(df, path)
-    assert [x.clip_id for x in sinks.read_manifest(spark, path).collect()] == [1]
+    assert [x.clip_id for x in sinks.read_manifest(spark, path).collect()] == [0]
+    assert sorted(x.clip_id for x in r.path_audit(df, "clip_id").collect()) == [*range(1, 9), 99]
+
+
+def test_interleave_with_unequal_block_cuts(spark):
+    blocks = [(0, 0, 0, [1, 2, 3, 4, 5]), (0, 1, 0, [10, 20]), (0, 1, 2, [30, 40]), (1, 0, 0, [7]), (1, 2, 0, [9]),
+              (2, 0, 0, [1, 2]), (2, 1, 0, [5]), (2, 1, 3, [6]), (3, 0, 1, [4, 4]), (3, 1, 1, [5, 5])]
+    df = spark.createDataFrame([(a, b, s, len(v), v) for a, b, s, v in blocks],
+                               "clip_id bigint, channel int, start_sample bigint, length bigint, samples array<int>")
+    for grid in (3, 4096):
+        got = {(x.clip_id, x.sample): (x.short, x["values"]) for x in au.interleave(df, 2, grid).collect()}
+        for sample, values in enumerate([[1, 10], [2, 20], [3, 30], [4, 40], [5, None]]):
+            assert got.pop((0, sample)) == (values[1] is None, values)
+        assert got.pop((1, 0)) == (True, [7, None]) and got.pop((3, 1)) == (False, [4, 5]) and got.pop((3, 2)) == (False, [4, 5])
+        # A gap inside a cell makes the channel unusable there; beyond it the channel counts again.
+        assert got[2, 0][0] == (grid == 4096) and all(k[0] == 2 for k in got)
 
 
 def test_snapshot_table_survives_a_repeated_batch(spark):

@@ -106,20 +106,23 @@ def test_quantiles_are_exact(spark):
 def test_capability_staircase_equals_all_pairs(spark):
     rng = random.Random(9)
     caps = [(i, rng.choice("ab"), 8, "4:2:0", rng.randrange(1, 40) * 100, rng.randrange(1, 40) * 60,
-             rng.choice(["hardware", "software"]), rng.random() < 0.8) for i in range(60)]
-    asked = [(i, rng.choice("abc"), 8, "4:2:0", rng.randrange(1, 4200), rng.randrange(1, 2500)) for i in range(400)]
-    formats = [(i, 8, "4:2:0") for i in range(60) if i % 5]
+             rng.choice(["hardware", "software"]), rng.random() < 0.8, rng.choice(["H264", "H265"]), rng.random() < 0.4) for i in range(120)]
+    asked = [(i, rng.choice("abc"), 8, "4:2:0", rng.randrange(1, 4200), rng.randrange(1, 2500), rng.choice(["H264", "H265", "AV1"]),
+              rng.choice(["progressive", "interlaced"])) for i in range(400)]
+    formats = [(i, 8, "4:2:0") for i in range(120) if i % 5]
     got = {r.request_id: r.backend for r in cap.match_requests(
-        spark.createDataFrame(asked, "request_id bigint, profile string, bit_depth int, chroma string, width int, height int"),
+        spark.createDataFrame(asked, "request_id bigint, profile string, bit_depth int, chroma string, width int, height int, codec string, scan string"),
         spark.createDataFrame(caps, "capability_id bigint, profile string, bit_depth int, chroma string, max_width int, "
-                                    "max_height int, backend string, progressive boolean"),
+                                    "max_height int, backend string, progressive boolean, codec string, interlaced boolean"),
         spark.createDataFrame(formats, "capability_id bigint, bit_depth int, chroma string")).collect()}
 
     def naive(r):
-        fit = {c[6] for c in caps if c[0] % 5 and c[7] and c[1] == r[1] and r[4] <= c[4] and r[5] <= c[5]}
+        fit = {c[6] for c in caps if c[0] % 5 and c[7 if r[7] == "progressive" else 9] and c[8] == r[6] and c[1] == r[1]
+               and r[4] <= c[4] and r[5] <= c[5]}
         return "hardware" if "hardware" in fit else "software" if "software" in fit else "unsupported"
 
     assert got == {r[0]: naive(r) for r in asked}
+    assert len(set(got.values())) == 3
 
 
 def test_index_of_the_short_camera_clip(spark):
