@@ -11,18 +11,22 @@ from .fold import Machine
 
 # ---- player commands ----------------------------------------------------------------------------
 
-PLAYER_STATE = "status string, loaded boolean, has_range boolean, frame bigint, armed boolean, generation bigint"
-PLAYER_START = ("Empty", False, False, None, False, 0)
-PLAYER_INPUTS = ("seq", "command", "frame", "frame_count", "expected_generation")
+# The range is the active one: the input's range from Prepare on, null before that.
+PLAYER_STATE = (
+    "status string, loaded boolean, has_range boolean, frame bigint, armed boolean, generation bigint, range_start bigint, "
+    "range_end bigint"
+)
+PLAYER_START = ("Empty", False, False, None, False, 0, None, None)
+PLAYER_INPUTS = ("seq", "command", "frame", "frame_count", "expected_generation", "range_start", "range_end")
 PLAYER_OUT = (
     "seq bigint, command string, accepted boolean, reason string, status string, loaded boolean, has_range boolean, "
-    "frame bigint, armed boolean, generation bigint"
+    "frame bigint, armed boolean, generation bigint, range_start bigint, range_end bigint"
 )
 
 
-def player_refusal(state, command, target, count, expected, start, end):
+def player_refusal(state, command, target, count, expected):
     """Why a command is refused, or None."""
-    status, loaded, has_range, frame, armed, generation = state
+    status, loaded, has_range, frame, armed, generation, start, end = state
     if command == "Snapshot":
         return None
     if expected is not None and expected != generation:
@@ -46,15 +50,15 @@ def player_refusal(state, command, target, count, expected, start, end):
     return None
 
 
-def player_apply(state, command, target, count, end):
-    """State after an accepted command; Snapshot changes nothing."""
-    status, loaded, has_range, frame, armed, generation = state
+def player_apply(state, command, target, count, given):
+    """State after an accepted command; ``given`` is the range that Prepare makes active. Snapshot changes nothing."""
+    status, loaded, has_range, frame, armed, generation, start, end = state
     if command == "Snapshot":
         return state
     if command == "LoadPreparedInput":
-        status, loaded, has_range, frame, armed = "Loaded", True, False, None, False
+        status, loaded, has_range, frame, armed, start, end = "Loaded", True, False, None, False, None, None
     elif command == "Prepare":
-        has_range, armed = True, armed or frame is not None
+        has_range, armed, (start, end) = True, armed or frame is not None, given
     elif command == "Cue":
         status, frame, armed = "Ready", target, True
     elif command == "Preroll":
@@ -70,18 +74,18 @@ def player_apply(state, command, target, count, end):
     elif command == "Stop":
         status, armed = "Stopped", False
     elif command == "Unload":
-        status, loaded, has_range, frame, armed = "Empty", False, False, None, False
-    return status, loaded, has_range, frame, armed, generation + 1
+        status, loaded, has_range, frame, armed, start, end = "Empty", False, False, None, False, None, None
+    return status, loaded, has_range, frame, armed, generation + 1, start, end
 
 
-def player(start: int = 10, end: int = 90) -> Machine:
-    """Commands of a session against the player, with ``[start, end)`` as the range Prepare sets."""
+def player() -> Machine:
+    """Commands of a session against the player; a row carries the range of the session's input."""
 
     def step(state, row):
-        seq, command, target, count, expected = row
-        reason = player_refusal(state, command, target, count, expected, start, end)
+        seq, command, target, count, expected, *given = row
+        reason = player_refusal(state, command, target, count, expected)
         if reason is None:
-            state = player_apply(state, command, target, count, end)
+            state = player_apply(state, command, target, count, given)
         return state, [(seq, command, reason is None, reason, *state)]
 
     return Machine(PLAYER_STATE, PLAYER_START, PLAYER_INPUTS, PLAYER_OUT, step, counters=("generation",))
@@ -130,16 +134,18 @@ def lifecycle() -> Machine:
 # ---- source lifecycle ---------------------------------------------------------------------------
 
 
-def source_lifecycle(start: int = 10, end: int = 90) -> Machine:
+def source_lifecycle() -> Machine:
     """Load, preload, activate, range, cue, anchor and play-ready of one source slot, with revisions.
 
+    A row carries the range of the session's input, which set_active_range makes active.
+
     A command naming a stale handle is rejected. Unload clears everything and invalidates the revision;
     close clears the active state and keeps the source loaded.
     """
 
     def step(state, row):
-        loaded, preloaded, active, ranged, cue, anchored, playing, revision = state
-        seq, sub, op, target, stale = row
+        loaded, preloaded, active, ranged, cue, anchored, playing, revision, start, end = state
+        seq, sub, op, target, stale, *given = row
         ready = active and preloaded and ranged and cue is not None and anchored
         if op == "load_source":
             ok = not loaded
@@ -160,7 +166,7 @@ def source_lifecycle(start: int = 10, end: int = 90) -> Machine:
             ok = False
         elif op == "set_active_range":
             ok = ranged = True
-            cue, anchored = None, False
+            cue, anchored, (start, end) = None, False, given
         elif op == "cue_frame":
             ok = ranged and start <= target < end
             if ok:
@@ -179,13 +185,14 @@ def source_lifecycle(start: int = 10, end: int = 90) -> Machine:
             active = ranged = anchored = playing = False
             cue = None
         ready = active and preloaded and ranged and cue is not None and anchored
-        state = (loaded, preloaded, active, ranged, cue, anchored, playing, revision)
+        state = (loaded, preloaded, active, ranged, cue, anchored, playing, revision, start, end)
         return state, [(seq, sub, op, ok, loaded, active, cue, ready, playing, revision)]
 
     return Machine(
         "loaded boolean, preloaded boolean, active boolean, ranged boolean, cue bigint, anchored boolean, playing boolean, "
-        "revision bigint",
-        (False, False, False, False, None, False, False, 0), ("seq", "sub", "op", "target", "stale"),
+        "revision bigint, range_start bigint, range_end bigint",
+        (False, False, False, False, None, False, False, 0, None, None),
+        ("seq", "sub", "op", "target", "stale", "range_start", "range_end"),
         "seq bigint, sub int, op string, accepted boolean, loaded boolean, active boolean, cue bigint, play_ready boolean, "
         "playing boolean, revision bigint", step, counters=("revision",))
 

@@ -38,17 +38,17 @@ FAULTS = {
 }
 
 
-def replay(commands: DataFrame, start: int = 10, end: int = 90, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
-    """Outcome and state after every command of every session."""
-    return ordered_fold(commands, ["session_id"], ["seq"], machines.player(start, end), div("seq", block_rows))
+def replay(commands: DataFrame, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Outcome and state after every command of every session; range_start and range_end come with each command."""
+    return ordered_fold(commands, ["session_id"], ["seq"], machines.player(), div("seq", block_rows))
 
 
 def lifecycle_replay(ops: DataFrame, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
     return ordered_fold(ops, ["session_id"], ["seq"], machines.lifecycle(), div("seq", block_rows))
 
 
-def source_replay(ops: DataFrame, start: int = 10, end: int = 90, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
-    return ordered_fold(ops, ["session_id"], ["seq", "sub"], machines.source_lifecycle(start, end), div("seq", block_rows))
+def source_replay(ops: DataFrame, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
+    return ordered_fold(ops, ["session_id"], ["seq", "sub"], machines.source_lifecycle(), div("seq", block_rows))
 
 
 def coverage_replay(ticks: DataFrame, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
@@ -87,12 +87,13 @@ def transition_counts(changes: DataFrame) -> DataFrame:
 
 def command_counters(outcomes: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
     """Accepted and rejected commands per session, and rejections that changed state, which must be 0."""
-    watched = F.struct("status", "loaded", "has_range", "frame", "armed", "generation")
+    watched = F.struct("status", "loaded", "has_range", "frame", "armed", "generation", "range_start", "range_end")
     seen = ordered_scan(
         outcomes, ["session_id"], ["seq"], div("seq", chunk_width), lags={"before": watched}
     )
     empty = F.struct(F.lit("Empty").alias("status"), F.lit(False).alias("loaded"), F.lit(False).alias("has_range"),
-                     F.lit(None).cast("bigint").alias("frame"), F.lit(False).alias("armed"), F.lit(0).cast("bigint").alias("generation"))
+                     F.lit(None).cast("bigint").alias("frame"), F.lit(False).alias("armed"), F.lit(0).cast("bigint").alias("generation"),
+                     *[F.lit(None).cast("bigint").alias(n) for n in ("range_start", "range_end")])
     changed = ~watched.eqNullSafe(F.coalesce("before", empty))
     return seen.groupBy("session_id").agg(
         F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("rejected"),
@@ -182,11 +183,10 @@ def sequence_audit(events: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> Data
     return seen.withColumns({"status": status, "generation_back": back})
 
 
-def prepared_window(ticks: DataFrame, start: int, end: int, back: int = 2, ahead: int = 5, most: int = 8,
-                    chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Prepared frames per tick: newly prepared, kept and discarded against the tick before."""
-    low = F.greatest(F.col("frame") - back, F.lit(start))
-    high = F.least(F.col("frame") + ahead, F.lit(end - 1))
+def prepared_window(ticks: DataFrame, back: int = 2, ahead: int = 5, most: int = 8, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Prepared frames per tick within the session's range: newly prepared, kept and discarded against the tick before."""
+    low = F.greatest(F.col("frame") - back, F.col("range_start"))
+    high = F.least(F.col("frame") + ahead, F.col("range_end") - 1)
     none = F.array().cast("array<bigint>")
     window = F.when(low <= high, F.slice(F.sequence(low, high), 1, most)).otherwise(none)
     seen = ordered_scan(
@@ -206,9 +206,9 @@ def window_health(windows: DataFrame, low_water: int) -> DataFrame:
     return windows.select("session_id", "seq", health.alias("health"))
 
 
-def run_cap(ticks: DataFrame, most: int, end: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Ticks of each session up to ``most`` of them and up to the first one at or past the range end."""
+def run_cap(ticks: DataFrame, most: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Ticks of each session up to ``most`` of them and up to the first one at or past the session's range end."""
     placed = ordered_scan(
         ticks, ["session_id"], ["seq"], div("seq", chunk_width), rank="tick",
-        sums={"past": (F.col("frame") >= end).cast("bigint")})
+        sums={"past": (F.col("frame") >= F.col("range_end")).cast("bigint")})
     return placed.where((F.col("tick") <= most) & (F.col("past") == 0)).drop("past")

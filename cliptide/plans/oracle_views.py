@@ -63,6 +63,10 @@ select o_orderkey as clip_id, o_custkey as project_id,
   case when o_custkey % 2 = 0 then 1920 else 1280 end as width, case when o_custkey % 2 = 0 then 1080 else 720 end as height,
   case when o_custkey % 3 = 0 then 10 else 8 end as video_depth, case when o_custkey % 3 = 0 then '4:2:2' else '4:2:0' end as chroma
 from orders
+""",
+    "ranged_log": """
+select l.*, cast(coalesce(c.range_start, 10) as bigint) as range_start, cast(coalesce(c.range_end, 90) as bigint) as range_end
+from command_log l left join clip c on c.clip_id = l.session_id
 """,
     "prepared": """
 select * replace (case when clip_id % 37 = 8 then range_start else range_end end as range_end,
@@ -165,4 +169,4 @@ from pages
 """,
 }
 
-NEEDS = {"picture": ("packet",), "proxy": ("clip",), "prepared": ("clip",), "capability_format": ("capability",)}
+NEEDS = {"picture": ("packet",), "proxy": ("clip",), "prepared": ("clip",), "ranged_log": ("command_log", "clip"), "capability_format": ("capability",)}

@@ -13,32 +13,36 @@ from .registry import query
 c = F.col
 
 # One command at a time by recursion: the sequential definition of the replay.
-REPLAY = """, calls as materialized (select session_id, seq, command, frame as target, frame_count, expected_generation as expected from command_log),
+REPLAY = """, calls as materialized (select session_id, seq, command, frame as target, frame_count, expected_generation as expected,
+    range_start as rs, range_end as re from ranged_log),
 states as (
   select distinct session_id, cast(0 as bigint) as seq, cast(null as varchar) as command, true as accepted, cast(null as varchar) as reason,
-    'Empty' as status, false as loaded, false as has_range, cast(null as bigint) as frame, false as armed, cast(0 as bigint) as generation
+    'Empty' as status, false as loaded, false as has_range, cast(null as bigint) as frame, false as armed, cast(0 as bigint) as generation,
+    cast(null as bigint) as range_start, cast(null as bigint) as range_end
   from calls
   union all
   select session_id, seq, command, reason is null, reason,
     case when reason is not null or command = 'Snapshot' then status when command = 'LoadPreparedInput' then 'Loaded' when command = 'Cue' then 'Ready'
-      when command = 'Play' then case when frame + coalesce(frame_count, 0) >= 90 then 'Completed' else 'Playing' end
+      when command = 'Play' then case when frame + coalesce(frame_count, 0) >= range_end then 'Completed' else 'Playing' end
       when command = 'Pause' then 'Paused' when command = 'Stop' then 'Stopped' when command = 'Unload' then 'Empty' else status end,
     case when reason is not null then loaded when command = 'LoadPreparedInput' then true when command = 'Unload' then false else loaded end,
     case when reason is not null then has_range when command = 'Prepare' then true when command in ('LoadPreparedInput', 'Unload') then false
       else has_range end,
     case when reason is not null then frame when command in ('LoadPreparedInput', 'Unload') then null when command in ('Cue', 'Seek') then target
-      when command = 'Play' then least(frame + coalesce(frame_count, 0), 89) else frame end,
+      when command = 'Play' then least(frame + coalesce(frame_count, 0), range_end - 1) else frame end,
     case when reason is not null then armed when command in ('LoadPreparedInput', 'Unload', 'Seek', 'Stop') then false
       when command in ('Cue', 'Preroll') then true when command = 'Prepare' then armed or frame is not null
-      when command = 'Play' and frame + coalesce(frame_count, 0) >= 90 then false else armed end,
-    generation + case when reason is null and command <> 'Snapshot' then 1 else 0 end
-  from (select s.status, s.loaded, s.has_range, s.frame, s.armed, s.generation, k.*,
+      when command = 'Play' and frame + coalesce(frame_count, 0) >= range_end then false else armed end,
+    generation + case when reason is null and command <> 'Snapshot' then 1 else 0 end,
+    case when reason is not null then range_start when command = 'Prepare' then rs when command in ('LoadPreparedInput', 'Unload') then null else range_start end,
+    case when reason is not null then range_end when command = 'Prepare' then re when command in ('LoadPreparedInput', 'Unload') then null else range_end end
+  from (select s.status, s.loaded, s.has_range, s.frame, s.armed, s.generation, s.range_start, s.range_end, k.*,
       case when k.command = 'Snapshot' then null
         when k.expected is not null and k.expected <> s.generation then 'StaleGeneration'
         when k.command = 'LoadPreparedInput' then case when s.loaded then 'SourceAlreadyLoaded' end
         when not s.loaded then 'SourceNotLoaded'
         when k.command in ('Cue', 'Seek') then case when not s.has_range then 'PrepareRequired'
-          when k.target < 10 or k.target >= 90 then k.command || 'OutsideActiveRange' end
+          when k.target < s.range_start or k.target >= s.range_end then k.command || 'OutsideActiveRange' end
         when k.command = 'Preroll' then case when s.frame is null then 'PrepareRequired' end
         when k.command = 'Play' then case when (s.status = 'Playing' and k.frame_count is not null)
             or (s.armed and s.status in ('Ready', 'Paused')) then null
@@ -57,20 +61,20 @@ def _settled(command_log):
     return stage(_replayed(command_log), "replay")
 
 
-@query("r1_player_replay", ["command_log"], REPLAY + """
-select session_id, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation from replayed""", recursive=True)
+@query("r1_player_replay", ["ranged_log"], REPLAY + """
+select session_id, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
 def r1(command_log):
     return _replayed(command_log)
 
 
-@query("r1_block_parallel_replay", ["command_log"], REPLAY + """
-select session_id, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation from replayed""", recursive=True)
+@query("r1_block_parallel_replay", ["ranged_log"], REPLAY + """
+select session_id, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
 def r1_blocks(command_log):
     """The same replay with every session cut into blocks of 24 commands."""
     return pl.replay(command_log, block_rows=24)
 
 
-@query("r3_generation_check", ["command_log"], REPLAY + """
+@query("r3_generation_check", ["ranged_log"], REPLAY + """
 , b as (select *, lag(status) over w as status_before, lag(generation) over w as generation_before from replayed
   window w as (partition by session_id order by seq))
 select session_id, seq, accepted, status = coalesce(status_before, 'Empty') and generation = coalesce(generation_before, 0) as unchanged
@@ -97,7 +101,7 @@ def life_ops(command_log):
         "frame < 106 as facts_ok", "frame % 3 <> 0 as preroll_ready")
 
 
-@query("r2_lifecycle_replay", ["command_log"], LIFE + """
+@query("r2_lifecycle_replay", ["ranged_log"], LIFE + """
 , st as (
   select distinct session_id, cast(0 as bigint) as seq, cast(null as varchar) as op, true as accepted, 'Idle' as status, cast(0 as bigint) as run from ops
   union all
@@ -115,12 +119,12 @@ def r2(command_log):
     return pl.lifecycle_replay(life_ops(command_log))
 
 
-SRC_OPS = """, opened as (select session_id, seq, sub, frame as target, expected_generation is not null as stale, case
+SRC_OPS = """, opened as (select session_id, seq, sub, frame as target, expected_generation is not null as stale, range_start, range_end, case
     when command = 'LoadPreparedInput' then 'load_source' when command = 'Prepare' then case sub when 0 then 'preload_source' else 'set_active_source' end
     when command = 'Cue' then case sub when 0 then 'set_active_range' else 'cue_frame' end when command = 'Preroll' then 'prepare_anchor'
     when command = 'Play' then 'play' when command = 'Pause' then 'pause' when command = 'Seek' then 'cue_frame' when command = 'Stop' then 'stop'
     when command = 'Unload' then 'unload_source' else 'close_active_source' end as op
-  from (select *, unnest(case when command in ('Prepare', 'Cue') then [0, 1] else [0] end) as sub from command_log) e),
+  from (select *, unnest(case when command in ('Prepare', 'Cue') then [0, 1] else [0] end) as sub from ranged_log) e),
 ops as materialized (select *, row_number() over (partition by session_id order by seq, sub) as n from opened)"""
 
 
@@ -134,10 +138,11 @@ def source_ops(command_log):
         .when(c("command") == "Play", "play").when(c("command") == "Pause", "pause").when(c("command") == "Seek", "cue_frame")
         .when(c("command") == "Stop", "stop").when(c("command") == "Unload", "unload_source").otherwise("close_active_source"))
     return command_log.withColumn("sub", F.explode(subs)).select(
-        "session_id", "seq", "sub", op.alias("op"), c("frame").alias("target"), c("expected_generation").isNotNull().alias("stale"))
+        "session_id", "seq", "sub", op.alias("op"), c("frame").alias("target"), c("expected_generation").isNotNull().alias("stale"),
+        "range_start", "range_end")
 
 
-@query("r4_source_lifecycle", ["command_log"], SRC_OPS + """
+@query("r4_source_lifecycle", ["ranged_log"], SRC_OPS + """
 , st as (
   select distinct session_id, cast(0 as bigint) as n, cast(0 as bigint) as seq, 0 as sub, cast(null as varchar) as op, true as accepted,
     false as loaded, false as preloaded, false as active, false as ranged, cast(null as bigint) as cue, false as anchored, false as playing,
@@ -159,7 +164,7 @@ def source_ops(command_log):
   from (select s.loaded, s.preloaded, s.active, s.ranged, s.cue, s.anchored, s.playing, s.revision, k.*,
       case when k.op = 'load_source' then not s.loaded when k.stale or not s.loaded then false
         when k.op in ('preload_source', 'set_active_source', 'unload_source') then true when not s.active then false
-        when k.op = 'cue_frame' then s.ranged and k.target >= 10 and k.target < 90 when k.op = 'prepare_anchor' then s.preloaded and s.cue is not null
+        when k.op = 'cue_frame' then s.ranged and k.target >= k.range_start and k.target < k.range_end when k.op = 'prepare_anchor' then s.preloaded and s.cue is not null
         when k.op = 'play' then s.preloaded and s.ranged and s.cue is not null and s.anchored when k.op in ('pause', 'stop') then s.playing
         else true end as ok
     from st s join ops k on k.session_id = s.session_id and k.n = s.n + 1) x)
@@ -169,7 +174,7 @@ def r4(command_log):
     return pl.source_replay(source_ops(command_log))
 
 
-@query("r6_coverage_cursor", ["command_log"], """
+@query("r6_coverage_cursor", ["ranged_log"], """
 , ops as materialized (select session_id, seq, frame, command in ('Seek', 'Stop') as reset from command_log),
 st as (
   select distinct session_id, cast(0 as bigint) as seq, cast(null as varchar) as label, cast(0 as bigint) as covered_until, false as submitted,
@@ -228,12 +233,12 @@ def w3(transcript):
     return pl.sequence_audit(transcript).select("session_id", "seq", "status", "generation_back")
 
 
-@query("w4_generation_numbering", ["command_log"], REPLAY + "select session_id, seq, command, accepted, generation from replayed", recursive=True)
+@query("w4_generation_numbering", ["ranged_log"], REPLAY + "select session_id, seq, command, accepted, generation from replayed", recursive=True)
 def w4(command_log):
     return pl.generation_numbers(_settled(command_log))
 
 
-@query("w10_latest_snapshot", ["command_log"], REPLAY + """
+@query("w10_latest_snapshot", ["ranged_log"], REPLAY + """
 select session_id, seq, status, frame, armed, generation from (select *, row_number() over (partition by session_id order by seq desc) as place
   from replayed) x where place = 1""", recursive=True)
 def w10(command_log):
@@ -244,12 +249,12 @@ CHANGES = REPLAY + """, ch as (select * from (select session_id, seq, status, la
   from replayed) x where previous is null or status <> previous)"""
 
 
-@query("w11_state_changes", ["command_log"], CHANGES + "select session_id, seq, previous, status from ch", recursive=True)
+@query("w11_state_changes", ["ranged_log"], CHANGES + "select session_id, seq, previous, status from ch", recursive=True)
 def w11(command_log):
     return pl.state_changes(_settled(command_log))
 
 
-@query("w11_transition_counts", ["command_log"], CHANGES + """
+@query("w11_transition_counts", ["ranged_log"], CHANGES + """
 select previous, status, count(*) as times from ch where previous is not null group by all""", recursive=True)
 def w11_counts(command_log):
     return pl.transition_counts(pl.state_changes(_settled(command_log)))
@@ -264,12 +269,12 @@ FAULTS = REPLAY + _dimension_sql() + """, faults as (select session_id, seq, com
   from replayed left join dim using (reason) where reason is not null)"""
 
 
-@query("j14_fault_enrichment", ["command_log"], FAULTS + "select * from faults", recursive=True)
+@query("j14_fault_enrichment", ["ranged_log"], FAULTS + "select * from faults", recursive=True)
 def j14(command_log):
     return pl.enrich_faults(_replayed(command_log))
 
 
-@query("a11_fault_counters", ["command_log"], FAULTS + """
+@query("a11_fault_counters", ["ranged_log"], FAULTS + """
 select severity, scope, cast(grouping(severity, scope) as int) as level, count(*) as faults,
   arg_max(reason, [seq, session_id]) as last_fault, count(*) filter (recoverable) as recoverable, count(*) filter (severity = 'Fatal') as fatal
 from faults group by cube (severity, scope)""", recursive=True)
@@ -277,20 +282,20 @@ def a11(command_log):
     return pl.fault_counters(pl.enrich_faults(_replayed(command_log)))
 
 
-@query("a12_command_counters", ["command_log"], REPLAY + """
+@query("a12_command_counters", ["ranged_log"], REPLAY + """
 select session_id, count(*) filter (accepted) as accepted, count(*) filter (not accepted) as rejected, cast(0 as bigint) as mutated_by_rejection
 from replayed group by session_id""", recursive=True)
 def a12(command_log):
     return pl.command_counters(_settled(command_log))
 
 
-@query("a13_duplicate_commands", ["command_log"], """
+@query("a13_duplicate_commands", ["ranged_log"], """
 select session_id, command_id % 40 as command_id, count(*) as copies from command_log group by all having count(*) > 1""")
 def a13(command_log):
     return pl.duplicate_commands(command_log.withColumn("command_id", c("command_id") % 40))
 
 
-FACTS = REPLAY + """, snap as (select *, 10 as range_start, 90 as range_end, session_id % 31 = 0 as private_path_exposed,
+FACTS = REPLAY + """, snap as (select *, session_id % 31 = 0 as private_path_exposed,
     session_id % 37 = 0 as proxy_aac_authoritative, session_id % 5 = 0 as visual_verified, armed and status in ('Ready', 'Paused') as transport_ready,
     case session_id % 3 when 0 then 'OriginalMedia' when 1 then 'ProxyPreview' end as source_mode, 'Original' as audio_authority,
     case when session_id % 41 = 0 then 0 else 25 end as rate_num, 1 as rate_den from replayed)"""
@@ -299,18 +304,18 @@ FACTS = REPLAY + """, snap as (select *, 10 as range_start, 90 as range_end, ses
 def facts(outcomes):
     s = c("session_id")
     return outcomes.withColumns({
-        "range_start": F.lit(10), "range_end": F.lit(90), "private_path_exposed": s % 31 == 0, "proxy_aac_authoritative": s % 37 == 0,
+        "private_path_exposed": s % 31 == 0, "proxy_aac_authoritative": s % 37 == 0,
         "visual_verified": s % 5 == 0, "transport_ready": c("armed") & c("status").isin("Ready", "Paused"),
         "source_mode": F.when(s % 3 == 0, "OriginalMedia").when(s % 3 == 1, "ProxyPreview"), "audio_authority": F.lit("Original"),
         "rate_num": F.when(s % 41 == 0, 0).otherwise(25), "rate_den": F.lit(1)})
 
 
-@query("p16_passive_view", ["command_log"], FACTS + """
+@query("p16_passive_view", ["ranged_log"], FACTS + """
 , h as (select *, private_path_exposed or proxy_aac_authoritative as hidden, loaded and frame is not null and rate_num > 0 as confirmed from snap)
 select session_id, seq,
   case when hidden then 'empty' when visual_verified and frame is not null then 'picture' when loaded then 'status:' || status else 'empty' end as monitor,
-  case when hidden then 0 when loaded and has_range then 10 else 0 end as timeline_start,
-  case when hidden then 0 when loaded and has_range then 80 when loaded then 1 else 0 end as timeline_frames,
+  case when hidden then 0 when loaded and has_range and range_start < range_end then range_start else 0 end as timeline_start,
+  case when hidden then 0 when loaded and has_range and range_start < range_end then range_end - range_start when loaded then 1 else 0 end as timeline_frames,
   case when not hidden and loaded then frame end as playhead, not hidden and confirmed as cue_enabled,
   case when not hidden and loaded then 'original' else 'none' end as wave,
   case when hidden or not loaded then 'none' when source_mode = 'OriginalMedia' then 'original' when source_mode = 'ProxyPreview' then 'proxy'
@@ -320,42 +325,42 @@ def p16(command_log):
     return pl.passive_view(facts(_replayed(command_log)))
 
 
-@query("p17_client_predicates", ["command_log"], FACTS + """
-, h as (select *, loaded and frame is not null and has_range and rate_num > 0 and not private_path_exposed and not proxy_aac_authoritative as ok from snap)
+@query("p17_client_predicates", ["ranged_log"], FACTS + """
+, h as (select *, loaded and frame is not null and has_range and range_start < range_end and rate_num > 0 and not private_path_exposed and not proxy_aac_authoritative as ok from snap)
 select session_id, seq, ok as confirmed_position, ok and transport_ready as ready, ok and transport_ready as can_start, status = 'Playing' as playing,
   case when ok then cast(40000000 as bigint) end as interval_ns from h""", recursive=True)
 def p17(command_log):
     return pl.client_predicates(facts(_replayed(command_log)))
 
 
-WINDOWS = """, w as (select session_id, seq, frame, case when greatest(frame - 2, 10) <= least(frame + 5, 89)
-    then range(greatest(frame - 2, 10), least(frame + 5, 89) + 1)[1:8] else [] end as win from command_log),
+WINDOWS = """, w as (select session_id, seq, frame, case when greatest(frame - 2, range_start) <= least(frame + 5, range_end - 1)
+    then range(greatest(frame - 2, range_start), least(frame + 5, range_end - 1) + 1)[1:8] else [] end as win from ranged_log),
 l as (select *, coalesce(lag(win) over (partition by session_id order by seq), []) as before from w)"""
 
 
-@query("s1_prepared_window", ["command_log"], WINDOWS + """
+@query("s1_prepared_window", ["ranged_log"], WINDOWS + """
 select session_id, seq, frame, array_to_string(list_sort(list_filter(win, lambda x: not list_contains(before, x))), ',') as added,
   array_to_string(list_sort(list_filter(win, lambda x: list_contains(before, x))), ',') as kept,
-  array_to_string(list_sort(list_filter(before, lambda x: not list_contains(win, x))), ',') as discarded from l""", settle=["command_log"])
+  array_to_string(list_sort(list_filter(before, lambda x: not list_contains(win, x))), ',') as discarded from l""", settle=["ranged_log"])
 def s1(command_log):
     text = lambda n: F.array_join(F.sort_array(n), ",").alias(n)
-    return pl.prepared_window(command_log, 10, 90).select(
+    return pl.prepared_window(command_log).select(
         "session_id", "seq", "frame", text("added"), text("kept"), text("discarded"))
 
 
-@query("s2_window_health", ["command_log"], WINDOWS + """
+@query("s2_window_health", ["ranged_log"], WINDOWS + """
 select session_id, seq, case when len(before) = 0 then 'Empty' when not list_contains(before, frame) then 'Underrun'
-  when len(list_filter(before, lambda x: x >= frame)) < 3 then 'LowWater' else 'Ok' end as health from l""", settle=["command_log"])
+  when len(list_filter(before, lambda x: x >= frame)) < 3 then 'LowWater' else 'Ok' end as health from l""", settle=["ranged_log"])
 def s2(command_log):
-    return pl.window_health(pl.prepared_window(command_log, 10, 90), 3)
+    return pl.window_health(pl.prepared_window(command_log), 3)
 
 
-@query("k4_run_cap", ["command_log"], """
-, t as (select session_id, seq, frame, row_number() over w as tick, sum(case when frame >= 100 then 1 else 0 end) over w as past
-  from command_log where command = 'Play' window w as (partition by session_id order by seq rows unbounded preceding))
-select session_id, seq, frame, tick from t where tick <= 5 and past = 0""", settle=["command_log"])
+@query("k4_run_cap", ["ranged_log"], """
+, t as (select session_id, seq, frame, row_number() over w as tick, sum(case when frame >= range_end then 1 else 0 end) over w as past
+  from ranged_log where command = 'Play' window w as (partition by session_id order by seq rows unbounded preceding))
+select session_id, seq, frame, tick from t where tick <= 5 and past = 0""", settle=["ranged_log"])
 def k4(command_log):
-    return pl.run_cap(command_log.where("command = 'Play'").select("session_id", "seq", "frame"), 5, 100)
+    return pl.run_cap(command_log.where("command = 'Play'").select("session_id", "seq", "frame", "range_end"), 5).select("session_id", "seq", "frame", "tick")
 
 
 @query("k3_ordered_tracks", ["packet"], """

@@ -55,8 +55,8 @@ def snk2(command_log):
     return src.run_to_table(command_log.sparkSession, _stream(command_log).select("session_id", "seq", "command_id", "command"), "transcript")
 
 
-@query("st1_streaming_replay", ["command_log"], REPLAY + """
-select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation from replayed""", recursive=True)
+@query("st1_streaming_replay", ["ranged_log"], REPLAY + """
+select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
 def st1(command_log):
     return src.run_to_table(command_log.sparkSession, replay_stream(_stream(command_log), machines.player()), "replay")
 

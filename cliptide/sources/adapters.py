@@ -124,6 +124,13 @@ def clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ranged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands with the range of the session's clip; a session without a clip has [10, 90)."""
+    ranges = clip(spark, sf_dir).select(F.col("clip_id").alias("session_id"), F.col("range_start").cast("bigint").alias("a"), F.col("range_end").cast("bigint").alias("b"))
+    return command_log(spark, sf_dir).join(ranges, "session_id", "left").withColumns({
+        "range_start": F.coalesce("a", F.lit(10)), "range_end": F.coalesce("b", F.lit(90))}).drop("a", "b")
+
+
 def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clips with the identity and binding facts of a prepared input; each kind of fault is planted in one of 37."""
     faulty = {"range_end": "case when clip_id % 37 = 8 then range_start else range_end end",
@@ -281,7 +288,7 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = {
     f.__name__: f
     for f in (
-        command_log, packet, picture, pcm_block, pcm_sample, clip, prepared, proxy, frame_decision, stage_timing, resource_log,
+        command_log, ranged_log, packet, picture, pcm_block, pcm_sample, clip, prepared, proxy, frame_decision, stage_timing, resource_log,
         message_log, capability, capability_format, decoder_request, metadata_node, metadata_ref, evidence,
         open_error, transcript, identity,
     )

@@ -10,11 +10,11 @@ from cliptide.operators import pictures as pic
 from cliptide.operators.fold import ordered_fold
 from cliptide.operators.scan import div
 
-LOG = "session_id bigint, seq bigint, command string, frame bigint, frame_count bigint, expected_generation bigint"
+LOG = "session_id bigint, seq bigint, command string, frame bigint, frame_count bigint, expected_generation bigint, range_start bigint, range_end bigint"
 
 
-def outcome(spark, script, **kw):
-    rows = [(1, i + 1, *step, *([None] * (4 - len(step)))) for i, step in enumerate(script)]
+def outcome(spark, script, start=10, end=90, **kw):
+    rows = [(1, i + 1, *step, *([None] * (4 - len(step))), start, end) for i, step in enumerate(script)]
     return sorted(pl.replay(spark.createDataFrame(rows, LOG), **kw).collect(), key=lambda r: r.seq)
 
 
@@ -61,7 +61,7 @@ def random_log(rng, sessions, length, careful):
             expected = None
             if rng.random() < 0.6:
                 expected = state[5] if rng.random() < careful else rng.randrange(0, 40)
-            row = (seq, command, rng.randrange(0, 100), rng.choice([None, 0, 1, 7]), expected)
+            row = (seq, command, rng.randrange(0, 100), rng.choice([None, 0, 1, 7]), expected, s * 3, 60 + s * 9)
             state, _ = machine.step(state, row)
             rows.append((s, *row))
     return rows
@@ -102,8 +102,8 @@ def test_source_lifecycle_blocks(spark):
     ops = ["load_source", "preload_source", "set_active_source", "set_active_range", "cue_frame", "prepare_anchor", "play", "pause", "stop",
            "close_active_source", "unload_source"]
     weights = [3, 4, 4, 5, 6, 6, 6, 2, 1, 1, 1]
-    rows = [(s, i, 0, rng.choices(ops, weights)[0], rng.randrange(0, 100), rng.random() < 0.05) for s in range(3) for i in range(150)]
-    df = spark.createDataFrame(rows, "session_id bigint, seq bigint, sub int, op string, target bigint, stale boolean")
+    rows = [(s, i, 0, rng.choices(ops, weights)[0], rng.randrange(0, 100), rng.random() < 0.05, s * 9, 80 + s) for s in range(3) for i in range(150)]
+    df = spark.createDataFrame(rows, "session_id bigint, seq bigint, sub int, op string, target bigint, stale boolean, range_start bigint, range_end bigint")
     got = sorted(pl.source_replay(df, block_rows=11).collect(), key=lambda r: (r.session_id, r.seq))
     want = sequential(machines.source_lifecycle(), rows, 0)
     assert [tuple(r) for r in got] == want and any(r.play_ready for r in got)
@@ -172,7 +172,17 @@ def test_discarding_refresh_drops_what_waits(spark):
 
 
 def test_prepared_windows(spark):
-    ticks = spark.createDataFrame([(1, 1, 0), (1, 2, 3), (1, 3, 6)], "session_id bigint, seq bigint, frame bigint")
-    got = sorted(pl.prepared_window(ticks, 0, 50).collect(), key=lambda r: r.seq)
+    ticks = spark.createDataFrame([(1, 1, 0, 0, 50), (1, 2, 3, 0, 50), (1, 3, 6, 0, 50)], "session_id bigint, seq bigint, frame bigint, range_start bigint, range_end bigint")
+    got = sorted(pl.prepared_window(ticks).collect(), key=lambda r: r.seq)
     assert [r.window for r in got] == [list(range(0, 6)), list(range(1, 9)), list(range(4, 12))]
     assert [r.discarded for r in got] == [[], [0], [1, 2, 3]] and got[1].added == [6, 7, 8]
+
+
+def test_each_session_has_its_own_range(spark):
+    script = [("LoadPreparedInput",), ("Prepare",), ("Cue", 30), ("Play",), ("Play", None, 15)]
+    rows = [(s, i + 1, *step, *([None] * (4 - len(step))), a, b) for s, (a, b) in {1: (0, 20), 2: (25, 40), 3: (0, 100)}.items()
+            for i, step in enumerate(script)]
+    got = {(r.session_id, r.seq): r for r in pl.replay(spark.createDataFrame(rows, LOG)).collect()}
+    assert got[1, 3].reason == "CueOutsideActiveRange" and got[2, 3].accepted and got[3, 3].accepted
+    assert [(got[s, 5].status, got[s, 5].frame) for s in (2, 3)] == [("Completed", 39), ("Playing", 45)]
+    assert (got[2, 1].range_start, got[2, 2].range_start, got[2, 2].range_end) == (None, 25, 40)
