@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from ..sources import stage
 from .packed import bucket_count, earlier, exchange, pack, thin, unpack
-from .text import inverse, mix, narrow, powers, rows_out, slices, utf8
+from .text import inverse, mix, narrow, portions, powers, rows_out, slices, utf8
 
 SPAN, K = 50, 18
 #: K-mers in a string, and the bytes beside the K-mer of which a string has all on one side or the other.
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 
 _ANCHOR = (np.uint64, np.uint32, np.int64, np.int32)
 _HIT = (np.int64, np.int32, np.int32)
@@ -123,7 +123,7 @@ def _find_anchors(rows: DataFrame, buckets: int) -> DataFrame:
     """Covered ranges (open is false), and the anchors whose strings are still to be tested (open, at lo)."""
 
     def make(batches):
-        for number, batch in enumerate(batches):
+        for batch in portions(batches):
             data, starts = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             got = []
@@ -174,7 +174,7 @@ def _test_strings(asked: DataFrame, buckets: int) -> DataFrame:
     """Covered ranges among the strings around the anchors of rows (doc_id, text, at)."""
 
     def make(batches):
-        for batch in batches:
+        for batch in portions(batches):
             data, starts = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             at, at_starts = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()

@@ -42,6 +42,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
+#: Bytes of text from which a task makes its arrays at a time.
+PORTION_BYTES = 6_000_000
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut record batches by the bytes of a text column, so that a task's memory does not follow the batch size."""
+    for batch in batches:
+        for lo, hi in slices(np.diff(utf8(batch.column(column))[1]), limit):
+            yield batch.slice(lo, hi - lo)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser: every input bit moves about half of the output bits."""
     x = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)

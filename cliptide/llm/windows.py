@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from ..sources import stage
 from .packed import bucket_count, exchange, pack, thin, unpack
-from .text import lower_ascii, mix, narrow, rows_out, shingle_hash, slices, span_hash, utf8, word_spans
+from .text import lower_ascii, mix, narrow, portions, rows_out, shingle_hash, slices, span_hash, utf8, word_spans
 
 #: Words of a shingle and of the shortest passage, and the least part of its shingles found earlier.
 WORDS, LEAST_WORDS, SIMILAR = 5, 50, 0.8
 HASHES, AGREE = 6, 2
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 1_000_000
 _LEAST = LEAST_WORDS - WORDS + 1
 
 
@@ -112,7 +112,7 @@ def _shared_windows(rows: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, hash_fn, lo, hi): windows whose signature another document has."""
 
     def make(batches):
-        for batch in batches:
+        for batch in portions(batches):
             data, starts = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             got = []
@@ -197,7 +197,7 @@ def _earlier_shingles(regions_with_text: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, place, n, source_id): runs of shingles that documents with smaller ids have in their regions."""
 
     def make(batches):
-        for batch in batches:
+        for batch in portions(batches):
             data, starts = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
             at, cut = batch.column(2), batch.column(2).offsets.to_numpy()
