@@ -8,6 +8,7 @@ from __future__ import annotations
 from heapq import heappop, heappush
 
 from .fold import Machine
+from .probes import ControlProbe, CoverageProbe, PlayerProbe
 
 # ---- player commands ----------------------------------------------------------------------------
 
@@ -88,12 +89,15 @@ def player() -> Machine:
             state = player_apply(state, command, target, count, given)
         return state, [(seq, command, reason is None, reason, *state)]
 
-    return Machine(PLAYER_STATE, PLAYER_START, PLAYER_INPUTS, PLAYER_OUT, step, counters=("generation",))
+    return Machine(PLAYER_STATE, PLAYER_START, PLAYER_INPUTS, PLAYER_OUT, step, counters=("generation",), probe=lambda: PlayerProbe(step))
 
 
 # ---- runtime lifecycle --------------------------------------------------------------------------
 
 
+LIFECYCLE = ("Idle", "Preparing", "Ready", "Playing", "Paused", "Draining", "Completed", "Failed")
+
+
 def lifecycle() -> Machine:
     """Idle, Preparing, Ready, Playing, Paused, Draining, Completed, Failed.
 
@@ -128,7 +132,8 @@ def lifecycle() -> Machine:
 
     return Machine(
         "status string, run bigint", ("Idle", 0), ("seq", "op", "facts_ok", "preroll_ready"),
-        "seq bigint, op string, accepted boolean, status string, run bigint", step, counters=("run",))
+        "seq bigint, op string, accepted boolean, status string, run bigint", step, counters=("run",),
+        probe=lambda: ControlProbe(step, [(s, 0) for s in LIFECYCLE], (1,)))
 
 
 # ---- source lifecycle ---------------------------------------------------------------------------
@@ -217,7 +222,8 @@ def coverage(frames_per_chunk: int = 25, samples_per_frame: int = 960) -> Machin
 
     return Machine(
         "covered bigint, submitted boolean, submissions bigint", (0, False, 0), ("seq", "op", "frame"),
-        "seq bigint, label string, covered_until bigint, submissions bigint", step, counters=("submissions",))
+        "seq bigint, label string, covered_until bigint, submissions bigint", step, counters=("submissions",),
+        probe=lambda: CoverageProbe(step, samples_per_frame))
 
 
 # ---- reorder buffer -----------------------------------------------------------------------------

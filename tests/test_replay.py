@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cliptide.operators import machines, player as pl
+from cliptide.operators import fold, machines, player as pl
 from cliptide.operators import pictures as pic
 from cliptide.operators.fold import ordered_fold
 from cliptide.operators.scan import div
@@ -186,3 +186,53 @@ def test_each_session_has_its_own_range(spark):
     assert got[1, 3].reason == "CueOutsideActiveRange" and got[2, 3].accepted and got[3, 3].accepted
     assert [(got[s, 5].status, got[s, 5].frame) for s in (2, 3)] == [("Completed", 39), ("Playing", 45)]
     assert (got[2, 1].range_start, got[2, 2].range_start, got[2, 2].range_end) == (None, 25, 40)
+
+
+def missed_starts(machine, rows, size):
+    """Blocks whose start the composed summaries do not tell."""
+    state, told, missed = machine.initial, machine.initial, 0
+    for at in range(0, len(rows), size):
+        missed += state != told
+        summary = machine.probe()
+        for r in rows[at : at + size]:
+            state, _ = machine.step(state, r[1:])
+            summary.step(r[1:])
+        told = type(summary).follow(summary.result(), told)
+    return missed
+
+
+def long_logs():
+    guarded, player = [], machines.player()
+    state = player.initial
+    for r in random_log(random.Random(21), 1, 2000, 1.0):
+        row = (*r[1:5], state[5], *r[6:])
+        state, _ = player.step(state, row)
+        guarded.append((r[0], *row))
+    script = [("LoadPreparedInput", None, None), ("Prepare", None, None), ("Cue", 5, None), *[("Play", None, 1)] * 1700]
+    play = [(1, i + 1, *step, None, 0, 10**6) for i, step in enumerate(script)]
+    ended = [(*r[:-1], 700) for r in play]
+    ticks = [(1, i + 1, "tick", i) for i in range(1700)]
+    resets = [(1, i + 1, "reset" if i % 97 == 96 else "tick", i * 3 % 500) for i in range(1700)]
+    rng = random.Random(3)
+    life = [(1, i + 1, rng.choice(["Play", "Pause", "Seek"] * 30 + ["Prepare", "NewSession", "Drain", "Drained"]), True, True) for i in range(1700)]
+    return [
+        (player, random_log(random.Random(5), 1, 2000, 1.0)), (player, guarded), (player, play), (player, ended),
+        (machines.coverage(), ticks), (machines.coverage(), resets), (machines.lifecycle(), life),
+    ]
+
+
+@pytest.mark.parametrize("log", range(7))
+def test_summaries_tell_every_start_of_a_long_log(log):
+    """With every start told, all blocks are folded once: more than a hundred blocks settle in one round."""
+    machine, rows = long_logs()[log]
+    rows = [r for r in rows if r[0] == rows[0][0]]
+    assert len(rows) // 16 > 100
+    assert missed_starts(machine, rows, 16) == 0
+
+
+def test_rounds_of_a_long_log(spark):
+    machine, rows = long_logs()[1]
+    fold.ROUNDS.clear()
+    got = sorted(tuple(r) for r in pl.replay(spark.createDataFrame(rows, LOG), block_rows=16).collect())
+    assert got == sequential(machine, rows, 0)
+    assert fold.ROUNDS[machine.state] == 1
