@@ -29,7 +29,9 @@ SPAN, K = 50, 18
 #: K-mers in a string, and the bytes beside the K-mer of which a string has all on one side or the other.
 W = SPAN - K + 1
 SIDE = (SPAN - K) // 2
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
+
+LEFT, RIGHT = 1, 2
 
 _ANCHOR = (np.uint64, np.uint32, np.int64, np.int32)
 _HIT = (np.int64, np.int32, np.int32)
@@ -120,7 +122,7 @@ def _reach(doc, pos):
 
 
 def _find_anchors(rows: DataFrame, buckets: int) -> DataFrame:
-    """Covered ranges (open is false), and the anchors whose strings are still to be tested (open, at lo)."""
+    """Covered ranges (open is false), and the anchors whose strings are still to be tested (open, at lo, sides in hi)."""
 
     def make(batches):
         for batch in portions(batches):
@@ -151,19 +153,19 @@ def _find_anchors(rows: DataFrame, buckets: int) -> DataFrame:
         lead = order[first]
         kmer = key[lead] >> np.uint64(24)
         context = mix(key[lead] ^ (tag[lead] >> np.uint32(16)).astype(np.uint64))
-        ask = np.zeros(len(lead), bool)
-        for side in ((tag[lead] >> np.uint32(8)) & np.uint32(255), tag[lead] & np.uint32(255)):
+        ask = np.zeros(len(lead), np.int32)
+        for bit, side in ((LEFT, (tag[lead] >> np.uint32(8)) & np.uint32(255)), (RIGHT, tag[lead] & np.uint32(255))):
             some = np.flatnonzero(side)
             by = np.lexsort((context[some], side[some], kmer[some]))
             at = some[by]
             same = (kmer[at][1:] == kmer[at][:-1]) & (side[at][1:] == side[at][:-1])
             group = np.concatenate(([0], np.cumsum(~same)))[: len(at)]
             turns = np.bincount(group[1:][same & (context[at][1:] != context[at][:-1])], minlength=group[-1] + 1 if len(group) else 0)
-            ask[at[turns[group] > 0]] = True
-        ask = lead[ask]
+            ask[at[turns[group] > 0]] |= bit
+        sides, ask = ask[ask > 0], lead[ask > 0]
         d, lo, hi = (np.concatenate(x) for x in zip(*ranges))
         return pa.Table.from_batches([rows_out(
-            _FOUND, doc_id=np.concatenate((d, doc[ask])), lo=np.concatenate((lo, pos[ask])), hi=np.concatenate((hi, pos[ask])),
+            _FOUND, doc_id=np.concatenate((d, doc[ask])), lo=np.concatenate((lo, pos[ask])), hi=np.concatenate((hi, sides)),
             open=np.concatenate((np.zeros(len(d), bool), np.ones(len(ask), bool))),
         )])
 
@@ -171,26 +173,40 @@ def _find_anchors(rows: DataFrame, buckets: int) -> DataFrame:
 
 
 def _test_strings(asked: DataFrame, buckets: int) -> DataFrame:
-    """Covered ranges among the strings around the anchors of rows (doc_id, text, at)."""
+    """Covered ranges among the strings around the anchors of rows (doc_id, text, at (lo, sides)).
+
+    A string is tested at its own least K-mer only, and only if the SIDE bytes it has beside that K-mer recur.
+    """
 
     def make(batches):
         for batch in portions(batches):
             data, starts = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
-            at, at_starts = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            cut = batch.column(2).offsets.to_numpy()
+            at, sides = (batch.column(2).values.field(k).to_numpy() for k in (0, 1))
             got = []
             for a, b in slices(np.diff(starts), SLICE_BYTES):
                 part = data[starts[a] : starts[b]]
-                if len(part) < SPAN:
+                if len(part) < SPAN or cut[a] == cut[b]:
                     continue
-                row = np.repeat(np.arange(a, b), np.diff(at_starts[a : b + 1]))
-                begin = at[at_starts[a] : at_starts[b]].astype(np.int64) + starts[row] - starts[a]
-                every = (begin[:, None] - np.arange(W)[None, :]).ravel()
-                owner = np.repeat(row, W)
-                good = (every >= starts[owner] - starts[a]) & (every + SPAN <= starts[owner + 1] - starts[a])
-                every, back = np.unique(every[good], return_index=True)
-                owner = owner[good][back]
-                got.append((_Hashes(part).of(every, every + SPAN), ids[owner], (every + starts[a] - starts[owner]).astype(np.int32)))
+                row = np.repeat(np.arange(a, b), np.diff(cut[a : b + 1]))
+                begin = at[cut[a] : cut[b]].astype(np.int64) + starts[row] - starts[a]
+                hashes = _Hashes(part)
+                place = np.arange(len(part) - K + 1)
+                h = hashes.of(place, place + K) | np.uint64(1)
+                least = _running(h, W, np.minimum)
+                found, owners = [], []
+                for left in range(W):  # bytes of the string before its K-mer
+                    every = begin - left
+                    some = ((sides[cut[a] : cut[b]] & LEFT) > 0) & (left >= SIDE) | ((sides[cut[a] : cut[b]] & RIGHT) > 0) & (W - 1 - left >= SIDE)
+                    some &= (every >= starts[row] - starts[a]) & (every + SPAN <= starts[row + 1] - starts[a])
+                    every, anchor, owner = every[some], begin[some], row[some]
+                    own = least[every] == h[anchor]
+                    found.append(every[own])
+                    owners.append(owner[own])
+                every, back = np.unique(np.concatenate(found), return_index=True)
+                owner = np.concatenate(owners)[back]
+                got.append((hashes.of(every, every + SPAN), ids[owner], (every + starts[a] - starts[owner]).astype(np.int32)))
             if not got:
                 continue
             key, doc, pos = (np.concatenate(x) for x in zip(*got))
@@ -218,7 +234,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = narrow(docs, id_col, text_col).where("doc_id is not null and text is not null")
     buckets = bucket_count(rows)
     found = stage(_find_anchors(rows, buckets), "anchors")
-    asked = found.where("open").groupBy("doc_id").agg(F.collect_list("lo").alias("at"))
+    asked = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", F.col("hi").alias("sides"))).alias("at"))
     asked = stage(asked, "asked")
     near, _ = thin(rows, asked)
     tested = _test_strings(near.join(asked, "doc_id").select("doc_id", "text", "at"), buckets)
@@ -260,8 +276,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     spans.append([{"lo": int(x), "hi": int(y)} for x, y in zip(edge[::2], edge[1::2])])
                 yield rows_out(schema, doc_id=part.column(0), n_bytes=n, n_removed=gone, kept=kept, spans=spans)
 
-    none = F.lit(None).cast("array<struct<lo:int,hi:int>>").alias("at")
-    return near.join(ranges, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(cut, out).union(far.select("doc_id", "text", none).mapInArrow(cut, out))
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    untouched = far.select("doc_id", F.octet_length(whole).cast("long"), F.lit(0).cast("long"), whole, none)
+    return near.join(ranges, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(cut, out).union(untouched)
 
 
 def digest(kept: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text from which a task makes its arrays at a time.
-PORTION_BYTES = 6_000_000
+PORTION_BYTES = 3_000_000
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:

@@ -30,7 +30,7 @@ from .text import lower_ascii, mix, narrow, portions, rows_out, shingle_hash, sl
 #: Words of a shingle and of the shortest passage, and the least part of its shingles found earlier.
 WORDS, LEAST_WORDS, SIMILAR = 5, 50, 0.8
 HASHES, AGREE = 6, 2
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 _LEAST = LEAST_WORDS - WORDS + 1
 
 
