@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import presentation
+from ..sources.tables import stage
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 
@@ -75,28 +76,32 @@ def queue_depth(log: DataFrame, key: str, capacity: int, chunk_width: int = ROWS
     return deep.withColumn("backpressure", full)
 
 
-def queue_summary(depths: DataFrame, key: str, capacity: int) -> DataFrame:
-    return depths.groupBy(key).agg(
-        F.max("depth").alias("peak"), F.count_if(F.col("depth") > capacity).alias("above_capacity"),
+def queue_summary(depths: DataFrame, key: str, capacity: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Peak, time above capacity in units of ``seq``, entries above it and refusals, per key."""
+    held = stage(depths.select(key, "seq", "resource_id", "op", "depth", "backpressure"), "depths")
+    seen = ordered_scan(
+        held, [key], ["seq", "resource_id", "op"], div("seq", chunk_width), lags={"depth_before": F.col("depth"), "seq_before": F.col("seq")})
+    above = F.when(F.col("depth_before") > capacity, F.col("seq") - F.col("seq_before")).otherwise(0)
+    return seen.groupBy(key).agg(
+        F.max("depth").alias("peak"), F.sum(above).alias("time_above"), F.count_if(F.col("depth") > capacity).alias("above_capacity"),
         F.count_if("backpressure").alias("backpressure"))
 
 
-def selection_completeness(decisions: DataFrame, every: int) -> DataFrame:
-    """Selected and skipped frames are disjoint and together all source frames, per run.
+def selection_completeness(source: DataFrame, selected: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Are selected and skipped frames disjoint and together all source frames, per run.
 
-    Counted with set operators' meaning but grouped by frame: a union of the two sides is reduced per
-    (run, frame), and what is not covered exactly once shows up in the counts.
+    Three tables (run_id, frame) that know nothing of each other: their union is reduced per (run, frame), and what is not
+    covered exactly once, or is in no source, shows up in the counts.
     """
-    frame = decisions.select("run_id", "frame")
-    selected = frame.where(F.col("frame") % every == 0).withColumn("side", F.lit(1))
-    skipped = frame.where(F.col("frame") % every != 0).withColumn("side", F.lit(2))
-    tagged = frame.withColumn("side", F.lit(0)).unionByName(selected).unionByName(skipped)
+    sides = [t.select("run_id", "frame", F.lit(n).alias("side")) for n, t in enumerate((source, selected, skipped))]
     has = lambda s: F.max((F.col("side") == s).cast("int"))
+    tagged = sides[0].unionByName(sides[1]).unionByName(sides[2])
     per_frame = tagged.groupBy("run_id", "frame").agg(has(0).alias("src"), has(1).alias("sel"), has(2).alias("skip"))
     return per_frame.groupBy("run_id").agg(
         F.sum("sel").alias("selected"), F.sum("skip").alias("skipped"), F.sum("src").alias("source"),
         F.count_if((F.col("sel") == 1) & (F.col("skip") == 1)).alias("in_both"),
-        F.count_if((F.col("src") == 1) & (F.col("sel") + F.col("skip") == 0)).alias("in_neither"))
+        F.count_if((F.col("src") == 1) & (F.col("sel") + F.col("skip") == 0)).alias("in_neither"),
+        F.count_if(F.col("src") == 0).alias("not_in_source"))
 
 
 def presentation_slots(video: DataFrame, audio: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:

@@ -108,8 +108,11 @@ def j15(pcm_block, pcm_sample):
 
 @query("a17_content_digest", ["pcm_block", "pcm_sample"], """
 , d as (select track_id, block_no, md5(string_agg(s24::varchar, ',' order by pos)) as digest from pcm_sample group by all)
-select track_id, block_no, digest, true as equal from d""")
+select track_id, block_no, digest, block_no % 37 <> 0 as equal from d""")
 def a17(pcm_block, pcm_sample):
-    other = au.digest_from_samples(pcm_sample).withColumnRenamed("digest", "second")
+    # Planted: one block in 37 has its first sample off by one on the second path.
+    off = (c("block_no") % 37 == 0) & (c("pos") == 0)
+    second = pcm_sample.withColumn("s24", F.when(off, c("s24") + 1).otherwise(c("s24")))
+    other = au.digest_from_samples(second).withColumnRenamed("digest", "second")
     return au.block_digest(pcm_block).join(other, ["track_id", "block_no"]).select(
         "track_id", "block_no", "digest", (c("digest") == c("second")).alias("equal"))

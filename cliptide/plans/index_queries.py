@@ -40,9 +40,18 @@ def src1(clip):
     return clip.select("clip_id", "public_uri", "rate_num", "rate_den", "duration_frames")
 
 
-@query("src2_index_only", ["pcm_block"], "select track_id, block_no from pcm_block")
-def src2(pcm_block):
-    return pcm_block.select("track_id", "block_no")
+@query("p1_track_kind", ["packet"], """
+, h as (select clip_id, packet_no, case packet_no % 6 when 0 then 'vide' when 1 then 'soun' when 2 then 'meta' when 3 then 'mdir'
+    when 4 then 'mdta' else 'hint' end as handler from packet)
+select clip_id, packet_no, case handler when 'vide' then 'video' when 'soun' then 'audio' when 'hint' then 'other' else 'data' end as kind from h""")
+def p1_kind(packet):
+    codes = F.array(*map(F.lit, ("vide", "soun", "meta", "mdir", "mdta", "hint")))
+    return packet.select("clip_id", "packet_no", ix.track_kind(F.get(codes, (c("packet_no") % 6).cast("int"))).alias("kind"))
+
+
+@query("src2_index_only", ["packet"], "select clip_id, packet_no, essence_key, file_offset, payload_len from packet")
+def src2(packet):
+    return ix.index_only(packet)
 
 
 @query("src3_range_extract", ["packet"], INDEX + """

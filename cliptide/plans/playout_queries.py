@@ -31,6 +31,14 @@ def a9(frame_decision):
     return po.lateness_distribution(frame_decision)
 
 
+@query("a9_lateness_sketch", ["frame_decision"], """
+select run_id, max(lateness_ms) as max_ms, quantile_disc(lateness_ms, 0.5) as median_ms, quantile_disc(lateness_ms, 0.9) as p90_ms
+from frame_decision group by run_id""", settle=["frame_decision"])
+def a9_sketch(frame_decision):
+    """The sketch holds runs of fewer rows than half its accuracy exactly; beyond that its ranks are off by 1 / accuracy at most."""
+    return po.lateness_sketch(frame_decision, 100_000)
+
+
 BREAKDOWN = """
 , s as (select run_id, stage, cast(sum(cast(round(ms * 1000) as bigint)) as bigint) as us, count(*) as frames from stage_timing group by all),
 r as (select run_id, sum(us)::bigint as run_us, sum(frames)::bigint as run_frames from s group by run_id)"""
@@ -62,17 +70,25 @@ def w7(resource_log):
 
 
 @query("w7_queue_summary", ["resource_log"], DEPTH + """
-select session_id, max(depth) as peak, count(*) filter (depth > 4) as above_capacity,
-  count(*) filter (op = 'create' and depth > 4) as backpressure from d group by session_id""")
+, t as (select *, case when lag(depth) over w > 4 then seq - lag(seq) over w else 0 end as above from d
+  window w as (partition by session_id order by seq, resource_id, op))
+select session_id, max(depth) as peak, cast(sum(above) as bigint) as time_above, count(*) filter (depth > 4) as above_capacity,
+  count(*) filter (op = 'create' and depth > 4) as backpressure from t group by session_id""")
 def w7_summary(resource_log):
     return po.queue_summary(po.queue_depth(resource_log, "session_id", 4), "session_id", 4)
 
 
 @query("s3_selection_completeness", ["frame_decision"], """
-select run_id, cast(count(*) filter (frame % 2 = 0) as bigint) as selected, cast(count(*) filter (frame % 2 <> 0) as bigint) as skipped,
-  count(*) as source, cast(0 as bigint) as in_both, cast(0 as bigint) as in_neither from frame_decision group by run_id""", settle=["frame_decision"])
+, f as (select run_id, frame, true as src, frame % 2 = 0 or frame % 10 = 5 as sel, frame % 2 <> 0 and frame % 14 <> 7 as skip from frame_decision
+  union all select distinct run_id, -1, false, false, true from frame_decision where run_id % 3 = 0)
+select run_id, count(*) filter (sel) as selected, count(*) filter (skip) as skipped, count(*) filter (src) as source,
+  count(*) filter (sel and skip) as in_both, count(*) filter (src and not sel and not skip) as in_neither,
+  count(*) filter (not src) as not_in_source from f group by run_id""", settle=["frame_decision"])
 def s3(frame_decision):
-    return po.selection_completeness(frame_decision, 2)
+    # Planted: frames that are both selected and skipped, frames that are neither, and a frame that no source has.
+    stray = frame_decision.where("run_id % 3 = 0").select("run_id", F.lit(-1).cast("bigint").alias("frame"))
+    skipped = frame_decision.where("frame % 2 <> 0 and frame % 14 <> 7").select("run_id", "frame").unionByName(stray)
+    return po.selection_completeness(frame_decision, frame_decision.where("frame % 2 = 0 or frame % 10 = 5"), skipped)
 
 
 @query("j16_presentation_slots", ["frame_decision", "packet"], """
