@@ -46,4 +46,7 @@ class SnapshotTable:
         newest.select(self.key, "s.*").write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
 
     def read(self, spark: SparkSession, version: int) -> DataFrame:
+        """A version's rows; before the first one there are none."""
+        if version < 0:
+            return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(f"{self.path}/{version}")

@@ -27,20 +27,25 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-ROWS_PER_FILE = 4_000_000
+# Rows of a micro-batch, about: a batch must not grow with the log, as one session may hold all of it.
+ROWS_PER_BATCH = 1_000_000
 
 
 def time_slices(df: DataFrame, ts: str, slices: int) -> tuple[list[DataFrame], int]:
-    """Cut a log into equal spans of time, from its two ends only; each slice is a filter.
+    """Cut a log into equal spans of time, from its two ends only; each slice is a filter and a micro-batch.
 
-    Also says into how many files a slice should go.
+    There are ``slices`` at least, and more where these would be over ROWS_PER_BATCH rows. Also says into how many files a
+    slice goes. An empty log is one empty slice.
     """
     log = stage(df, "log")
     seconds = F.col(ts).cast("timestamp").cast("long")
     low, high, rows = log.agg(F.min(seconds), F.max(seconds), F.count("*")).first()
+    if not rows:
+        return [log] * slices, 1
+    slices = max(slices, -(-rows // ROWS_PER_BATCH))
     step = (high - low) // slices + 1
     parts = [log.where((seconds >= low + i * step) & (seconds < low + (i + 1) * step)) for i in range(slices)]
-    return parts, 1 + rows // slices // ROWS_PER_FILE
+    return parts, 1
 
 
 def land(parts: Sequence[DataFrame], path: str, files: int) -> str:
@@ -72,8 +77,8 @@ def run_to_table(spark: SparkSession, stream: DataFrame, label: str, mode: str =
 
 
 def run_batches(spark: SparkSession, stream: DataFrame, label: str, each: Callable[[DataFrame, int], None]) -> int:
-    """Drain a stream through ``each``; returns the number of the last batch."""
+    """Drain a stream through ``each``; returns the number of the last batch, -1 if there was none."""
     state = fresh_path(spark, f"{label}-state")
     q = stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    return q.lastProgress.batchId
+    return q.lastProgress.batchId if q.lastProgress else -1
