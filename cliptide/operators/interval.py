@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 
@@ -34,6 +35,38 @@ def asof_backward(
         answers.select(*keys, "_at", point), [*keys, "_at"], "left").select(request_id, *keys, at, point)
 
 
+def overlap_counts(
+    requests: DataFrame,
+    ranges: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: str,
+    range_start: str,
+    range_end: str,
+    name: str,
+    chunk_width: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """Requests with the number of ranges that ``[start, end)`` overlaps, without forming a pair.
+
+    Of the ranges that begin before the request's end, those that end by its start do not count; both are running
+    counts at a place. Only distinct places enter the scan, so equal requests and ranges share one.
+    """
+    place = lambda df, at, s, e: df.select(*keys, at.cast("bigint").alias("_at"), F.lit(s).cast("bigint").alias("_s"), F.lit(e).cast("bigint").alias("_e"))
+    begun, by = F.col(end) - 1, F.col(start)
+    marks = place(ranges, F.col(range_start), 1, 0).unionByName(place(ranges, F.col(range_end), 0, 1)).unionByName(
+        place(requests, begun, 0, 0)).unionByName(place(requests, by, 0, 0))
+    places = marks.where("_at is not null").groupBy(*keys, "_at").agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
+    told = stage(ordered_scan(
+        stage(places, "places"), keys, ["_at"], div("_at", chunk_width), sums={"_begun": F.col("_s"), "_ended": F.col("_e")}
+    ).select(*keys, "_at", "_begun", "_ended"), "counts")
+    first = told.select(*keys, F.col("_at").alias("_to"), F.col("_begun").alias("_b"))
+    second = told.select(*keys, F.col("_at").alias("_from"), F.col("_ended").alias("_d"))
+    asked = requests.withColumns({"_to": begun.cast("bigint"), "_from": by.cast("bigint")})
+    met = asked.join(first, [*keys, "_to"], "left").join(second, [*keys, "_from"], "left")
+    count = F.when(F.col(start) < F.col(end), F.coalesce(F.col("_b") - F.col("_d"), F.lit(0))).otherwise(0)
+    return met.select(*requests.columns, count.cast("bigint").alias(name))
+
+
 def _buckets(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(div(start, width), div(end - 1, width)))
 

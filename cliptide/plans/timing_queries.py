@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import timing as t
 from ..operators import index as ix
 from ..operators.scan import div
+from ..operators.interval import overlap_counts
 from .registry import query
 from .snippets import INDEX, REQUESTS, requests
 
@@ -107,5 +108,5 @@ def t10(command_log, packet):
     asked = command_log.where("command in ('Seek', 'Cue')").select(
         c("command_id").alias("request_id"), c("session_id").alias("clip_id"),
         t.ms_to_sample(c("frame"), 48000).alias("req_start"), t.ms_to_sample(c("frame") + 40, 48000).alias("req_end"))
-    met = ix.requests_on_index(asked, ix.packet_index(packet)).groupBy("request_id").agg(F.count("*").alias("blocks"))
-    return asked.join(met, "request_id", "left").fillna(0, ["blocks"])
+    return overlap_counts(
+        asked, ix.packet_index(packet), ["clip_id"], "req_start", "req_end", "start_sample", "end_sample", "blocks")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cliptide.operators.interval import overlap_counts
 from cliptide.operators import audio as au
 from cliptide.operators import capability as cap
 from cliptide.operators import playout as po
@@ -143,3 +144,13 @@ def test_index_only_reads_no_payload(spark):
     from cliptide.sources import view
     plan = view(spark, "/root/testdata/sf0.001", "pcm_block").select("track_id", "block_no")._jdf.queryExecution().executedPlan().toString()
     assert "embedding" not in plan.split("ReadSchema")[1]
+
+
+def test_overlap_counts_equal_all_pairs(spark):
+    rng = random.Random(12)
+    ranges = [(rng.randrange(3), a, a + rng.randrange(0, 30)) for a in (rng.randrange(0, 300) for _ in range(150))]
+    asked = [(i, rng.randrange(4), a, a + rng.randrange(-2, 40)) for i, a in enumerate(rng.randrange(0, 330) for _ in range(200))]
+    got = {r.i: r.n for r in overlap_counts(
+        spark.createDataFrame(asked, "i bigint, k int, a bigint, b bigint"), spark.createDataFrame(ranges, "k int, s bigint, e bigint"),
+        ["k"], "a", "b", "s", "e", "n", 50).collect()}
+    assert got == {i: sum(k == q and e > a and s < b for q, s, e in ranges) if a < b else 0 for i, k, a, b in asked}
