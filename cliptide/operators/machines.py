@@ -1,12 +1,10 @@
-"""Rules of the replays: player commands, lifecycle, source lifecycle, coverage cursor, reorder buffer.
+"""Rules of the replays: player commands, lifecycle, source lifecycle, coverage cursor.
 
 Each is a small step function on tuples, shared by the batch fold and the streaming processors.
 """
 
 from __future__ import annotations
 
-from heapq import heappop, heappush
-
 from .fold import Machine
 from .probes import ControlProbe, CoverageProbe, PlayerProbe
 
@@ -224,50 +222,3 @@ def coverage(frames_per_chunk: int = 25, samples_per_frame: int = 960) -> Machin
         "covered bigint, submitted boolean, submissions bigint", (0, False, 0), ("seq", "op", "frame"),
         "seq bigint, label string, covered_until bigint, submissions bigint", step, counters=("submissions",),
         probe=lambda: CoverageProbe(step, samples_per_frame))
-
-
-# ---- reorder buffer -----------------------------------------------------------------------------
-
-
-def reorder(depth: int = 2) -> Machine:
-    """Decode order to presentation order with at most ``depth`` pictures waiting.
-
-    The smallest order count leaves when more than ``depth`` wait. A refresh picture first releases all
-    that wait, or drops them where ``discard`` is set, and the end of the clip releases the rest.
-    ``pending`` is stored flat, as (order count, decode number) pairs.
-    """
-
-    def release(heap, keep, released):
-        out, waiting = [], len(heap)
-        while len(heap) > keep:
-            released += 1
-            poc, decode_no = heappop(heap)
-            out.append((released, decode_no, poc, waiting))
-        return released, out
-
-    def step(state, row):
-        heap, released = state
-        decode_no, idr, poc, discard = row
-        out = []
-        if idr:
-            if discard:
-                heap = []
-            else:
-                released, out = release(heap, 0, released)
-        heappush(heap, (poc, decode_no))
-        if len(heap) > depth:
-            released, more = release(heap, depth, released)
-            out = out + more if out else more
-        return (heap, released), out
-
-    def thaw(stored):
-        flat = stored[0]
-        return sorted((flat[i], flat[i + 1]) for i in range(0, len(flat), 2)), stored[1]
-
-    def freeze(state):
-        return [x for p in sorted(state[0]) for x in p], state[1]
-
-    return Machine(
-        "pending array<bigint>, released bigint", ((), 0), ("decode_no", "idr", "poc", "discard"),
-        "release_no bigint, decode_no bigint, poc bigint, waiting bigint", step, counters=("released",),
-        finish=lambda state: release(state[0], 0, state[1])[1], thaw=thaw, freeze=freeze)

@@ -44,3 +44,20 @@ def presentation_order(pictures: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -
     return ranked.join(start, ["clip_id", "segment"]).select(
         "clip_id", "segment", "decode_no", "poc", (F.col("_rank") - 1).alias("present_no"),
         (F.col("_rank") - 1 - (F.col("decode_no") - F.col("_first"))).alias("displacement"))
+
+
+def release_order(ordered: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Number of each picture in a clip's presentation order, across its segments, from ``presentation_order``."""
+    sizes = stage(ordered.groupBy("clip_id", "segment").agg(F.count("*").alias("_n")), "segments")
+    before = ordered_scan(sizes, ["clip_id"], ["segment"], div("segment", chunk_width), sums={"_upto": F.col("_n")})
+    return ordered.join(before, ["clip_id", "segment"]).select(
+        "clip_id", (F.col("_upto") - F.col("_n") + F.col("present_no") + 1).alias("release_no"), "decode_no", "poc")
+
+
+def release_peak(pictures: DataFrame, depth: int) -> DataFrame:
+    """Most pictures that wait at once where ``depth`` may wait for their turn, and pictures in all, per clip.
+
+    A picture leaves as soon as one more than ``depth`` are there, and a segment lets all of its own go.
+    """
+    sizes = pictures.groupBy("clip_id", "segment").agg(F.count("*").alias("n"))
+    return sizes.groupBy("clip_id").agg(F.least(F.max("n"), F.lit(depth + 1)).cast("bigint").alias("peak_waiting"), F.sum("n").alias("released"))

@@ -55,10 +55,6 @@ def coverage_replay(ticks: DataFrame, block_rows: int = ROWS_PER_BLOCK) -> DataF
     return ordered_fold(ticks, ["session_id"], ["seq"], machines.coverage(), div("seq", block_rows))
 
 
-def reorder_pictures(pictures: DataFrame, depth: int = 2, block_rows: int = ROWS_PER_BLOCK) -> DataFrame:
-    return ordered_fold(pictures, ["clip_id"], ["decode_no"], machines.reorder(depth), div("decode_no", block_rows))
-
-
 def generation_numbers(outcomes: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
     """Running count of accepted commands that change state; observers do not advance it."""
     advances = (F.col("accepted") & (F.col("command") != "Snapshot")).cast("bigint")

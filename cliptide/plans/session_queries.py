@@ -210,19 +210,17 @@ def w6(picture):
 
 
 @query("r5_reorder_buffer", ["picture"], """
-select clip_id, row_number() over (partition by clip_id order by segment_true, poc_true) as release_no, decode_no, poc_true as poc from picture""")
+select clip_id, row_number() over (partition by clip_id order by segment_true, poc_true) as release_no, decode_no, poc_true as poc from picture""", settle=["picture"])
 def r5(picture):
-    asked = picture.select("clip_id", "decode_no", "idr", c("poc_true").alias("poc"), F.lit(False).alias("discard"))
-    return pl.reorder_pictures(asked, 2).select("clip_id", "release_no", "decode_no", "poc")
+    known = picture.select("clip_id", c("segment_true").alias("segment"), "decode_no", c("poc_true").alias("poc"))
+    return pic.release_order(stage(pic.presentation_order(known), "presented"))
 
 
 @query("r5_reorder_peak", ["picture"], """
 , n as (select clip_id, segment_true, count(*) as n from picture group by all)
 select clip_id, cast(least(max(n), 3) as bigint) as peak_waiting, cast(sum(n) as bigint) as released from n group by clip_id""")
 def r5_peak(picture):
-    asked = picture.select("clip_id", "decode_no", "idr", c("poc_true").alias("poc"), F.lit(False).alias("discard"))
-    return pl.reorder_pictures(asked, 2, 400).groupBy("clip_id").agg(
-        F.max("waiting").alias("peak_waiting"), F.count("*").alias("released"))
+    return pic.release_peak(picture.select("clip_id", c("segment_true").alias("segment")), 2)
 
 
 @query("w3_sequence_audit", ["transcript"], """

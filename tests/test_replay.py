@@ -145,32 +145,23 @@ def test_counter_unroll_recovers_the_order(spark, chunk):
     assert got == {(r[0], r[1]): r[5] for r in rows}
 
 
-@pytest.mark.parametrize("block_rows", [7, 1000])
-def test_reorder_buffer_equals_presentation_order(spark, block_rows):
+def test_release_order_equals_presentation_order(spark):
     rows = picture_rows(random.Random(8), 3, 200, 1 << 20)
-    df = spark.createDataFrame(rows, PICTURE)
-    segment = df.withColumn("segment", F.lit(0).cast("bigint"))
-    got = pl.reorder_pictures(segment.withColumn("discard", F.lit(False)), 3, block_rows)
-    order = {}
+    known, order = [], {}
     for clip in range(3):
         seg, keyed = 0, []
         for r in [r for r in rows if r[0] == clip]:
             seg += r[2]
             keyed.append((seg, r[5], r[1]))
+            known.append((clip, seg, r[1], r[5]))
         order[clip] = [d for _, _, d in sorted(keyed)]
-    seen = sorted(got.collect(), key=lambda r: (r.clip_id, r.release_no))
+    df = spark.createDataFrame(known, "clip_id bigint, segment bigint, decode_no bigint, poc bigint")
+    seen = sorted(pic.release_order(pic.presentation_order(df), 2).collect(), key=lambda r: (r.clip_id, r.release_no))
     for clip in range(3):
         assert [r.decode_no for r in seen if r.clip_id == clip] == order[clip]
         assert [r.release_no for r in seen if r.clip_id == clip] == list(range(1, len(order[clip]) + 1))
 
 
-def test_discarding_refresh_drops_what_waits(spark):
-    rows = [(1, 0, True, 0, False), (1, 1, False, 4, False), (1, 2, True, 0, True), (1, 3, False, 2, False)]
-    df = spark.createDataFrame(rows, "clip_id bigint, decode_no bigint, idr boolean, poc bigint, discard boolean")
-    for block_rows in (1, 100):
-        assert sorted(r.decode_no for r in pl.reorder_pictures(df, 3, block_rows).collect()) == [2, 3]
-
-
 def test_prepared_windows(spark):
     ticks = spark.createDataFrame([(1, 1, 0, 0, 50), (1, 2, 3, 0, 50), (1, 3, 6, 0, 50)], "session_id bigint, seq bigint, frame bigint, range_start bigint, range_end bigint")
     got = sorted(pl.prepared_window(ticks).collect(), key=lambda r: r.seq)
