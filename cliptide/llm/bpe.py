@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .text import narrow, rows_out
+from .text import KEPT, narrow, rows_out
 
 #: Transitions and whole matches kept by one Python worker before it starts anew.
 KEEP_TRANSITIONS = 300_000
@@ -202,15 +202,12 @@ class Codec:
         return "".join(decode_stream(cuts, self.fst.piece))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(rank_path: str, pattern: str) -> Codec:
     """One codec for each vocabulary and Python worker."""
     key = (rank_path, pattern)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(*key)
-    return _CODECS[key]
+    if key not in KEPT:
+        KEPT[key] = Codec(*key)
+    return KEPT[key]
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,17 +250,20 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def run(batches):
         gc.disable()  # the tables hold no cycles, and scanning them again and again is most of a task's time
-        c = codec(rank_path, pattern)
-        sha = lambda raw: hashlib.sha256(raw).hexdigest()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                n, a, b = [], [], []
-                for text in part.column(1).to_pylist():
-                    ids = c.encode(text or "")
-                    n.append(len(ids))
-                    a.append(sha(",".join(map(str, ids)).encode()))
-                    b.append(sha(c.decode(ids).encode()))
-                yield rows_out(schema, doc_id=part.column(0), n_tokens=n, ids_sha256=a, decoded_sha256=b)
+        try:
+            c = codec(rank_path, pattern)
+            sha = lambda raw: hashlib.sha256(raw).hexdigest()
+            for batch in batches:
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    n, a, b = [], [], []
+                    for text in part.column(1).to_pylist():
+                        ids = c.encode(text or "")
+                        n.append(len(ids))
+                        a.append(sha(",".join(map(str, ids)).encode()))
+                        b.append(sha(c.decode(ids).encode()))
+                    yield rows_out(schema, doc_id=part.column(0), n_tokens=n, ids_sha256=a, decoded_sha256=b)
+        finally:
+            gc.enable()
 
     return narrow(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix, narrow, rows_out
+from .text import let_go, mix, narrow, rows_out
 
 #: Words of a shingle and the least similarity of a match.
 WORDS, SIMILAR = 5, 0.8
@@ -207,6 +207,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         shared = spark.sparkContext.broadcast(shard)
 
         def run(batches, shared=shared):
+            let_go()
             known: dict[str, int] = {}
             for batch in batches:
                 found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in shared.value.matches(t.as_py(), known)]
@@ -224,6 +225,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = spark.sparkContext.broadcast(shard)
 
         def run(batches, shared=shared):
+            let_go()
             known: dict[str, int] = {}
             for batch in batches:
                 clean = [not shared.value.matches(t.as_py(), known) for t in batch.column(at)]

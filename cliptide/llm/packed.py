@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import let_go
+
 #: Input bytes behind one bucket, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 96
 #: Bits of a row filter that is broadcast: a fixed size, whatever the corpus.
@@ -40,6 +42,7 @@ def pack(bucket: np.ndarray, columns: Sequence[np.ndarray], kind: int = 0) -> pa
 
 def unpack(table: pa.Table, kind: int, types: Sequence) -> list[np.ndarray]:
     """The rows of one kind in a group of blocks, a column each."""
+    let_go()
     parts: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in types]
     for k, n, block in zip(table.column("kind").to_pylist(), table.column("n").to_pylist(), table.column("block")):
         if k == kind:
@@ -105,6 +108,7 @@ def thin(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataF
 
     def part(keep: bool):
         def run(batches):
+            let_go()
             for batch in batches:
                 p = batch.column(batch.num_columns - 1).to_numpy()
                 bit = shared.value[p >> 6] >> (p & 63).astype(np.uint64) & np.uint64(1)

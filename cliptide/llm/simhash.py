@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..sources import stage
 from .components import components
-from .text import mix, narrow, rows_out
+from .text import let_go, mix, narrow, rows_out
 
 #: Shingle width, seed and radius of the fingerprint contract.
 WORDS, SEED, RADIUS = 4, 42, 4
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches):
+        let_go()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)

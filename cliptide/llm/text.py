@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -42,12 +43,24 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[starts[0] : starts[-1]], starts - starts[0]
 
 
+#: What a Python worker keeps between the tasks of one operator; the tasks of others let go of it.
+KEPT: dict = {}
+
+
+def let_go() -> None:
+    """Free what another operator's tasks have kept in this worker."""
+    if KEPT:
+        KEPT.clear()
+        gc.collect()
+
+
 #: Bytes of text from which a task makes its arrays at a time.
 PORTION_BYTES = 3_000_000
 
 
 def portions(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches by the bytes of a text column, so that a task's memory does not follow the batch size."""
+    let_go()
     for batch in batches:
         for lo, hi in slices(np.diff(utf8(batch.column(column))[1]), limit):
             yield batch.slice(lo, hi - lo)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..sources import stage
 from .packed import bucket_count, exchange, pack, thin, unpack
-from .text import lower_ascii, mix, narrow, portions, rows_out, shingle_hash, slices, span_hash, utf8, word_spans
+from .text import let_go, lower_ascii, mix, narrow, portions, rows_out, shingle_hash, slices, span_hash, utf8, word_spans
 
 #: Words of a shingle and of the shortest passage, and the least part of its shingles found earlier.
 WORDS, LEAST_WORDS, SIMILAR = 5, 50, 0.8
@@ -315,6 +315,7 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches):
+        let_go()
         for batch in batches:
             texts = []
             for text, own in zip(batch.column(at), batch.column(batch.num_columns - 1)):
