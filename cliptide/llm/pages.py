@@ -10,12 +10,16 @@ across its distinct pages. Substrings on a large part of the host's pages cover
 removed, unique runs stay. Pages of equal text count as one. The part is larger inside an article, so that
 paragraphs that some articles share, or articles copied a few times, stay whole.
 
-A host with very many pages is cut into shards of pages by a hash of the page; a shard has enough pages of its own for
-its suffix array. Only the hosts over a shard's size, a bounded number, are known to every task.
+A host with very many pages is counted in shards of distinct pages, dealt by a hash of their text. A page is of one
+shard, so counts of shards add up to the host's, and a substring on a given part of the host's pages is on that part of
+some shard's at least. Shards name those; the pages of all shards that hold them are then counted, and every page of the
+host is held against the same substrings. The result does not depend on the size of a shard, but for collisions of 64-bit
+hashes of substrings.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import zlib
@@ -25,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import rows_out
+from ..sources import stage
+from .text import let_go, rows_out, shingle_hash, span_hash, utf8, word_spans
 from .url_list import host_of
 
 #: Tokens of a repeated substring, and the part of a block that substrings must cover.
@@ -33,8 +38,10 @@ RUN, COVER = 6, 0.8
 #: Part of a host's distinct pages that makes a substring boilerplate, inside an article or main element and elsewhere;
 #: and the fewest pages.
 WITHIN, ELSEWHERE, LEAST_PAGES = 0.5, 0.3, 4
-#: Pages of a host's shard, and the most hosts that may have more than one.
+#: Pages of a host's shard, and the most hosts that may have more than one; rows a Python task reads at a time, and
+#: the pages that a task remembers to send only once.
 SHARD_PAGES, LARGE_HOSTS = 256, 200_000
+ROWS, REMEMBERED = 500, 100_000
 
 # Fixed values of the markup language: elements whose content is no text, elements without content, elements that are
 # no part of a sentence, and elements that are not the main text.
@@ -198,33 +205,186 @@ def repeated(pages: list[list[str]]) -> list[list[tuple[float, int]]]:
     return out
 
 
+def face_of(held: list[str]) -> bytes:
+    """Digest of a page's blocks: pages of equal text have the same."""
+    digest = hashlib.blake2b(digest_size=16)
+    for b in held:
+        raw = b.encode()
+        digest.update(len(raw).to_bytes(8, "little") + raw)
+    return digest.digest()
+
+
+def substrings(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the RUN tokens from each token on, whether they are of one text, and the text of every token."""
+    data, starts = utf8(pa.array(texts, pa.large_string()))
+    begin, end, text = word_spans(data, starts)
+    hashes = shingle_hash(span_hash(data, begin, end), RUN).view(np.int64)
+    return hashes, text[: len(hashes)] == text[len(text) - len(hashes) :], text
+
+
+def often(texts: list[str], part: float) -> np.ndarray:
+    """Substrings on ``part`` of the texts or more, which are distinct."""
+    hashes, whole, text = substrings(texts)
+    h, t = hashes[whole], text[: len(hashes)][whole]
+    order = np.lexsort((t, h))
+    h, t = h[order], t[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    values, count = np.unique(h[fresh], return_counts=True)
+    return values[count / len(texts) >= part]
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Is each value in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _parsed(batches):
+    """The rows of pages a few at a time with their blocks; html is the first column."""
+    let_go()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            part = batch.slice(lo, ROWS)
+            yield part, [blocks(h) for h in part.column(0).to_pylist()]
+
+
+def _unseen(seen: set, host: str, face: bytes) -> bool:
+    if (host, face) in seen:
+        return False
+    if len(seen) >= REMEMBERED:
+        seen.clear()
+    seen.add((host, face))
+    return True
+
+
+def _numbers(column: pa.Array, k: int) -> np.ndarray:
+    at = column[k]
+    return at.values.to_numpy() if at.is_valid else np.zeros(0, np.int64)
+
+
+def shared_substrings(pages: DataFrame) -> DataFrame:
+    """(host, within, elsewhere): sorted hashes of the substrings on WITHIN and on ELSEWHERE of a host's distinct pages.
+
+    ``pages`` has html, host and cuts, the number of shards of the host. Hosts without such a substring have no row.
+    """
+    least = min(WITHIN, ELSEWHERE)
+    sent = pa.schema([("host", pa.string()), ("shard", pa.int64()), ("face", pa.binary()), ("words", pa.binary())])
+    named = pa.schema([("host", pa.string()), ("faces", pa.int64()), ("at", pa.list_(pa.int64()))])
+    marked = pa.schema([("host", pa.string()), ("face", pa.binary()), ("bits", pa.binary())])
+    counted = pa.schema([("host", pa.string()), ("place", pa.int64()), ("n", pa.int64())])
+
+    def send(batches):
+        seen: set = set()
+        for part, got in _parsed(batches):
+            out = []
+            for host, cuts, (_, held) in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), got):
+                face = face_of(held)
+                if _unseen(seen, host, face):
+                    out.append((host, int.from_bytes(face[:7], "little") % cuts, face, zlib.compress(" ".join(held).encode(), 1)))
+            yield rows_out(sent, **{f.name: [x[i] for x in out] for i, f in enumerate(sent)})
+
+    def name(batches):
+        # Rows come in the order of host, shard and face.
+        key, last, texts = None, None, []
+
+        def told():
+            return rows_out(named, host=[key[0]], faces=[len(texts)], at=[often(texts, least)])
+
+        let_go()
+        for batch in batches:
+            for host, shard, face, words in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (host, shard) != key:
+                    if texts:
+                        yield told()
+                    key, last, texts = (host, shard), None, []
+                if face != last:
+                    last = face
+                    texts.append(zlib.decompress(words).decode())
+        if texts:
+            yield told()
+
+    shards = pages.select("html", "host", "cuts").mapInArrow(send, "host string, shard long, face binary, words binary")
+    shards = shards.repartition("host", "shard").sortWithinPartitions("host", "shard", "face")
+    named_rows = shards.mapInArrow(name, "host string, faces long, at array<long>")
+    asked = named_rows.groupBy("host").agg(F.sum("faces").alias("faces"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
+    asked = stage(asked.where(F.size("at") > 0), "asked")
+
+    def mark(batches):
+        seen: set = set()
+        for part, got in _parsed(batches):
+            hosts, faces = part.column(1).to_pylist(), [face_of(g[1]) for g in got]
+            new = [k for k in range(len(got)) if _unseen(seen, hosts[k], faces[k])]
+            hashes, whole, text = substrings([" ".join(got[k][1]) for k in new])
+            cut = np.searchsorted(text[: len(hashes)], np.arange(len(new) + 1))
+            bits = []
+            for i, k in enumerate(new):
+                own = slice(cut[i], cut[i + 1])
+                bits.append(np.packbits(_among(_numbers(part.column(2), k), np.unique(hashes[own][whole[own]]))).tobytes())
+            yield rows_out(marked, host=[hosts[k] for k in new], face=[faces[k] for k in new], bits=bits)
+
+    def add(batches):
+        let_go()
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            for host, bits in zip(batch.column(0).to_pylist(), batch.column(1)):
+                one = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8))
+                if host in sums:
+                    sums[host] += one
+                else:
+                    sums[host] = one.astype(np.int64)
+            for host, n in sums.items():
+                place = np.flatnonzero(n)
+                yield rows_out(counted, host=[host] * len(place), place=place, n=n[place])
+
+    held = pages.select("html", "host").join(asked, "host").select("html", "host", "at").mapInArrow(mark, "host string, face binary, bits binary")
+    once = held.groupBy("host", "face").agg(F.max("bits").alias("bits")).select("host", "bits")
+    sums = once.mapInArrow(add, "host string, place long, n long").groupBy("host", "place").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    sums = sums.groupBy("host").agg(F.collect_list(F.struct("place", "n")).alias("got")).join(asked, "host")
+
+    def on(part: float):
+        kept = F.filter("got", lambda x: x["n"] / F.col("faces") >= F.lit(part))
+        return F.array_sort(F.transform(kept, lambda x: F.get("at", x["place"].cast("int"))))
+
+    return stage(sums.select("host", on(WITHIN).alias("within"), on(ELSEWHERE).alias("elsewhere")), "shared")
+
+
+def _kept(held: list[tuple[bool, list[str]]], limits: list[np.ndarray]) -> list[str]:
+    """Texts of pages without the blocks that the substrings of their ``limits`` cover."""
+    hashes, whole, text = substrings([" ".join(g[1]) for g in held])
+    cut = np.searchsorted(text[: len(hashes)], np.arange(len(held) + 1))
+    begins = np.zeros(len(text) + 1, np.int64)
+    for k, table in enumerate(limits):
+        own = slice(cut[k], cut[k + 1])
+        begins[own] = _among(hashes[own], table) & whole[own]
+    run = np.concatenate((np.zeros(RUN, np.int64), np.cumsum(begins)))
+    over = run[RUN : RUN + len(text)] > run[: len(text)]
+    sizes = [b.count(" ") + 1 for g in held for b in g[1]]
+    covered = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=over, minlength=len(sizes))
+    gone = iter((covered >= np.ceil(COVER * np.array(sizes, np.int64))).tolist())
+    return ["\n\n".join([b for b in g[1] if not next(gone)]) for g in held]
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page: blocks of the main text joined by an empty line.
 
     Null pages, and pages without main text, have an empty text. Pages without a host are of one host of that kind.
     Repeated rows stay.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    counts = rows.groupBy("host").count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
+    counts = stage(rows.groupBy("host").count(), "hosts")
+    total, greatest = counts.agg(F.sum("count"), F.max("count")).first()
     # At most LARGE_HOSTS hosts can have more pages than this.
-    most = max(SHARD_PAGES, -(-total // LARGE_HOSTS))
-    large = {r["host"]: -(-r["count"] // most) for r in counts.where(F.col("count") > most).collect()}
-    shared = spark.sparkContext.broadcast(large)
-    schema = pa.schema([
-        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("shard", pa.int64()), ("within", pa.bool_()), ("blocks", pa.list_(pa.string())),
-    ])
+    most = max(SHARD_PAGES, -(-(total or 0) // LARGE_HOSTS))
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("within", pa.bool_()), ("blocks", pa.list_(pa.string()))])
     final = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    out = "page_id long, url string, text string, n_chars long"
 
     def read(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                got = [blocks(h) for h in part.column(2).to_pylist()]
-                shard = [zlib.crc32(repr(k).encode()) % shared.value.get(h, 1) for k, h in zip(part.column(0).to_pylist(), part.column(3).to_pylist())]
-                yield rows_out(schema, page_id=part.column(0), url=part.column(1), host=part.column(3), shard=shard, within=[g[0] for g in got], blocks=[g[1] for g in got])
+        for part, got in _parsed(batches):
+            yield rows_out(schema, page_id=part.column(1), url=part.column(2), host=part.column(3), within=[g[0] for g in got], blocks=[g[1] for g in got])
 
     def clean(group: pa.Table) -> pa.Table:
         held = group.column("blocks").to_pylist()
@@ -234,5 +394,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             texts.append("\n\n".join(b for b, (part, n) in zip(own, told) if n < LEAST_PAGES or part < limit))
         return pa.Table.from_batches([rows_out(final, page_id=group.column("page_id").combine_chunks(), url=group.column("url").combine_chunks(), text=texts, n_chars=[len(t) for t in texts])])
 
-    read_rows = rows.select("page_id", "url", "html", "host").mapInArrow(read, "page_id long, url string, host string, shard long, within boolean, blocks array<string>")
-    return read_rows.groupBy("host", "shard").applyInArrow(clean, "page_id long, url string, text string, n_chars long")
+    def finish(batches):
+        for part, got in _parsed(batches):
+            limits = [_numbers(part.column(3 if g[0] else 4), k) for k, g in enumerate(got)]
+            texts = _kept(got, limits)
+            yield rows_out(final, page_id=part.column(1), url=part.column(2), text=texts, n_chars=[len(t) for t in texts])
+
+    def whole_hosts(some: DataFrame) -> DataFrame:
+        read_rows = some.select("html", "page_id", "url", "host").mapInArrow(read, "page_id long, url string, host string, within boolean, blocks array<string>")
+        return read_rows.groupBy("host").applyInArrow(clean, out)
+
+    if (greatest or 0) <= most:
+        return whole_hosts(rows)
+    large = stage(counts.where(F.col("count") > most).select("host", F.ceil(F.col("count") / most).cast("long").alias("cuts")), "large")
+    shared = shared_substrings(rows.join(large, "host"))
+    cut_hosts = rows.join(large.select("host"), "host", "left_semi").join(shared, "host", "left").select("html", "page_id", "url", "within", "elsewhere").mapInArrow(finish, out)
+    return whole_hosts(rows.join(large.select("host"), "host", "left_anti")).union(cut_hosts)

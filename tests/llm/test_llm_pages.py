@@ -68,3 +68,25 @@ def test_given_pages(spark):
     for r in pages.main_text(rows).collect():
         body = html[r.page_id].split("<article>")[1].split("</article>")[0]
         assert r.text and all(b in " ".join(__import__("html").unescape(body.replace("<br>", " ")).split()) for b in r.text.split("\n\n"))
+
+
+def test_shards_do_not_change_the_text_of_a_large_host(spark, monkeypatch):
+    def page(i):
+        part = lambda n: (i * 37 + n) % 100
+        inside = "".join(f"<p>{' '.join(f'matter{n}{c}' for c in 'abcdefghij')}</p>" for n in range(8) if part(n * 11) < 44 + n)
+        outside = "".join(f"<div>{' '.join(f'notice{n}{c}' for c in 'abcdefghij')}</div>" for n in range(8) if part(n * 13) < 52 + 4 * n)
+        own = f"Page {i} says {i * i} and {i * 7} and {i * 11} to its readers"
+        return f"<article><p>{own}</p>{inside}</article>" if i % 2 else f"<div>{own}</div>{outside}{inside.replace('p>', 'div>')}"
+
+    rows = [(i, "http://big.example.org/", page(i)) for i in range(200)]
+    rows += [(i, "http://big.example.org/", page(7)) for i in range(200, 260)] + [(3, "http://big.example.org/", page(3))] * 3 + [(400, "http://big.example.org/", None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    monkeypatch.setattr(pages, "SHARD_PAGES", 1000)
+    whole = sorted(map(tuple, pages.main_text(docs).collect()))
+    for size in (16, 60):
+        monkeypatch.setattr(pages, "SHARD_PAGES", size)
+        assert sorted(map(tuple, pages.main_text(docs).collect())) == whole
+    held = [pages.blocks(html) for _, _, html in rows]
+    texts = ["\n\n".join(b for b, (part, n) in zip(g[1], told) if n < 4 or part < (0.5 if g[0] else 0.3)) for g, told in zip(held, pages.repeated([g[1] for g in held]))]
+    assert [r[2] for r in whole] == [t for _, t in sorted(zip([r[0] for r in rows], texts))]
+    assert len({t.count("\n\n") for t in texts}) > 3
