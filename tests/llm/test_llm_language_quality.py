@@ -63,6 +63,24 @@ def test_model_keeps_the_most_frequent_grams(sf_docs):
     assert len(small.table[-1].order) <= 500 * len(small.langs)
 
 
+def test_kept_grams_have_the_probabilities_of_the_whole_model(sf_docs):
+    docs = sf_docs.select("doc_id", "text", "lang")
+    small, whole = langid.fit(docs, max_grams=500), langid.fit(docs)
+    texts = [r.text for r in sf_docs.select("text").limit(100).collect()]
+    every = np.unique(langid.grams(*langid.stream(texts)[:2])[0])
+    kept = every[small.table[-1].find(every) >= 0]
+    assert len(kept) > 500 and len(kept) < len(every)
+    assert np.allclose(small.log_probs(kept), whole.log_probs(kept), atol=1e-5)
+    assert np.allclose(small.unseen, whole.unseen, atol=1e-5)
+
+
+def test_rare_and_short_languages_are_calibrated(spark, sf_docs, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION_ROWS", 1)
+    short = [(10_000 + i, f"Это короткое предложение номер {i}", "ru") for i in range(6)]
+    model = langid.fit(sf_docs.select("doc_id", "text", "lang").union(spark.createDataFrame(short, "doc_id long, text string, lang string")))
+    assert "ru" in model.langs and np.isfinite(model.limit).all()
+
+
 def test_held_out_quality(spark):
     rows = QUERIES["op1_quality"](spark, SF).where("held_out").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").collect()
     good, bad = [r.score for r in rows if r.quality == 1], [r.score for r in rows if r.quality == 0]
