@@ -1,7 +1,8 @@
 """Shuffles of very many small numbers: rows travel as arrays, one block for each input batch and bucket.
 
 A hash bucket is one group of ``applyInArrow``; the number of buckets grows with the input so that a bucket stays
-small, and makers keep at most one row a key and document of each batch, so a hot key adds a row a batch at most.
+small, and makers keep at most one row a key and document of each batch, so a hot key adds a row a batch at most. The
+anchors of ``lpf.py`` are dealt by a part of their key, so a hot K-mer adds a row a batch and context there.
 """
 
 from __future__ import annotations
