@@ -1,14 +1,14 @@
-"""Exact substring dedup with longest-previous-factor arrays, over buckets of suffixes.
+"""Exact substring dedup by minimizer K-mers and hashes of strings, in place of longest-previous-factor arrays.
 
-A byte goes if a string of SPAN bytes that covers it also starts in a document with a smaller id. In a suffix array of
-all texts that is a suffix whose longest previous factor, the longest match with an earlier document's suffix, reaches
-SPAN; the match is the previous or next suffix, in suffix order, of a smaller document. The array is never built whole:
+A byte goes if a string of SPAN bytes that covers it also starts in a document with a smaller id: a suffix whose longest
+previous factor reaches SPAN. Only whether it does is asked, so equal strings are found by their hashes; no suffixes are
+sorted and no factor lengths computed:
 
 1. Anchors. Every string of SPAN bytes has the same least K-mer wherever it stands, so equal strings meet at equal
    anchors. An anchor is sent to a bucket by its K-mer, with a hash of its context: all bytes that a string of SPAN bytes
    with this anchor can reach. Equal context with an earlier document covers the whole context.
 2. Edges. Where the K-mer, and with it a good half of such a string, recurs in another context, its strings are tested
-   one by one: suffixes are sorted by their first SPAN bytes and matched with the previous and next smaller document.
+   one by one: strings are grouped by a 64-bit hash of their SPAN bytes and matched with a smaller document.
 3. Each text is cut by the union of its covered strings.
 
 Texts are shuffled only where something of them was found; a filter of fixed size lets the others pass.
