@@ -31,21 +31,41 @@ def stream_session(spark: SparkSession) -> SparkSession:
 ROWS_PER_BATCH = 1_000_000
 
 
+# A span of time with more than so many batches of rows is cut further.
+BURST = 4
+
+
 def time_slices(df: DataFrame, ts: str, slices: int) -> tuple[list[DataFrame], int]:
-    """Cut a log into equal spans of time, from its two ends only; each slice is a filter and a micro-batch.
+    """Cut a log into equal spans of time, from its two ends and row counts; each slice is a filter and a micro-batch.
 
-    There are ``slices`` at least, and more where these would be over ROWS_PER_BATCH rows. Also says into how many files a
-    slice goes. An empty log is one empty slice.
+    There are ``slices`` at least, and more where these would be over ROWS_PER_BATCH rows. A span over BURST times as many
+    is cut at its time quantiles into batches of about ROWS_PER_BATCH; rows of one microsecond stay together. Rows without a
+    time come last, in slices of their own. Also says into how many files a slice goes. An empty log is one empty slice.
     """
     log = stage(df, "log")
-    seconds = F.col(ts).cast("timestamp").cast("long")
-    low, high, rows = log.agg(F.min(seconds), F.max(seconds), F.count("*")).first()
+    stamp = F.col(ts).cast("timestamp")
+    seconds, micros = stamp.cast("long"), F.unix_micros(stamp)
+    low, high, rows, timed = log.agg(F.min(seconds), F.max(seconds), F.count("*"), F.count(ts)).first()
     if not rows:
         return [log] * slices, 1
-    slices = max(slices, -(-rows // ROWS_PER_BATCH))
-    step = (high - low) // slices + 1
-    parts = [log.where((seconds >= low + i * step) & (seconds < low + (i + 1) * step)) for i in range(slices)]
-    return parts, 1
+    parts = [] if timed else [log.where(F.lit(False))] * slices
+    if timed:
+        slices = max(slices, -(-timed // ROWS_PER_BATCH))
+        step = (high - low) // slices + 1
+        place = F.floor((seconds - low) / step)
+        sizes = {r["place"]: r["count"] for r in log.where(seconds.isNotNull()).groupBy(place.alias("place")).count().collect()}
+        for i in range(slices):
+            span = (seconds >= low + i * step) & (seconds < low + (i + 1) * step)
+            n = -(-sizes.get(i, 0) // ROWS_PER_BATCH) if sizes.get(i, 0) > BURST * ROWS_PER_BATCH else 1
+            ends = []
+            if n > 1:
+                ends = sorted(set(log.where(span).agg(F.percentile_approx(micros, [k / n for k in range(1, n)], 100 * n)).first()[0]))
+            for after, upto in zip([None, *ends], [*ends, None]):
+                part = span if after is None else span & (micros > after)
+                parts.append(log.where(part if upto is None else part & (micros <= upto)))
+    n = -(-(rows - timed) // ROWS_PER_BATCH)
+    dealt = F.pmod(F.xxhash64(*log.columns), F.lit(max(n, 1)))
+    return parts + [log.where(F.col(ts).isNull() & (dealt == i)) for i in range(n)], 1
 
 
 def land(parts: Sequence[DataFrame], path: str, files: int) -> str:

@@ -36,3 +36,15 @@ def test_empty_log(spark):
     stream, _ = stream_of(spark, log)
     last = src.run_batches(spark, stream.select("session_id", "seq", "frame"), "snap", table.upsert)
     assert table.read(spark, last).count() == 0
+
+
+def test_bursts_are_cut_and_rows_without_time_stay(spark, monkeypatch):
+    monkeypatch.setattr(src, "ROWS_PER_BATCH", 40)
+    rows = [(i, 86_400_000_000 + i * 1000) for i in range(900)] + [(1000 + i, i * 86_400_000_000) for i in range(30)] + [(2000 + i, None) for i in range(70)]
+    log = spark.createDataFrame(rows, "n long, t long").select("n", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+    parts, _ = src.time_slices(log, "ts", 4)
+    got = [[r.n for r in p.collect()] for p in parts]
+    assert sorted(n for g in got for n in g) == sorted(n for n, _ in rows)
+    assert max(map(len, got)) <= src.BURST * 40
+    none = spark.createDataFrame(rows[-70:], "n long, t long").select("n", F.timestamp_micros("t").cast("timestamp_ntz").alias("ts"))
+    assert sum(p.count() for p in src.time_slices(none, "ts", 4)[0]) == 70
