@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load, stage
-from . import bpe, decontaminate, langid, lpf, pages, quality, simhash, syncmer, url_list, windows
+from . import bpe, decontaminate, langid, lpf, mixing, pages, periodic, quality, simhash, syncmer, url_list, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,16 @@ def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_text(load(spark, sf_dir, "pages"))
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(load(spark, sf_dir, "documents")))
+
+
+ORACLE["op12_mixing"] = mixing.SQL
+
+
+@query
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.collapse(periodic.with_repeats(load(spark, sf_dir, "documents"))))
