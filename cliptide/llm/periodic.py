@@ -167,14 +167,16 @@ def runs(texts: list[np.ndarray], vocabulary: int, least: int = LEAST, times: in
     w, begin = _joined(ordered, vocabulary)
     sizes = np.array([len(t) for t in ordered], np.int64)
     i, q = _grid(w, begin, sizes, least, times)
+    text = np.searchsorted(begin, i, side="right") - 1
+    one = i + q < (begin + sizes)[text] if len(sizes) else np.zeros(0, bool)  # both places in one text
+    i, q, text = i[one], q[one], text[one]
     # The words up to the next place in the cover decide about nearly all.
     n = len(w)
     step_right, step_left = _STEP[i % MODULUS, (i + q) % MODULUS], _STEP[(n - i) % MODULUS, (n - i - q) % MODULUS]
     right, left = _agree(w, i, i + q, step_right, 1), _agree(w, i - 1, i + q - 1, step_left, -1)
     right_open, left_open = right == step_right, left == step_left
     keep = right_open | left_open | (left + right + q >= np.maximum(least, times * q))
-    i, q, left, right, far = i[keep], q[keep], left[keep], right[keep], (right_open | left_open)[keep]
-    text = np.searchsorted(begin, i, side="right") - 1
+    i, q, text, left, right, far = i[keep], q[keep], text[keep], left[keep], right[keep], (right_open | left_open)[keep]
     if far.any():
         some = np.unique(text[far])
         part, part_begin = _joined([ordered[k] for k in some], vocabulary)

@@ -74,6 +74,16 @@ def test_runs_match_plain_search(seed):
         assert [tuple(x) for x in r.tolist()] == plain_runs(t.tolist())
 
 
+def test_equal_words_of_neighbouring_texts_are_no_run():
+    # Long common stretches at one distance in different texts, with the last text at the end of the array.
+    rng = np.random.default_rng(5)
+    for size in (40, 41, 55):
+        shared = rng.integers(0, 1000, size)
+        texts = [np.concatenate((shared, rng.integers(0, 1000, k))) for k in (9, 5, 0)] + [shared[-12:], np.zeros(12, np.int64)]
+        for t, r in zip(texts, periodic.runs(texts, 1000)):
+            assert [tuple(x) for x in r.tolist()] == plain_runs(t.tolist())
+
+
 def test_two_periods_and_shorter_runs():
     texts = list(random_texts(99, 80))
     for least, times in ((2, 2), (5, 3)):
