@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import load, stage
-from . import bpe, decontaminate, langid, lpf, mixing, pages, periodic, quality, simhash, syncmer, url_list, windows
+from . import bpe, decontaminate, langid, lpf, mixing, negatives, pages, periodic, quality, simhash, syncmer, url_list, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +101,12 @@ ORACLE["op12_mixing"] = mixing.SQL
 @query
 def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.collapse(periodic.with_repeats(load(spark, sf_dir, "documents"))))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, sf_dir, "embeddings").withColumn("label", turned), F.col("id") % 50 == 0)
+
+
+ORACLE["op13_hard_negatives"] = negatives.SQL
