@@ -98,28 +98,26 @@ def block_positions(blocks: DataFrame, chunk_width: int = ROWS_PER_CHUNK) -> Dat
 def loudest_range(samples: DataFrame, blocks_per_range: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
     """Best start of a range of n whole blocks per track by RMS; the earliest wins a tie.
 
-    Blocks are ranked, cut into chunks of ranks, and each chunk is given the first n-1 blocks of the
-    next one, so the sliding frame never has to leave its chunk.
+    Energy and samples are summed along the blocks once. A range is the difference of two of these sums, n blocks apart:
+    each block gives the sum before it to the range that it begins and the sum up to it to the range that it ends. So the
+    cost does not depend on n, and a long track is spread over its ranks.
     """
     s = F.col("s24").cast("bigint")
     energy = samples.groupBy("track_id", "block_no").agg(F.sum(s * s).alias("energy"), F.count("*").alias("n"))
-    ranked = ordered_scan(energy, ["track_id"], ["block_no"], div("block_no", chunk_width), rank="rank")
-    width = max(chunk_width, blocks_per_range)
-    at = ranked.withColumns({"home": div(F.col("rank") - 1, width), "in_home": (F.col("rank") - 1) % width})
-    halo = (F.col("in_home") < blocks_per_range - 1) & (F.col("home") > 0)
-    spread = at.withColumn(
-        "part", F.explode(F.when(halo, F.array(F.col("home"), F.col("home") - 1)).otherwise(F.array("home"))))
-    ahead = Window.partitionBy("track_id", "part").orderBy("rank").rowsBetween(0, blocks_per_range - 1)
-    slid = spread.withColumns({
-        "e": F.sum(F.col("energy").cast("decimal(38,0)")).over(ahead), "samples": F.sum("n").over(ahead),
-        "blocks": F.count("*").over(ahead)})
-    whole = slid.where((F.col("part") == F.col("home")) & (F.col("blocks") == blocks_per_range))
+    summed = ordered_scan(
+        energy, ["track_id"], ["block_no"], div("block_no", chunk_width), rank="rank",
+        sums={"e": F.col("energy").cast("decimal(38,0)"), "m": F.col("n")})
+    ends = F.array(
+        F.struct(F.col("rank").alias("at"), F.col("block_no").alias("block"), (F.col("energy") - F.col("e")).cast("decimal(38,0)").alias("e"), (F.col("n") - F.col("m")).alias("m")),
+        F.struct((F.col("rank") - blocks_per_range + 1).alias("at"), F.lit(None).cast("bigint").alias("block"), F.col("e").cast("decimal(38,0)").alias("e"), F.col("m")))
+    ranges = summed.select("track_id", F.explode(ends).alias("x")).select("track_id", "x.*").groupBy("track_id", "at").agg(
+        F.max("block").alias("block_no"), F.sum("e").alias("e"), F.sum("m").alias("samples"), F.count("*").alias("ends"))
     mean = F.col("e").cast("double") / F.col("samples")
     # One row per track leaves each task: the comparison is an aggregate, not a global sort.
-    return whole.withColumn("m", mean).groupBy("track_id").agg(
-        F.max_by(F.struct("block_no", "m"), F.struct("m", -F.col("rank"))).alias("best")
+    return ranges.where("ends = 2").withColumn("mean", mean).groupBy("track_id").agg(
+        F.max_by(F.struct("block_no", "mean"), F.struct("mean", -F.col("at"))).alias("best")
     ).select("track_id", F.col("best.block_no").alias("start_block"),
-             F.round(F.sqrt("best.m") / FULL_SCALE, 6).alias("rms"))
+             F.round(F.sqrt("best.mean") / FULL_SCALE, 6).alias("rms"))
 
 
 def interleave(placed: DataFrame, channels: int, grid: int = SAMPLES_PER_CELL) -> DataFrame:

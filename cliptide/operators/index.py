@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .interval import interval_join
+from .interval import covered_measure, interval_join
+from ..sources.sinks import store_clustered
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 # Samples per bucket of an interval join: about one packet of a 48 kHz clip at 25 frames per second.
@@ -92,8 +93,21 @@ def index_only(packets: DataFrame) -> DataFrame:
     return packets.select("clip_id", "packet_no", "essence_key", "file_offset", "payload_len")
 
 
+#: Order of a stored index: a clip's channel lies together, by sample.
+CLUSTERED_BY = ("clip_id", "channel", "start_sample")
+
+
+def stored_index(index: DataFrame, path: str, rows_per_group: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Write an index clustered by clip, channel and sample, and read it back.
+
+    Files hold ranges of this order and row groups of about ``rows_per_group`` rows carry least and greatest values, so a
+    range of samples, or of clips, reads the groups that it meets and no others.
+    """
+    return store_clustered(index, path, CLUSTERED_BY, rows_per_group)
+
+
 def extract_range(index: DataFrame, start: int, end: int) -> DataFrame:
-    """Packets overlapping ``[start, end)``; a plain filter, pushed to the scan of a stored index."""
+    """Packets overlapping ``[start, end)``; a plain filter, which the scan of a stored index gets."""
     return index.where((F.col("end_sample") > start) & (F.col("start_sample") < end))
 
 
@@ -172,18 +186,23 @@ def override_index(derived: DataFrame, provided: DataFrame) -> DataFrame:
     )
 
 
-def frame_coverage(frames: DataFrame, index: DataFrame, tracks: int, width: int = SAMPLES_PER_BUCKET) -> DataFrame:
-    """How many tracks cover each frame's sample range, and whether all of them do so fully."""
+def frame_coverage(frames: DataFrame, index: DataFrame, tracks: int, chunk_width: int = SAMPLES_PER_CHUNK) -> DataFrame:
+    """How many tracks cover some of each frame's sample range, the samples covered, and whether all tracks do so fully.
+
+    A sample that several blocks of a track hold counts once; a frame with a hole in any track is not complete.
+    """
     asked = frames.select("clip_id", "frame", F.col("start_sample").alias("f_start"), F.col("end_sample").alias("f_end"))
     entries = index.select("clip_id", "channel", "start_sample", "end_sample")
-    met = interval_join(asked, entries, ["clip_id"], ("f_start", "f_end"), ("start_sample", "end_sample"), width)
-    overlap = F.least("f_end", "end_sample") - F.greatest("f_start", "start_sample")
-    found = (
-        met.groupBy("clip_id", "frame", "channel").agg(F.sum(overlap).alias("covered"))
-        .groupBy("clip_id", "frame").agg(F.count("*").alias("tracks"), F.sum("covered").alias("covered"))
-    )
-    out = asked.join(found, ["clip_id", "frame"], "left").fillna(0, ["tracks", "covered"])
-    full = (F.col("tracks") == tracks) & (F.col("covered") == tracks * (F.col("f_end") - F.col("f_start")))
+    # A clip has at most 64 tracks, so the channels of a clip stay a short list.
+    channels = entries.groupBy("clip_id").agg(F.collect_set("channel").alias("channels"))
+    per_track = asked.join(channels, "clip_id").withColumn("channel", F.explode("channels")).drop("channels")
+    found = covered_measure(
+        per_track, entries, ["clip_id", "channel"], ("f_start", "f_end"), ("start_sample", "end_sample"), "got", chunk_width
+    ).groupBy("clip_id", "frame").agg(
+        F.count_if(F.col("got") > 0).alias("tracks"), F.sum("got").alias("covered"),
+        F.count_if((F.col("got") > 0) & (F.col("got") == F.col("f_end") - F.col("f_start"))).alias("whole"))
+    out = asked.join(found, ["clip_id", "frame"], "left").fillna(0, ["tracks", "covered", "whole"])
+    full = (F.col("tracks") == tracks) & (F.col("whole") == tracks)
     return out.select("clip_id", "frame", "tracks", "covered", full.alias("complete"))
 
 

@@ -67,8 +67,76 @@ def overlap_counts(
     return met.select(*requests.columns, count.cast("bigint").alias(name))
 
 
-def _buckets(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(div(start, width), div(end - 1, width)))
+def covered_measure(
+    requests: DataFrame,
+    spans: DataFrame,
+    keys: Sequence[str],
+    span: tuple[str, str],
+    by: tuple[str, str],
+    name: str,
+    chunk_width: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """Requests with the length of ``span`` that the union of the spans ``by`` of their key covers.
+
+    Spans may overlap and leave gaps. Ends of spans and of requests become places; a running count of open spans says
+    whether the stretch up to the next place is covered, and a running sum of covered stretches is the measure up to a
+    place. A request is the difference of two of these. No pair of request and span is formed, and equal places share one
+    row, so frames that follow each other or repeat cost one place each. Empty spans cover nothing, empty requests get 0.
+    """
+    (s, e), (bs, be) = span, by
+    place = lambda df, at, step: df.select(*keys, F.col(at).cast("bigint").alias("_at"), F.lit(step).cast("bigint").alias("_d"))
+    some = spans.where(F.col(bs) < F.col(be))
+    marks = place(some, bs, 1).unionByName(place(some, be, -1)).unionByName(place(requests, s, 0)).unionByName(place(requests, e, 0))
+    places = stage(marks.where("_at is not null").groupBy(*keys, "_at").agg(F.sum("_d").alias("_d")), "places")
+    chunk = div("_at", chunk_width)
+    opened = ordered_scan(places, keys, ["_at"], chunk, sums={"_open": F.col("_d")}, lags={"_before": F.col("_at")})
+    # Open just before this place: what is open from here on, less what changes here.
+    gained = F.when((F.col("_open") - F.col("_d") > 0) & F.col("_before").isNotNull(), F.col("_at") - F.col("_before")).otherwise(0)
+    told = stage(ordered_scan(
+        stage(opened.select(*keys, "_at", gained.alias("_g")), "stretches"), keys, ["_at"], chunk, sums={"_m": F.col("_g")}
+    ).select(*keys, "_at", "_m"), "measures")
+    upto, since = (told.select(*keys, F.col("_at").alias(f"_{x}"), F.col("_m").alias(f"_m{x}")) for x in ("to", "from"))
+    asked = requests.withColumns({"_to": F.col(e).cast("bigint"), "_from": F.col(s).cast("bigint")})
+    met = asked.join(upto, [*keys, "_to"], "left").join(since, [*keys, "_from"], "left")
+    covered = F.when(F.col(s) < F.col(e), F.coalesce(F.col("_mto") - F.col("_mfrom"), F.lit(0))).otherwise(0)
+    return met.select(*requests.columns, covered.cast("bigint").alias(name))
+
+
+def dyadic_cover(start: Column, end: Column) -> Column:
+    """The blocks (level, block) of a binary tree over whole numbers that make up [start, end): two a level at most.
+
+    Block b of level k is [b * 2^k, (b + 1) * 2^k). An empty range has none.
+    """
+    def at_level(k: Column) -> Column:
+        floor = lambda x: F.call_function("shiftright", x.cast("bigint"), k)
+        lo, hi = -floor(-start), floor(end)
+        node = lambda odd, block: F.when((lo < hi) & (odd % 2 != 0), F.struct(k.alias("level"), block.cast("bigint").alias("block")))
+        return F.array(node(lo, lo), node(hi, hi - 1))
+
+    # A range that ends at a power of two may need the level of its own length, never one above it.
+    levels = F.sequence(F.lit(0), F.length(F.bin(end - start)).cast("int"))
+    nodes = F.filter(F.flatten(F.transform(levels, at_level)), lambda x: x.isNotNull())
+    return F.when(start < end, nodes).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+
+
+def _in_blocks(df: DataFrame, nodes: Column) -> DataFrame:
+    return df.withColumn("_node", F.explode(nodes)).withColumns({"_level": F.col("_node.level"), "_block": F.col("_node.block")}).drop("_node")
+
+
+def _above(df: DataFrame, at: str, levels: Sequence[int]) -> DataFrame:
+    """Rows copied to the blocks above a whole number, on the levels in use only."""
+    nodes = F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright(F.col(at).cast("bigint"), k).alias("block")) for k in levels])
+    return _in_blocks(df, nodes)
+
+
+def _starts_inside(points: DataFrame, at: str, ranges: DataFrame, keys: Sequence[str], start: Column, end: Column) -> DataFrame:
+    """Pairs of a point and a range [start, end) around it: the range as dyadic blocks, the point in each level in use."""
+    cut = _in_blocks(ranges, dyadic_cover(start, end))
+    # Levels are at most as many as bits of a number, and known by one small aggregate.
+    levels = sorted(cut.agg(F.collect_set("_level")).first()[0])
+    if not levels:
+        return points.join(ranges.limit(0), list(keys)).drop("_level", "_block")
+    return _above(points, at, levels).join(cut, [*keys, "_level", "_block"]).drop("_level", "_block")
 
 
 def interval_join(
@@ -79,19 +147,19 @@ def interval_join(
     right_span: tuple[str, str],
     width: int,
 ) -> DataFrame:
-    """Pairs whose half-open spans overlap, as an equi-join on (keys, bucket).
+    """Pairs whose half-open spans overlap, as an equi-join on dyadic blocks of ``width``.
 
-    Spans are copied into every bucket of ``width`` they touch, so a long clip is spread over its
-    buckets instead of meeting all requests in one task. A pair sharing several buckets is kept in the
-    first one only. Empty spans overlap nothing. Column names of the two sides must differ except for
-    the keys.
+    Of two spans that share a bucket of ``width``, one begins in a bucket of the other. A span of n buckets is 2 log n
+    blocks of a binary tree, and a beginning lies in one block of each level, so rows grow by a logarithm however long a
+    span is, and a long clip is spread over its blocks. Each pair is found once: from the right side's beginning if that is
+    not before the left's, else from the left's. Empty spans overlap nothing. Column names of the two sides must differ
+    except for the keys.
     """
     (ls, le), (rs, re_) = left_span, right_span
-    a = left.where(F.col(ls) < F.col(le)).withColumn("_bucket", _buckets(F.col(ls), F.col(le), width))
-    b = right.where(F.col(rs) < F.col(re_)).withColumn("_bucket", _buckets(F.col(rs), F.col(re_), width))
-    shared_first = F.greatest(div(ls, width), div(rs, width))
-    return (
-        a.join(b, [*keys, "_bucket"])
-        .where((F.col(re_) > F.col(ls)) & (F.col(rs) < F.col(le)) & (F.col("_bucket") == shared_first))
-        .drop("_bucket")
-    )
+    floor = lambda x: div(x - F.pmod(x, F.lit(width)), width)
+    bucket = lambda df, s, e, names: df.where(F.col(s) < F.col(e)).withColumns({names[0]: floor(F.col(s)), names[1]: floor(F.col(e) - 1) + 1})
+    a, b = bucket(left, ls, le, ("_ls", "_le")), bucket(right, rs, re_, ("_rs", "_re"))
+    rights = _starts_inside(b, "_rs", a, keys, F.col("_ls"), F.col("_le"))
+    lefts = _starts_inside(a, "_ls", b, keys, F.col("_rs") + 1, F.col("_re"))
+    columns = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]
+    return rights.select(columns).unionByName(lefts.select(columns)).where((F.col(re_) > F.col(ls)) & (F.col(rs) < F.col(le)))

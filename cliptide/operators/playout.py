@@ -68,23 +68,25 @@ def stage_breakdown(timings: DataFrame, rate_num: int = 50, rate_den: int = 1) -
         F.round(fps * rate_den / rate_num, 6).alias("realtime"))
 
 
+def _queue(log: DataFrame, key: str, chunk_width: int, **more) -> DataFrame:
+    step = F.when(F.col("op") == "create", 1).otherwise(-1)
+    return ordered_scan(log, [key], ["seq", "resource_id", "op"], div("seq", chunk_width), sums={"depth": step}, **more)
+
+
 def queue_depth(log: DataFrame, key: str, capacity: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
     """Running depth of what is created and not yet destroyed, per key."""
-    step = F.when(F.col("op") == "create", 1).otherwise(-1)
-    deep = ordered_scan(log, [key], ["seq", "resource_id", "op"], div("seq", chunk_width), sums={"depth": step})
-    full = (F.col("op") == "create") & (F.col("depth") > capacity)
-    return deep.withColumn("backpressure", full)
+    return _queue(log, key, chunk_width).withColumn("backpressure", (F.col("op") == "create") & (F.col("depth") > capacity))
 
 
-def queue_summary(depths: DataFrame, key: str, capacity: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Peak, time above capacity in units of ``seq``, entries above it and refusals, per key."""
-    held = stage(depths.select(key, "seq", "resource_id", "op", "depth", "backpressure"), "depths")
-    seen = ordered_scan(
-        held, [key], ["seq", "resource_id", "op"], div("seq", chunk_width), lags={"depth_before": F.col("depth"), "seq_before": F.col("seq")})
-    above = F.when(F.col("depth_before") > capacity, F.col("seq") - F.col("seq_before")).otherwise(0)
+def queue_summary(log: DataFrame, key: str, capacity: int, chunk_width: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Peak, time above capacity in units of ``seq``, entries above it and refusals, per key, in one scan of the log."""
+    seen = _queue(log, key, chunk_width, lags={"seq_before": F.col("seq")})
+    created = F.col("op") == "create"
+    depth_before = F.col("depth") - F.when(created, 1).otherwise(-1)
+    above = F.when(F.col("seq_before").isNotNull() & (depth_before > capacity), F.col("seq") - F.col("seq_before")).otherwise(0)
     return seen.groupBy(key).agg(
         F.max("depth").alias("peak"), F.sum(above).alias("time_above"), F.count_if(F.col("depth") > capacity).alias("above_capacity"),
-        F.count_if("backpressure").alias("backpressure"))
+        F.count_if(created & (F.col("depth") > capacity)).alias("backpressure"))
 
 
 def selection_completeness(source: DataFrame, selected: DataFrame, skipped: DataFrame) -> DataFrame:

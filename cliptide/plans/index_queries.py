@@ -9,8 +9,9 @@ from ..operators import index as ix
 from ..operators.interval import asof_backward
 from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
 from ..sources import stage
+from ..sources.tables import fresh_path
 from .registry import query
-from .snippets import DAMAGED, INDEX, REQUESTS, damaged, requests
+from .snippets import DAMAGED, INDEX, OVERLAPPING, REQUESTS, damaged, overlapping, requests
 
 c = F.col
 
@@ -58,7 +59,8 @@ def src2(packet):
 select clip_id, channel, edit_unit, start_sample, sample_count, file_offset from idx
 where end_sample > 1200 and start_sample < 2400""", settle=["packet"])
 def src3(packet):
-    return ix.extract_range(ix.packet_index(packet), 1200, 2400).select(
+    index = ix.stored_index(ix.packet_index(packet), fresh_path(packet.sparkSession, "stored-index"))
+    return ix.extract_range(index, 1200, 2400).select(
         "clip_id", "channel", "edit_unit", "start_sample", "sample_count", "file_offset")
 
 
@@ -177,18 +179,21 @@ def j3(command_log, packet):
         "request_id", "clip_id", "channel", "edit_unit", "start_sample", "end_sample")
 
 
-@query("j4_frame_coverage", ["clip", "packet"], INDEX + """
+@query("j4_frame_coverage", ["clip", "packet"], OVERLAPPING + """
 , fr as (select clip_id, frame, cast(frame * sample_rate * rate_den // rate_num as bigint) as fs,
     cast((frame + 1) * sample_rate * rate_den // rate_num as bigint) as fe
   from (select *, unnest(range(0, duration_frames)) as frame from clip where duration_frames > 0) x),
-cov as (select f.clip_id, f.frame, i.channel, sum(least(fe, end_sample) - greatest(fs, start_sample)) as covered
-  from fr f join idx i on i.clip_id = f.clip_id and i.end_sample > fs and i.start_sample < fe group by all),
-tot as (select clip_id, frame, count(*) as tracks, cast(sum(covered) as bigint) as covered from cov group by all)
-select clip_id, frame, coalesce(tracks, 0) as tracks, coalesce(covered, 0) as covered,
-  coalesce(tracks, 0) = 4 and coalesce(covered, 0) = 4 * (fe - fs) as complete
+reach as (select *, coalesce(max(end_sample) over (partition by clip_id, channel order by start_sample, end_sample
+    rows between unbounded preceding and 1 preceding), start_sample) as before from over_),
+piece as (select clip_id, channel, greatest(start_sample, before) as ps, end_sample as pe from reach where end_sample > before),
+cov as (select f.clip_id, f.frame, p.channel, sum(least(fe, pe) - greatest(fs, ps)) as covered, max(fe - fs) as whole
+  from fr f join piece p on p.clip_id = f.clip_id and p.pe > fs and p.ps < fe group by all),
+tot as (select clip_id, frame, count(*) as tracks, cast(sum(covered) as bigint) as covered, bool_and(covered = whole) as full_ from cov group by all)
+select clip_id, frame, coalesce(tracks, 0) as tracks, coalesce(covered, 0) as covered, coalesce(tracks, 0) = 4 and full_ as complete
 from fr left join tot using (clip_id, frame)""", settle=["packet"])
 def j4(clip, packet):
-    return ix.frame_coverage(t.frame_samples(clip), ix.packet_index(packet), 4)
+    index = stage(ix.packet_index(packet), "audio-index")
+    return ix.frame_coverage(t.frame_samples(clip), overlapping(index), 4)
 
 
 @query("a1_clip_samples", ["packet"], INDEX + TOTALS + "select clip_id, total_samples, channels from totals", settle=["packet"])

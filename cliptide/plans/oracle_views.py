@@ -20,7 +20,7 @@ from (select user_id as session_id, event_id as command_id, ts, value,
 """,
     "packet": """
 select clip_id, channel, essence_key, packet_no, payload_len, bit_depth, picture, is_sync, duration, composition_offset,
-  sum(payload_len + 20) over (partition by clip_id order by packet_no) - payload_len - 20 as file_offset
+  cast(sum(payload_len + 20) over (partition by clip_id order by packet_no) - payload_len - 20 as bigint) as file_offset
 from (select l_suppkey as clip_id, cast(l_linenumber % 4 as int) as channel,
         case when l_linenumber <= 4 then concat('pcm.', cast(l_linenumber % 4 as varchar(2))) when l_linenumber = 5 then 'avc.1'
           when l_linenumber = 6 then 'part.body' else 'fill' end as essence_key,

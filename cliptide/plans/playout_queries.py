@@ -75,7 +75,7 @@ def w7(resource_log):
 select session_id, max(depth) as peak, cast(sum(above) as bigint) as time_above, count(*) filter (depth > 4) as above_capacity,
   count(*) filter (op = 'create' and depth > 4) as backpressure from t group by session_id""")
 def w7_summary(resource_log):
-    return po.queue_summary(po.queue_depth(resource_log, "session_id", 4), "session_id", 4)
+    return po.queue_summary(resource_log, "session_id", 4)
 
 
 @query("s3_selection_completeness", ["frame_decision"], """

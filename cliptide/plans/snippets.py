@@ -21,6 +21,15 @@ DAMAGED = INDEX + """, damaged as (select *, unnest(case when (edit_unit + 1) %
   from idx where (edit_unit + 1) % 37 <> 0)"""
 
 
+# The damaged index with every 29th entry reaching 15 samples into what follows it.
+OVERLAPPING = DAMAGED + """, over_ as (select clip_id, channel, start_sample,
+    end_sample + case when edit_unit % 29 = 0 then 15 else 0 end as end_sample from damaged)"""
+
+
+def overlapping(index: DataFrame) -> DataFrame:
+    return damaged(index).withColumn("end_sample", F.col("end_sample") + F.when(F.col("edit_unit") % 29 == 0, 15).otherwise(0))
+
+
 def requests(command_log: DataFrame) -> DataFrame:
     return command_log.where("command in ('Seek', 'Cue')").selectExpr(
         "command_id as request_id", "session_id as clip_id", "frame", "frame * 20 as req_start",

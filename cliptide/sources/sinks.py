@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,22 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).json(path)
 
 
+#: Bytes of a row of numbers in a Parquet row group before encoding, about.
+BYTES_PER_VALUE = 8
+
+
+def store_clustered(df: DataFrame, path: str, by: Sequence[str], rows_per_group: int) -> DataFrame:
+    """Write ``df`` range-partitioned and sorted by the columns ``by`` in row groups of about ``rows_per_group`` rows."""
+    group_bytes = max(1024, rows_per_group * len(df.columns) * BYTES_PER_VALUE)
+    (
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write
+        .option("parquet.block.size", group_bytes).option("parquet.page.size", max(1024, group_bytes // 8))
+        .option("parquet.block.row.count.limit", rows_per_group).option("parquet.page.row.count.limit", max(1, rows_per_group // 8))
+        .parquet(path)
+    )
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class SnapshotTable:
     """Newest row per key, kept by ``foreachBatch``.
 
