@@ -2,34 +2,33 @@
 
 A replay is a fold: each row's outcome depends on the state its predecessors left. Folding a whole
 session in one task would let one long session hold up the job, so a session is cut into blocks. One
-pass summarises every block: its end for each state it may start from. The summaries, one small row a
-block, are composed in order and give every block its start. Then all blocks are folded at once. The
-end of each block must be the start of the next; blocks where it is not are folded again until no start
-changes. At that point every block starts where the one before it ended, so the result is the
-sequential one for any summary, and with summaries that hold one round settles the log.
+pass summarises every block: its end for each state it may start from (see probes.py). The summaries,
+one small row a block, are composed in order and give every block its start. Then all blocks are
+folded at once.
 
-Columns named as counters only ever get added to. Their starts are summed from all blocks at once, so
-a wrong guess in one block does not have to travel through the rest one round at a time.
+Where a summary is not sure of a block's end, the block is run from that start, and what it ends in is
+an exact part of its summary from then on. The summaries are composed again until every end is sure or
+has been run, so the result is the sequential one for any log.
 
 Within a task rows stream through in Arrow batches in order; nothing is held but the current state.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import count
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.tables import stage
+from .probes import NoProbe
 
 Row = tuple
 
@@ -37,9 +36,6 @@ Row = tuple
 # adaptive execution from merging them by size.
 ROWS_PER_TASK = 20_000
 
-#: Rounds the last settled log of a machine took, by its state: a figure for tests and reports.
-ROUNDS: dict[str, int] = {}
-
 
 @dataclass(frozen=True)
 class Machine:
@@ -55,12 +51,11 @@ class Machine:
     inputs: tuple[str, ...]
     outputs: str
     step: Callable[[Any, Row], tuple[Any, Sequence[Row]]]
-    counters: tuple[str, ...] = ()
     finish: Callable[[Any], Sequence[Row]] | None = None
     thaw: Callable[[Row], Any] = tuple
     freeze: Callable[[Any], Row] = tuple
-    #: Makes a summary of a block, see probes.py; without one every block is first taken to start anew.
-    probe: Callable[[], Any] | None = None
+    #: Makes a summary of a block, see probes.py.
+    probe: Callable[[], Any] = NoProbe
 
     def state_fields(self) -> list[T.StructField]:
         return T.StructType.fromDDL(self.state).fields
@@ -177,23 +172,21 @@ def ordered_fold(log: DataFrame, keys: Sequence[str], order: Sequence[str], mach
         return _run(rows, None, keys, order, machine, tasks, ends=False)
 
     many = per_key.where("_n > 1").select(*keys)
-    marks = settle(rows.join(many, list(keys), "left_semi"), blocks.join(many, list(keys), "left_semi"), keys, order, machine,
-                   tasks)
+    marks, _ = block_starts(rows.join(many, list(keys), "left_semi"), keys, order, machine, tasks)
     return _run(rows, marks, keys, order, machine, tasks, ends=False)
 
 
-def _foresee(rows: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, tasks: int) -> DataFrame:
-    """Start state of every (key, block) as the summaries of the blocks before it tell."""
+def _summaries(rows: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, tasks: int) -> DataFrame:
+    """(keys, _block, _summary): the summary of every block as JSON."""
     group = [*keys, "_block"]
     ordered = rows.select(*dict.fromkeys([*group, *order, *machine.inputs])).repartition(tasks, *group).sortWithinPartitions(*group, *order)
-    key_fields = [rows.schema[k] for k in group]
-    told = T.StructType([*key_fields, T.StructField("_summary", T.BinaryType())])
+    told = T.StructType([*[rows.schema[k] for k in group], T.StructField("_summary", T.StringType())])
     arrow = to_arrow_schema(told)
-    inputs, probe, initial, freeze = machine.inputs, machine.probe, machine.initial, machine.freeze
+    inputs, probe = machine.inputs, machine.probe
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, now = None, None
-        row_of = lambda: pa.RecordBatch.from_pylist([{**dict(zip(group, key)), "_summary": pickle.dumps(now.result())}], schema=arrow)
+        row_of = lambda: pa.RecordBatch.from_pylist([{**dict(zip(group, key)), "_summary": json.dumps(now.result())}], schema=arrow)
         for batch in batches:
             read = lambda n: _values(batch.column(batch.schema.get_field_index(n)))
             for k, row in zip(zip(*[read(k) for k in group]), zip(*[read(n) for n in inputs])):
@@ -205,64 +198,55 @@ def _foresee(rows: DataFrame, keys: Sequence[str], order: Sequence[str], machine
         if key is not None:
             yield row_of()
 
-    starts = T.StructType([*key_fields, *[T.StructField(_s(f.name), f.dataType) for f in machine.state_fields()]])
-    starts_arrow = to_arrow_schema(starts)
+    return ordered.mapInArrow(summarise, told)
+
+
+def _compose(told: DataFrame, keys: Sequence[str], machine: Machine, tasks: int) -> DataFrame:
+    """Start of every block as the blocks before it tell, and whether its own end is still open.
+
+    Rows are (keys, _block, _summary, and for a block that has been run its start and end). Blocks of a key pass one after
+    another, a small row each.
+    """
+    group, states = [*keys, "_block"], machine.state_names()
+    fields = [*[told.schema[k] for k in group], *[T.StructField(_s(f.name), f.dataType) for f in machine.state_fields()]]
+    schema = T.StructType([*fields, T.StructField("_open", T.BooleanType())])
+    arrow = to_arrow_schema(schema)
+    initial, follow = machine.freeze(machine.thaw(machine.initial)), machine.probe().follow
+    width = len(keys)
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, initial
-        follow = type(probe()).follow
         for batch in batches:
+            read = lambda n: batch.column(batch.schema.get_field_index(n)).to_pylist()
+            runs = zip(zip(*[read(k) for k in group]), read("_summary"), read("_known"), zip(*[read(f"_k{n}") for n in states]), zip(*[read(f"_e{n}") for n in states]))
             out = []
-            for *k, summary in zip(*[batch.column(i).to_pylist() for i in range(len(group) + 1)]):
-                if k[:-1] != key:
-                    key, state = k[:-1], initial
-                out.append((*k, *freeze(state)))
-                state = follow(pickle.loads(summary), state)
+            for k, summary, known, begin, end in runs:
+                if k[:width] != key:
+                    key, state = k[:width], initial
+                after, sure = (end, True) if known and begin == state else follow(json.loads(summary), state)
+                out.append((*k, *state, not sure))
+                state = tuple(after)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), starts_arrow)], schema=starts_arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
 
-    summaries = stage(ordered.mapInArrow(summarise, told), "fold-summaries")
-    return summaries.repartition(tasks, *keys).sortWithinPartitions(*group).mapInArrow(compose, starts)
+    return told.repartition(tasks, *keys).sortWithinPartitions(*group).mapInArrow(compose, schema)
 
 
-def settle(
-    rows: DataFrame, blocks: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, tasks: int
-) -> DataFrame:
-    """Start state of every block of the keys that have several."""
-    group = [*keys, "_block"]
-    fields = machine.state_fields()
-    along = Window.partitionBy(*keys).orderBy("_block")
-    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    first = {f.name: F.lit(list(v) if isinstance(v, tuple) else v).cast(f.dataType) for f, v in zip(fields, machine.initial)}
-
-    if machine.probe is None:
-        guessed = blocks.select(*group, *[first[f.name].alias(_s(f.name)) for f in fields])
-    else:
-        guessed = stage(_foresee(rows, keys, order, machine, tasks), "fold-guesses")
-    marks = stage(
-        guessed.select(*group, F.lead("_block").over(along).isNull().alias("_final"), *[_s(f.name) for f in fields]), "fold-starts")
-    changed, ends = marks, None
+def block_starts(rows: DataFrame, keys: Sequence[str], order: Sequence[str], machine: Machine, tasks: int) -> tuple[DataFrame, int]:
+    """Start state of every block, with a mark on the last of a key; and how often the summaries were composed."""
+    group, states = [*keys, "_block"], machine.state_names()
+    summaries = stage(_summaries(rows, keys, order, machine, tasks), "fold-summaries")
+    last = summaries.groupBy(*keys).agg(F.max("_block").alias("_last"))
+    nothing = [F.lit(None).cast(f.dataType).alias(f"{p}{f.name}") for p in ("_k", "_e") for f in machine.state_fields()]
+    ran = summaries.select(*group, F.lit(True).alias("_known"), *nothing).limit(0)
     for number in count(1):
-        ROUNDS[machine.state] = number
-        busy = rows.join(changed.select(*group), group, "left_semi")
-        fresh = _run(busy, changed, keys, order, machine, tasks, ends=True)
-        if ends is not None:
-            fresh = fresh.unionByName(ends.join(changed.select(*group), group, "left_anti"))
-        ends = stage(fresh, "fold-ends")
-        both = marks.join(ends, group)
-        moved = []
-        for f in fields:
-            n = f.name
-            if n in machine.counters:
-                start = first[n] + F.coalesce(F.sum(F.col(n) - F.col(_s(n))).over(earlier), F.lit(0))
-            else:
-                # A block without a predecessor starts from the initial state.
-                start = F.when(F.row_number().over(along) == 1, first[n]).otherwise(F.lag(n).over(along))
-            moved.append(start.cast(f.dataType).alias(f"_n_{n}"))
-        nexts = both.select(*group, "_final", *[_s(f.name) for f in fields], *moved)
-        same = reduce(lambda a, b: a & b, [F.col(_s(f.name)).eqNullSafe(F.col(f"_n_{f.name}")) for f in fields])
-        nexts = stage(nexts.withColumn("_moved", ~same), "fold-starts")
-        marks = nexts.select(*group, "_final", *[F.col(f"_n_{f.name}").alias(_s(f.name)) for f in fields])
-        changed = marks.join(nexts.where("_moved").select(*group), group, "left_semi")
-        if nexts.where("_moved").isEmpty():
-            return marks
+        starts = stage(_compose(summaries.join(ran, group, "left"), keys, machine, tasks), "fold-starts")
+        unsure = starts.where("_open")
+        if unsure.isEmpty():
+            marks = starts.join(last, list(keys)).withColumn("_final", F.col("_block") == F.col("_last"))
+            return marks.select(*group, "_final", *map(_s, states)), number
+        marked = unsure.withColumn("_final", F.lit(False)).drop("_open")
+        ends = _run(rows.join(unsure.select(*group), group, "left_semi"), marked, keys, order, machine, tasks, ends=True)
+        begun = marked.select(*group, F.lit(True).alias("_known"), *[F.col(_s(n)).alias(f"_k{n}") for n in states])
+        fresh = begun.join(ends.select(*group, *[F.col(n).alias(f"_e{n}") for n in states]), group)
+        ran = stage(fresh.unionByName(ran.join(unsure.select(*group), group, "left_anti")), "fold-ends")

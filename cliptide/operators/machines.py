@@ -6,7 +6,7 @@ Each is a small step function on tuples, shared by the batch fold and the stream
 from __future__ import annotations
 
 from .fold import Machine
-from .probes import ControlProbe, CoverageProbe, PlayerProbe
+from .probes import _FAR, ControlProbe, CoverageProbe, PlayerProbe
 
 # ---- player commands ----------------------------------------------------------------------------
 
@@ -87,7 +87,7 @@ def player() -> Machine:
             state = player_apply(state, command, target, count, given)
         return state, [(seq, command, reason is None, reason, *state)]
 
-    return Machine(PLAYER_STATE, PLAYER_START, PLAYER_INPUTS, PLAYER_OUT, step, counters=("generation",), probe=lambda: PlayerProbe(step))
+    return Machine(PLAYER_STATE, PLAYER_START, PLAYER_INPUTS, PLAYER_OUT, step, probe=lambda: PlayerProbe(step))
 
 
 # ---- runtime lifecycle --------------------------------------------------------------------------
@@ -130,13 +130,28 @@ def lifecycle() -> Machine:
 
     return Machine(
         "status string, run bigint", ("Idle", 0), ("seq", "op", "facts_ok", "preroll_ready"),
-        "seq bigint, op string, accepted boolean, status string, run bigint", step, counters=("run",),
-        probe=lambda: ControlProbe(step, [(s, 0) for s in LIFECYCLE], (1,)))
+        "seq bigint, op string, accepted boolean, status string, run bigint", step,
+        probe=lambda: ControlProbe(step, 1, [(s, 0) for s in LIFECYCLE]))
 
 
 # ---- source lifecycle ---------------------------------------------------------------------------
 
 
+def _source_starts():
+    """Every state of a source slot but for its cue, revision and range, which are unknown."""
+    unknown = (0, _FAR, _FAR)
+    yield False, False, False, False, None, False, False, *unknown
+    for preloaded in (False, True):
+        yield True, preloaded, False, False, None, False, False, *unknown
+        for playing in (False, True) if preloaded else (False,):
+            for ranged, cue, anchored in ((False, None, False), (True, None, False), (True, _FAR, False), (True, _FAR, True)):
+                if preloaded or not anchored:
+                    yield True, preloaded, True, ranged, cue, anchored, playing, *unknown
+
+
+SOURCE_STARTS = tuple(_source_starts())
+
+
 def source_lifecycle() -> Machine:
     """Load, preload, activate, range, cue, anchor and play-ready of one source slot, with revisions.
 
@@ -197,7 +212,8 @@ def source_lifecycle() -> Machine:
         (False, False, False, False, None, False, False, 0, None, None),
         ("seq", "sub", "op", "target", "stale", "range_start", "range_end"),
         "seq bigint, sub int, op string, accepted boolean, loaded boolean, active boolean, cue bigint, play_ready boolean, "
-        "playing boolean, revision bigint", step, counters=("revision",))
+        "playing boolean, revision bigint", step,
+        probe=lambda: ControlProbe(step, 7, SOURCE_STARTS, registers=(4,), assumed=(3, (8, 9), (5, 6))))
 
 
 # ---- coverage cursor ----------------------------------------------------------------------------
@@ -220,5 +236,5 @@ def coverage(frames_per_chunk: int = 25, samples_per_frame: int = 960) -> Machin
 
     return Machine(
         "covered bigint, submitted boolean, submissions bigint", (0, False, 0), ("seq", "op", "frame"),
-        "seq bigint, label string, covered_until bigint, submissions bigint", step, counters=("submissions",),
+        "seq bigint, label string, covered_until bigint, submissions bigint", step,
         probe=lambda: CoverageProbe(step, samples_per_frame))

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import presentation
-from ..sources.tables import stage
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 
