@@ -19,12 +19,11 @@ c = F.col
 SLICES = 4
 
 
-def _stream(log, slices=None, ts="ts"):
-    """The log as a stream that takes one slice per micro-batch."""
-    spark = log.sparkSession
-    parts, files = slices or src.time_slices(log, ts, SLICES)
-    path = src.land(parts, fresh_path(spark, "landed"), files)
-    return src.open_stream(spark, path, log.schema, ts, files)
+def _stream(waves, order=("ts", "seq"), files=SLICES, ts="ts"):
+    """A log, or waves of one, as a stream that takes a file per micro-batch."""
+    waves = waves if isinstance(waves, list) else [waves]
+    spark, schema = waves[0].sparkSession, waves[0].schema
+    return src.open_stream(spark, src.land(waves, fresh_path(spark, "landed"), order, files), schema, ts)
 
 
 def _heartbeat(log):
@@ -58,17 +57,17 @@ def snk2(command_log):
 @query("st1_streaming_replay", ["ranged_log"], REPLAY + """
 select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
 def st1(command_log):
-    return src.run_to_table(command_log.sparkSession, replay_stream(_stream(command_log), machines.player()), "replay")
+    return src.run_to_table(command_log.sparkSession, replay_stream(_stream([command_log, _heartbeat(command_log)]), machines.player()), "replay")
 
 
 @query("st2_streaming_dedup", ["command_log"], "select distinct session_id, command_id from command_log")
 def st2(command_log):
-    # Planted: one command in seven arrives again with the following slice.
-    parts, files = src.time_slices(command_log, "ts", SLICES)
-    again = [p.where("command_id % 7 = 0") for p in parts]
-    sent = [parts[0], *(p.unionByName(r) for p, r in zip(parts[1:], again))]
+    # Planted: one command in seven arrives again, two weeks after its time.
+    sent = command_log.withColumn("arrival", c("ts"))
+    again = sent.where("command_id % 7 = 0").withColumn("arrival", c("ts") + F.expr("interval 14 days"))
+    stream = _stream(sent.unionByName(again), ("arrival", "ts", "seq"))
     return src.run_to_table(
-        command_log.sparkSession, win.drop_repeated(_stream(command_log, (sent, files)), ["session_id", "command_id"], "ts", "20 days"), "commands"
+        command_log.sparkSession, win.drop_repeated(stream, ["session_id", "command_id"], "ts", "20 days"), "commands"
     ).select("session_id", "command_id")
 
 
@@ -85,7 +84,7 @@ st as (
   from (select s.covered_until, s.submitted, s.submissions, k.* from st s join ops k on k.session_id = s.session_id and k.seq = s.seq + 1) x)
 select session_id, seq, label, covered_until, submissions from st where seq > 0""", recursive=True)
 def st3(command_log):
-    ticks = _stream(command_log).withColumn("op", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick"))
+    ticks = _stream([command_log, _heartbeat(command_log)]).withColumn("op", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick"))
     return src.run_to_table(command_log.sparkSession, replay_stream(ticks, machines.coverage()), "coverage").drop("late")
 
 
@@ -97,30 +96,25 @@ s as (select e.*, (epoch_ms(ts) // 1000 - low) // ((high - low) // 4 + 1) as sli
 select count(*) as arrived, count(*) filter (slice <> 1) as counted, count(*) filter (slice = 1) as late,
   count(*) filter (slice <> 1 and value <= 5) as on_time, count(*) filter (slice <> 1 and value > 40) as dropped from s""")
 def st4(events):
-    """The second slice is held back until the watermark has passed it: none of its rows may vanish unseen.
-
-    Rows count as late against the watermark of the batch before, so both remaining slices go in between.
-    """
-    parts, files = src.time_slices(events, "ts", SLICES)
-    held = parts.pop(1)
-    stream = _stream(events, ([*parts, held, _heartbeat(events)], files))
-    wins = win.live_counters(stream, "ts", "1 day", "1 hour", {
-        "counted": c("event_id").isNotNull(), "on_time": c("value") <= 5, "dropped": c("value") > 40})
+    """A quarter of the time span is held back until the watermark has passed it: none of its rows may vanish unseen."""
+    seconds = c("ts").cast("timestamp").cast("long")
+    low, high = events.agg(F.min(seconds), F.max(seconds)).first()
+    held = F.coalesce(F.floor((seconds - low) / ((high - low) // SLICES + 1)) == 1, F.lit(False)) if low is not None else F.lit(False)
+    stream = _stream([events.where(~held), events.where(held), _heartbeat(events)], ("ts", "event_id"))
     spark = events.sparkSession
-    counted = src.run_to_table(spark, wins, "late").drop("start")
-    arrivals = win.ArrivalCounts(fresh_path(spark, "arrivals"))
-    src.run_batches(spark, stream.where("event_id is not null").select("event_id"), "arrivals", arrivals.add)
-    both = counted.unionByName(arrivals.read(spark).withColumnRenamed("rows", "arrived"), allowMissingColumns=True)
-    return both.agg(*[F.sum(n).alias(n) for n in both.columns]).select(
-        "arrived", "counted", (c("arrived") - c("counted")).alias("late"), "on_time", "dropped")
+    counted = win.accounted_counters(stream, "ts", 86_400, "1 hour", {
+        "counted": c("event_id").isNotNull(), "on_time": c("value") <= 5, "dropped": c("value") > 40}, ["event_id"])
+    told = src.run_to_table(spark, counted, "accounted")
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0)).alias(n)
+    late = F.count_if(c("kind").isin("late", "untimed"))
+    return told.agg((late + F.coalesce(F.sum("counted"), F.lit(0))).alias("arrived"), total("counted"), late.alias("late"), total("on_time"), total("dropped"))
 
 
 @query("st5_live_status", ["command_log"], """
 select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, count(*) as commands, count(*) filter (command = 'Play') as plays,
   count(*) filter (expected_generation is not null) as checked from command_log group by 1""")
 def st5(command_log):
-    parts, files = src.time_slices(command_log, "ts", SLICES)
-    wins = win.live_counters(_stream(command_log, ([*parts, _heartbeat(command_log)], files)), "ts", "1 day", "1 hour", {
+    wins = win.live_counters(_stream([command_log, _heartbeat(command_log)]), "ts", "1 day", "1 hour", {
         "commands": c("command_id").isNotNull(), "plays": c("command") == "Play", "checked": c("expected_generation").isNotNull()})
     return src.run_to_table(command_log.sparkSession, wins, "status").select(
         F.date_format("start", "yyyy-MM-dd").alias("day"), "commands", "plays", "checked")

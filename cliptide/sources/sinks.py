@@ -45,26 +45,46 @@ def store_clustered(df: DataFrame, path: str, by: Sequence[str], rows_per_group:
 
 
 class SnapshotTable:
-    """Newest row per key, kept by ``foreachBatch``.
+    """Newest row per key, kept by ``foreachBatch`` as a log-structured table.
 
-    Each batch writes a new version from the one before it, so a batch that is run again after a failure
-    overwrites its own version only, and readers always see a whole one. Nothing is kept in the driver.
+    A batch writes its own newest rows as a run of level 0; every FAN_OUT runs of a level become one of the next. So what a
+    batch writes follows the batch, each row is rewritten once a level, and the runs of a version are the digits of its
+    number in base FAN_OUT. Names follow from the batch number alone: a batch that is run again after a failure overwrites
+    its own runs with the same rows, readers of earlier versions are not touched, and nothing is kept in the driver.
     """
 
+    FAN_OUT = 8
+
     def __init__(self, path: str, key: str, newest: str, schema: str):
         self.path, self.key, self.newest, self.schema = path, key, newest, schema
 
+    def runs(self, version: int) -> list[str]:
+        """Paths of the runs that make up a version, the oldest first."""
+        out, done, level = [], version + 1, 0
+        while done:
+            done, digit = divmod(done, self.FAN_OUT)
+            out += [self._run(level, done * self.FAN_OUT + i) for i in reversed(range(digit))]
+            level += 1
+        return out[::-1]
+
+    def _run(self, level: int, number: int) -> str:
+        return f"{self.path}/{level}-{number}"
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != self.key]
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.col(self.newest)).alias("s")).select(self.key, "s.*")
+
     def upsert(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(self.read(spark, batch_id - 1))
-        rest = [c for c in batch.columns if c != self.key]
-        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.col(self.newest)).alias("s"))
-        newest.select(self.key, "s.*").write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        self._newest(batch).write.mode("overwrite").parquet(self._run(0, batch_id))
+        level, number = 0, batch_id
+        while number % self.FAN_OUT == self.FAN_OUT - 1:
+            parts = [self._run(level, number - i) for i in range(self.FAN_OUT)]
+            level, number = level + 1, number // self.FAN_OUT
+            merged = batch.sparkSession.read.schema(self.schema).parquet(*parts)
+            self._newest(merged).write.mode("overwrite").parquet(self._run(level, number))
 
     def read(self, spark: SparkSession, version: int) -> DataFrame:
         """A version's rows; before the first one there are none."""
         if version < 0:
             return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self._newest(spark.read.schema(self.schema).parquet(*self.runs(version)))

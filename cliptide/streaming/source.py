@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import fresh_path, stage
+from ..sources.tables import fresh_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,61 +27,42 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return own
 
 
-# Rows of a micro-batch, about: a batch must not grow with the log, as one session may hold all of it.
-ROWS_PER_BATCH = 1_000_000
+# Rows of a landed file, at most: a micro-batch must not grow with the log, as one session may hold all of it.
+ROWS_PER_FILE = 1_000_000
 
 
-# A span of time with more than so many batches of rows is cut further.
-BURST = 4
+def land(waves: Sequence[DataFrame], path: str, order: Sequence[str], files: int = 1) -> str:
+    """Write a log to be read as a stream: waves one after another, each in ``order``, nulls last.
 
-
-def time_slices(df: DataFrame, ts: str, slices: int) -> tuple[list[DataFrame], int]:
-    """Cut a log into equal spans of time, from its two ends and row counts; each slice is a filter and a micro-batch.
-
-    There are ``slices`` at least, and more where these would be over ROWS_PER_BATCH rows. A span over BURST times as many
-    is cut at its time quantiles into batches of about ROWS_PER_BATCH; rows of one microsecond stay together. Rows without a
-    time come last, in slices of their own. Also says into how many files a slice goes. An empty log is one empty slice.
-    """
-    log = stage(df, "log")
-    stamp = F.col(ts).cast("timestamp")
-    seconds, micros = stamp.cast("long"), F.unix_micros(stamp)
-    low, high, rows, timed = log.agg(F.min(seconds), F.max(seconds), F.count("*"), F.count(ts)).first()
-    if not rows:
-        return [log] * slices, 1
-    parts = [] if timed else [log.where(F.lit(False))] * slices
-    if timed:
-        slices = max(slices, -(-timed // ROWS_PER_BATCH))
-        step = (high - low) // slices + 1
-        place = F.floor((seconds - low) / step)
-        sizes = {r["place"]: r["count"] for r in log.where(seconds.isNotNull()).groupBy(place.alias("place")).count().collect()}
-        for i in range(slices):
-            span = (seconds >= low + i * step) & (seconds < low + (i + 1) * step)
-            n = -(-sizes.get(i, 0) // ROWS_PER_BATCH) if sizes.get(i, 0) > BURST * ROWS_PER_BATCH else 1
-            ends = []
-            if n > 1:
-                ends = sorted(set(log.where(span).agg(F.percentile_approx(micros, [k / n for k in range(1, n)], 100 * n)).first()[0]))
-            for after, upto in zip([None, *ends], [*ends, None]):
-                part = span if after is None else span & (micros > after)
-                parts.append(log.where(part if upto is None else part & (micros <= upto)))
-    n = -(-(rows - timed) // ROWS_PER_BATCH)
-    dealt = F.pmod(F.xxhash64(*log.columns), F.lit(max(n, 1)))
-    return parts + [log.where(F.col(ts).isNull() & (dealt == i)) for i in range(n)], 1
-
-
-def land(parts: Sequence[DataFrame], path: str, files: int) -> str:
-    """Write slices one after another, so arrival order is the order given.
-
-    Each slice becomes ``files`` files, and a stream reading as many per trigger takes a slice at a time.
+    A wave is one ordered write: ranges of ``order`` become files of ROWS_PER_FILE rows at most, ``files`` of them or more. A
+    tie-breaker in ``order`` cuts a burst of one instant too. Waves and files get times that rise in this order, by which a
+    file stream takes them, so a store must keep the times that it is given.
     """
-    for p in parts:
-        p.repartition(files).write.mode("append").parquet(path)
+    for k, wave in enumerate(waves):
+        rows = wave.count()
+        n = max(files, -(-rows // ROWS_PER_FILE))
+        by = [F.col(c).asc_nulls_last() for c in order]
+        wave.repartitionByRange(n, *by).sortWithinPartitions(*by).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{path}/{k:06d}")
+    _set_times(waves[0].sparkSession, path, len(waves))
     return path
 
 
-def open_stream(spark: SparkSession, path: str, schema, ts: str, files_per_trigger: int) -> DataFrame:
-    """Read a landed log as a stream with its declared schema; event time becomes TIMESTAMP here only,
-    because a watermark does not take the zone-less type."""
-    log = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def _set_times(spark: SparkSession, path: str, waves: int) -> None:
+    """Give the files of a landed log rising times in the order of their names, a millisecond apart."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [str(f.getPath().toString()) for k in range(waves) for f in store.listStatus(hadoop.Path(root, f"{k:06d}"))]
+    shown = sorted(n for n in names if not n.rsplit("/", 1)[1].startswith(("_", ".")))
+    begin = store.getFileStatus(root).getModificationTime() - len(shown)
+    for i, name in enumerate(shown):
+        store.setTimes(hadoop.Path(name), begin + i, -1)
+
+
+def open_stream(spark: SparkSession, path: str, schema, ts: str, files_per_trigger: int = 1) -> DataFrame:
+    """Read a landed log as a stream with its declared schema, a fixed number of files a trigger; event time becomes
+    TIMESTAMP here only, because a watermark does not take the zone-less type."""
+    log = stream_session(spark).readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}/*")
     return log.withColumn(ts, F.col(ts).cast("timestamp"))
 
 

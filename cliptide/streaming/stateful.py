@@ -1,17 +1,20 @@
-"""Replays as stateful streams: the batch machines, with one small state per session."""
+"""Replays as stateful streams: the batch machines, with one small state per session and a bounded reorder buffer."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fold import Machine
 
+
 def plain_column(column: pd.Series, whole: bool) -> list:
     """Values as the step functions take them. A nullable integer reaches pandas as float."""
     missing = column.isna()
@@ -21,51 +24,119 @@ def plain_column(column: pd.Series, whole: bool) -> list:
 
 
 class MachineProcessor(StatefulProcessor):
-    """Runs a machine per key. Rows of a micro-batch are put in order; a row that is not after the last
-    one already replayed came too late and goes out marked, without touching the state."""
+    """Runs a machine per key, in order of the sequence number.
+
+    A row that follows the last one replayed is stepped as it comes. A row ahead of a gap waits, in a list state, until the
+    gap is closed or the watermark has passed the row: then what waits up to it is replayed without the missing rows. A
+    row behind the last one replayed came too late and goes out marked, without touching the state. So what waits is
+    bounded by the watermark's bound, and a batch of a key is never held as a whole.
+    """
 
-    def __init__(self, machine: Machine, key: str, seq: str, whole: set[str]):
-        self.machine, self.key, self.seq, self.whole = machine, key, seq, whole
+    def __init__(self, machine: Machine, key: str, seq: str, whole: set[str], first: int):
+        self.machine, self.key, self.seq, self.whole, self.first = machine, key, seq, whole, first
         # Parsed here, on the driver: a worker has no session to parse with.
         self.state_type = T.StructType([*machine.state_fields(), T.StructField("_last", T.LongType())])
         self.out_fields = machine.output_fields()
 
+    def with_inputs(self, fields: Sequence[T.StructField]) -> MachineProcessor:
+        self.row_type = T.StructType([*fields, T.StructField("event_ms", T.LongType())])
+        return self
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.kept = handle.getValueState("machine", self.state_type)
+        self.waiting = handle.getListState("waiting", self.row_type)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        m = self.machine
-        *state, last = self.kept.get() if self.kept.exists() else (*m.initial, None)
-        state = m.thaw(tuple(state))
-        batch = pd.concat(list(rows)).sort_values(self.seq)
-        at = m.inputs.index(self.seq)
-        out = []
+    def _load(self):
+        *state, last = self.kept.get() if self.kept.exists() else (*self.machine.initial, self.first - 1)
+        at = self.machine.inputs.index(self.seq)
+        # The second number keeps rows of equal sequence number apart without comparing the rows.
+        heap = [(row[at], i, tuple(row)) for i, row in enumerate(self.waiting.get() if self.waiting.exists() else ())]
+        heapify(heap)
+        return self.machine.thaw(tuple(state)), last, heap
+
+    def _save(self, state, last, heap) -> None:
+        self.kept.update((*self.machine.freeze(state), last))
+        if heap:
+            self.waiting.put([row for *_, row in heap])
+            self.handle.registerTimer(max(0, min(row[-1] for *_, row in heap)) + 1)
+        elif self.waiting.exists():
+            self.waiting.clear()
+
+    def _replay(self, key, state, last, heap, upto: int, out: list):
+        """Step what waits while it follows on, or is not beyond ``upto``."""
         names = [f.name for f in self.out_fields]
-        for row in zip(*[plain_column(batch[n], n in self.whole) for n in m.inputs]):
-            if last is not None and row[at] <= last:
-                out.append((key[0], True, *[row[at] if n == self.seq else None for n in names]))
+        while heap and (heap[0][0] <= last + 1 or heap[0][0] <= upto):
+            seq, _, row = heappop(heap)
+            if seq <= last:
+                out.append((key, True, *[seq if n == self.seq else None for n in names]))
                 continue
-            last = row[at]
-            state, produced = m.step(state, row)
-            out.extend((key[0], False, *p) for p in produced)
-        self.kept.update((*m.freeze(state), last))
-        frame = pd.DataFrame(out, columns=[self.key, "late", *names])
+            last = seq
+            state, produced = self.machine.step(state, row[:-1])
+            out.extend((key, False, *p) for p in produced)
+        return state, last
+
+    def _passed(self, heap, watermark: int) -> int:
+        """Greatest sequence number whose time the watermark has passed."""
+        return max((seq for seq, _, row in heap if row[-1] <= watermark), default=-1)
+
+    def _frame(self, out: list) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=[self.key, "late", *[f.name for f in self.out_fields]])
         for f in self.out_fields:
             if isinstance(f.dataType, (T.LongType, T.IntegerType)):
                 frame[f.name] = frame[f.name].astype("Int64")
             elif isinstance(f.dataType, T.BooleanType):
                 frame[f.name] = frame[f.name].astype("boolean")
-        yield frame
+        return frame
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        state, last, heap = self._load()
+        out: list = []
+        state, last = self._replay(key[0], state, last, heap, self._passed(heap, watermark), out)
+        number, at = len(heap), self.machine.inputs.index(self.seq)
+        for frame in rows:
+            # A row without a time waits until the watermark moves on from here.
+            times = [watermark + 1 if ms < 0 else ms for ms in frame["event_ms"].tolist()]
+            for row in zip(*[plain_column(frame[n], n in self.whole) for n in self.machine.inputs], times):
+                heappush(heap, (row[at], number, row))
+                number += 1
+                state, last = self._replay(key[0], state, last, heap, -1, out)
+            if out:
+                yield self._frame(out)
+                out = []
+        state, last = self._replay(key[0], state, last, heap, self._passed(heap, watermark), out)
+        self._save(state, last, heap)
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state, last, heap = self._load()
+        out: list = []
+        state, last = self._replay(key[0], state, last, heap, self._passed(heap, timerValues.getCurrentWatermarkInMs()), out)
+        self._save(state, last, heap)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def replay_stream(stream: DataFrame, machine: Machine, key: str = "session_id", seq: str = "seq") -> DataFrame:
-    """A machine over a stream keyed by session; needs the RocksDB state of ``stream_session``."""
+def replay_stream(
+    stream: DataFrame, machine: Machine, ts: str = "ts", bound: str = "1 hour", key: str = "session_id", seq: str = "seq", first: int = 1
+) -> DataFrame:
+    """A machine over a stream keyed by session; needs the RocksDB state of ``stream_session``.
+
+    ``first`` is the sequence number that a session begins with, ``bound`` how late a row may be. Rows without a sequence
+    number only move the watermark. A row without a time waits, ahead of a gap, until the watermark moves on.
+    """
     keyed = T.StructType([stream.schema[key], T.StructField("late", T.BooleanType()),
                           *machine.output_fields()])
     columns = list(dict.fromkeys([key, *machine.inputs]))
     whole = {n for n in machine.inputs if isinstance(stream.schema[n].dataType, T.IntegralType)}
-    return stream.select(*columns).groupBy(key).transformWithStateInPandas(
-        MachineProcessor(machine, key, seq, whole), outputStructType=keyed, outputMode="Append", timeMode="None")
+    # The condition names the event time, so it is not moved below the watermark. The time itself goes on as a number, so
+    # that late rows reach the processor.
+    timed = stream.withWatermark(ts, bound).where(F.col(seq).isNotNull() | F.col(ts).isNull()).where(F.col(seq).isNotNull())
+    timed = timed.select(*columns, F.coalesce(F.unix_millis(ts), F.lit(-1)).alias("event_ms"))
+    processor = MachineProcessor(machine, key, seq, whole, first).with_inputs([stream.schema[n] for n in machine.inputs])
+    return timed.groupBy(key).transformWithStateInPandas(processor, outputStructType=keyed, outputMode="Append", timeMode="EventTime")
