@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .text import KEPT, narrow, rows_out
 
 #: Transitions and whole matches kept by one Python worker before it starts anew.
-KEEP_TRANSITIONS = 500_000
-KEEP_MATCHES = 800_000
+KEEP_TRANSITIONS = 300_000
+KEEP_MATCHES = 500_000
 #: Ids decoded at a time by the streaming decoder.
 DECODE_CHUNK = 65_536
 
@@ -35,37 +35,20 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-#: Bits of a live path's code that hold its place in the trie of tokens; the last token written stands above them.
-TRIE_BITS = 24
-
-
 class Transducer:
     """Encodes one match of the pattern at a time; a match that is itself a token is that token."""
 
     def __init__(self, ranks: dict[bytes, int], keep: int = KEEP_TRANSITIONS):
         self.ranks, self.keep = ranks, keep
         self.piece = {i: t for t, i in ranks.items()}
+        self.prefix: set[bytes] = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
         self.stable: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
-        # The trie of tokens: place and byte give the next place; a place may be a token, and may have longer tokens below.
-        self.below: dict[int, int] = {}
-        self.token_at, self.inner = [-1], [True]
-        for token, rank in ranks.items():
-            place = 0
-            for byte in token:
-                self.inner[place] = True
-                step = place << 8 | byte
-                if step not in self.below:
-                    self.below[step] = len(self.token_at)
-                    self.token_at.append(-1)
-                    self.inner.append(False)
-                place = self.below[step]
-            self.token_at[place] = rank
+        self.single = [bytes((i,)) for i in range(256)]
         self._clear()
 
     def _clear(self) -> None:
-        # A live path is (last token written plus 1, place of what is read of the next one) as one number, and what it has to write.
-        start = ((0, ()),)
+        start = ((-1, b"", ()),)
         self.number = {start: 0}
         self.states = [start]
         #: By state and byte: the next state, with the ids written if there are any.
@@ -92,20 +75,18 @@ class Transducer:
         A merge across the border comes before a later merge of its left part, and before one of its right part
         also at equal rank, as the leftmost of equal ranks goes first.
         """
-        key = last + 1 << 32 | token
+        if last < 0:
+            return self.reached(token)
+        key = last << 32 | token
         ok = self.stable.get(key)
-        if ok is None and last < 0:
-            ok = self.stable[key] = self.reached(token)
         if ok is None:
             ok = self.reached(token)
             left, right, before = last, token, 1 << 60
-            joined, piece, split = self.ranks.get, self.piece, self.split
             while ok:
-                if joined(piece[left] + piece[right], 1 << 60) < before:
+                if self.ranks.get(self.piece[left] + self.piece[right], 1 << 60) < before:
                     ok = False
                     break
-                one = split[left] if left in split else self.halves(left)
-                two = split[right] if right in split else self.halves(right)
+                one, two = self.halves(left), self.halves(right)
                 if one is None and two is None:
                     break
                 if two is None or one is not None and left > right:
@@ -118,30 +99,20 @@ class Transducer:
         return ok
 
     def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        live: list[tuple[int, tuple[int, ...]]] = []
-        below, token_at, inner, stable = self.below.get, self.token_at, self.inner, self.stable.get
-        for code, out in self.states[state]:
-            last = code >> TRIE_BITS
-            place = below((code & (1 << TRIE_BITS) - 1) << 8 | byte)
-            if place is None:
-                continue
-            if inner[place]:
-                live.append((last << TRIE_BITS | place, out))
-            token = token_at[place]
-            if token >= 0:
-                ok = stable(last << 32 | token)
-                if self.pair_ok(last - 1, token) if ok is None else ok:
-                    live.append((token + 1 << TRIE_BITS, (*out, token)))
-        low, shared = live[0][1], 0
-        if len(live) == 1:  # all that it has to write is settled
-            shared = len(low)
-        elif low:
-            # What all have in common is in common to the least and the greatest.
-            outs = [out for _, out in live]
-            low, high = min(outs), max(outs)
-            while shared < len(low) and low[shared] == high[shared]:
-                shared += 1
-        key = tuple([(code, out[shared:]) for code, out in live]) if shared else tuple(live)
+        live: list[tuple[int, bytes, tuple[int, ...]]] = []
+        one, prefix, find = self.single[byte], self.prefix, self.ranks.get
+        for last, read, out in self.states[state]:
+            read += one
+            if read in prefix:
+                live.append((last, read, out))
+                token = find(read)
+                if token is not None and self.pair_ok(last, token):
+                    live.append((token, b"", (*out, token)))
+        outs = [p[2] for p in live]
+        low, high, shared = min(outs), max(outs), 0
+        while shared < len(low) and low[shared] == high[shared]:
+            shared += 1
+        key = tuple([(last, read, out[shared:]) for last, read, out in live]) if shared else tuple(live)
         target = self.number.get(key)
         if target is None:
             target = self.number[key] = len(self.states)
@@ -165,8 +136,8 @@ class Transducer:
                 out.extend(ids)
             else:
                 state = step
-        for code, rest in self.states[state]:
-            if not code & (1 << TRIE_BITS) - 1:
+        for _, read, rest in self.states[state]:
+            if not read:
                 out.extend(rest)
         return out
 
@@ -198,44 +169,33 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
-def stream_text(chunks: Iterable[bytes]) -> Iterator[str]:
-    """Text of a stream of bytes; a character may start in one chunk and end in a later one."""
+def decode_stream(chunks: Iterable[Iterable[int]], piece: dict[int, bytes]) -> Iterator[str]:
+    """Text of a stream of id chunks; a character may start in one chunk and end in a later one."""
     stream = Utf8Stream()
-    for raw in chunks:
-        yield stream.push(raw)
+    for ids in chunks:
+        yield stream.push(b"".join([piece[i] for i in ids]))
     yield stream.finish()
 
 
-def decode_stream(chunks: Iterable[Iterable[int]], piece: dict[int, bytes]) -> Iterator[str]:
-    """Text of a stream of id chunks."""
-    return stream_text(b"".join([piece[i] for i in ids]) for ids in chunks)
-
-
-class Codec(dict):
-    """The transducer behind the pattern that cuts a text. Holds the recent matches: their ids in decimal, and the bytes
-    that these ids decode to."""
+class Codec:
+    """The transducer behind the pattern that cuts a text, with the recent matches kept."""
 
     def __init__(self, rank_path: str, pattern: str):
-        super().__init__()
         self.fst = Transducer(read_ranks(rank_path))
         self.find = regex.compile(pattern).findall
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def __missing__(self, match: str) -> tuple[str, bytes]:
-        if len(self) >= KEEP_MATCHES:
-            self.clear()
-        ids, piece = self.fst.encode(match.encode()), self.fst.piece
-        told = ",".join(map(str, ids)), b"".join([piece[i] for i in ids])
+    def _new(self, match: str) -> tuple[int, ...]:
+        if len(self.known) >= KEEP_MATCHES:
+            self.known.clear()
+        ids = tuple(self.fst.encode(match.encode()))
         if len(match) <= 64:
-            self[match] = told
-        return told
+            self.known[match] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for m in self.find(text) for i in self[m][0].split(",")]
-
-    def round_trip(self, text: str) -> tuple[str, Iterator[str]]:
-        """Ids of a text in decimal, joined by commas, and the text that the streaming decoder makes of them."""
-        told = list(map(self.__getitem__, self.find(text)))
-        return ",".join([ids for ids, _ in told]), stream_text(b"".join([raw for _, raw in told[at : at + DECODE_CHUNK]]) for at in range(0, len(told), DECODE_CHUNK))
+        get, new = self.known.get, self._new
+        return [i for m in self.find(text) for i in (get(m) or new(m))]
 
     def decode(self, ids: list[int]) -> str:
         cuts = (ids[i : i + DECODE_CHUNK] for i in range(0, len(ids), DECODE_CHUNK))
@@ -292,18 +252,16 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         gc.disable()  # the tables hold no cycles, and scanning them again and again is most of a task's time
         try:
             c = codec(rank_path, pattern)
+            sha = lambda raw: hashlib.sha256(raw).hexdigest()
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
                     part = batch.slice(at, 500)
                     n, a, b = [], [], []
                     for text in part.column(1).to_pylist():
-                        ids, decoded = c.round_trip(text or "")
-                        n.append(ids.count(",") + 1 if ids else 0)
-                        a.append(hashlib.sha256(ids.encode()).hexdigest())
-                        back = hashlib.sha256()
-                        for piece in decoded:
-                            back.update(piece.encode())
-                        b.append(back.hexdigest())
+                        ids = c.encode(text or "")
+                        n.append(len(ids))
+                        a.append(sha(",".join(map(str, ids)).encode()))
+                        b.append(sha(c.decode(ids).encode()))
                     yield rows_out(schema, doc_id=part.column(0), n_tokens=n, ids_sha256=a, decoded_sha256=b)
         finally:
             gc.enable()
