@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stage
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 FULL_SCALE = 8388608
@@ -173,29 +174,70 @@ def reading_comparison(samples: DataFrame) -> DataFrame:
     return read.groupBy("track_id").agg(*cols, *means)
 
 
+# The prime of the content digest and its two bases.
+DIGEST_PRIME, DIGEST_BASES = (1 << 31) - 1, (48271, 69621)
+
+
+def _power(base: int, pos: Column) -> Column:
+    """base ^ pos modulo the prime, from the powers of two in a position."""
+    out = F.lit(1).cast("bigint")
+    for k in range(31):
+        out = out * F.when(F.shiftright(pos, k).bitwiseAND(F.lit(1)) == 1, pow(base, 1 << k, DIGEST_PRIME)).otherwise(1) % DIGEST_PRIME
+    return out
+
+
+def _term(base: int, pos: Column, s24: Column) -> Column:
+    """What a sample adds to its block's digest: its value, from 1 up, weighted by its position."""
+    return (s24.cast("bigint") + (FULL_SCALE + 1)) * _power(base, pos) % DIGEST_PRIME
+
+
+def _joined(sums: list[Column]) -> Column:
+    return sums[0] % DIGEST_PRIME * (1 << 31) + sums[1] % DIGEST_PRIME
+
+
+def digest_from_samples(samples: DataFrame) -> DataFrame:
+    """(track_id, block_no, samples, digest) from single samples in any arrival order.
+
+    The digest is a polynomial in two bases modulo a prime, 62 bits in all: a sum over samples of value times a power of the
+    base by position. So it is order-sensitive, and yet adds up in any order and is combined before the shuffle: a block
+    sends one row a task, not its samples.
+    """
+    terms = [F.sum(_term(b, F.col("pos").cast("bigint"), F.col("s24"))).alias(f"_d{i}") for i, b in enumerate(DIGEST_BASES)]
+    summed = samples.groupBy("track_id", "block_no").agg(F.count("*").alias("samples"), *terms)
+    return summed.select("track_id", "block_no", "samples", _joined([F.col("_d0"), F.col("_d1")]).alias("digest"))
+
+
+def block_digest(blocks: DataFrame) -> DataFrame:
+    """The same digest from whole blocks, without a shuffle."""
+    def total(base: int) -> Column:
+        terms = F.transform(to_s24(F.col("samples")), lambda x, i: _term(base, i.cast("bigint"), x))
+        return F.aggregate(terms, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+    sums = [total(b) for b in DIGEST_BASES]
+    return blocks.select("track_id", "block_no", _joined(sums).alias("digest"))
+
+
 def path_equivalence(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two derivations of the same samples, row by row, counted per track."""
-    keys = ["track_id", "block_no", "pos"]
-    left = a.select(*keys, F.col("s24").alias("va"), F.lit(True).alias("in_a"))
-    right = b.select(*keys, F.col("s24").alias("vb"), F.lit(True).alias("in_b"))
-    both = left.join(right, keys, "full_outer")
+    """Two derivations of the same samples (track_id, block_no, pos, s24), counted per track.
+
+    Blocks whose digests and counts agree are equal throughout; only samples of the other blocks are matched one by one.
+    """
+    block = ["track_id", "block_no"]
+    sides = [digest_from_samples(d).select(*block, F.col("samples").alias(f"n{k}"), F.col("digest").alias(f"d{k}")) for k, d in (("a", a), ("b", b))]
+    told = stage(sides[0].join(sides[1], block, "full_outer").withColumn(
+        "same", F.coalesce((F.col("na") == F.col("nb")) & (F.col("da") == F.col("db")), F.lit(False))), "digests")
+    whole = told.where("same").groupBy("track_id").agg(F.sum("na").alias("compared"), F.sum("na").alias("equal"))
+    apart = told.where("not same").select(*block)
+    keys = [*block, "pos"]
+    left = a.join(apart, block, "left_semi").select(*keys, F.col("s24").alias("va"), F.lit(True).alias("in_a"))
+    right = b.join(apart, block, "left_semi").select(*keys, F.col("s24").alias("vb"), F.lit(True).alias("in_b"))
     here = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    return both.groupBy("track_id").agg(
+    single = left.join(right, keys, "full_outer").groupBy("track_id").agg(
         F.count("*").alias("compared"),
         F.count_if(here & F.col("va").eqNullSafe(F.col("vb"))).alias("equal"),
         F.count_if(here & ~F.col("va").eqNullSafe(F.col("vb"))).alias("different"),
         F.count_if(F.col("in_b").isNull()).alias("only_a"),
         F.count_if(F.col("in_a").isNull()).alias("only_b"))
-
-
-def block_digest(blocks: DataFrame) -> DataFrame:
-    """Order-sensitive digest of each block's content."""
-    text = F.array_join(F.transform(to_s24(F.col("samples")), lambda x: x.cast("string")), ",")
-    return blocks.select("track_id", "block_no", F.md5(text).alias("digest"))
-
-
-def digest_from_samples(samples: DataFrame) -> DataFrame:
-    """The same digest from single samples in any arrival order; a group is one block."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "s24")))
-    text = F.array_join(F.transform(ordered, lambda x: x["s24"].cast("string")), ",")
-    return samples.groupBy("track_id", "block_no").agg(F.md5(text).alias("digest"))
+    counts = ("compared", "equal", "different", "only_a", "only_b")
+    both = whole.unionByName(single, allowMissingColumns=True)
+    return both.groupBy("track_id").agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts])

@@ -29,9 +29,14 @@ def essence_kind(key: Column) -> Column:
 
 
 def pcm_channel(key: Column, max_channels: int = 64) -> Column:
-    """Channel of a PCM key, null for other keys and for channels past the limit."""
-    n = F.substring(key, 5, 10).try_cast("int")
-    return F.when(key.startswith("pcm.") & (n < max_channels), n)
+    """Channel of a PCM key, null for other keys and for channels past the limit, which ``limit_audit`` reports."""
+    n = channel_number(key)
+    return F.when(n < max_channels, n.cast("int"))
+
+
+def channel_number(key: Column) -> Column:
+    """Number in a PCM key whatever its size; null for other keys and for what is no number."""
+    return F.when(key.startswith("pcm."), F.substr(key, F.lit(5)).try_cast("bigint"))
 
 
 def track_kind(handler: Column) -> Column:
@@ -209,15 +214,15 @@ def frame_coverage(frames: DataFrame, index: DataFrame, tracks: int, chunk_width
 def limit_audit(packets: DataFrame, limits: dict[str, int]) -> DataFrame:
     """Clips and channels past a cap, in long form (limit, clip, channel, value)."""
     per_channel = packets.groupBy("clip_id", "channel").agg(
-        F.count("*").alias("n"), F.max("payload_len").alias("largest"))
+        F.count("*").alias("n"), F.max("payload_len").alias("largest"), F.max(channel_number(F.col("essence_key"))).alias("number"))
     per_clip = per_channel.groupBy("clip_id").agg(
-        F.sum("n").alias("packets"), F.count("*").alias("channels"), F.max("largest").alias("largest"))
+        F.sum("n").alias("packets"), F.count("*").alias("channels"), F.max("largest").alias("largest"), F.max("number").alias("number"))
     parts = [
         per_channel.select(F.lit("entries_per_channel").alias("cap"), "clip_id", "channel", F.col("n").alias("value")),
         *(
             per_clip.select(F.lit(cap).alias("cap"), "clip_id", F.lit(-1).alias("channel"), F.col(c).alias("value"))
             for cap, c in (("packets_per_clip", "packets"), ("channels_per_clip", "channels"),
-                           ("payload_bytes", "largest"))
+                           ("payload_bytes", "largest"), ("channel_number", "number"))
         ),
     ]
     long = parts[0]

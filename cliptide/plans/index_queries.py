@@ -234,16 +234,18 @@ def a5(clip):
 
 
 @query("a6_limit_audit", ["packet"], """
-, ch as (select clip_id, channel, count(*) as n, max(payload_len) as largest from packet group by all),
-cl as (select clip_id, cast(sum(n) as bigint) as packets, count(*) as channels, max(largest) as largest from ch group by clip_id),
+, ch as (select clip_id, channel, count(*) as n, max(payload_len) as largest,
+  max(case when essence_key like 'pcm.%' then cast(substr(essence_key, 5) as bigint) end) as number from packet group by all),
+cl as (select clip_id, cast(sum(n) as bigint) as packets, count(*) as channels, max(largest) as largest, max(number) as number from ch group by clip_id),
 l as (select 'entries_per_channel' as cap, clip_id, channel, n as value, cast(180 as bigint) as allowed from ch
   union all select 'packets_per_clip', clip_id, -1, packets, 600 from cl
   union all select 'channels_per_clip', clip_id, -1, channels, 3 from cl
-  union all select 'payload_bytes', clip_id, -1, largest, 149 from cl)
+  union all select 'payload_bytes', clip_id, -1, largest, 149 from cl
+  union all select 'channel_number', clip_id, -1, number, 2 from cl)
 select cap, clip_id, channel, value, allowed from l where value > allowed""")
 def a6(packet):
     return ix.limit_audit(packet, {
-        "entries_per_channel": 180, "packets_per_clip": 600, "channels_per_clip": 3, "payload_bytes": 149})
+        "entries_per_channel": 180, "packets_per_clip": 600, "channels_per_clip": 3, "payload_bytes": 149, "channel_number": 2})
 
 
 @query("a16_corpus_summary", ["packet"], INDEX + """

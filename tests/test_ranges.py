@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cliptide.operators import audio as au
 from cliptide.operators import index as ix
 from cliptide.operators.interval import covered_measure, dyadic_cover, interval_join
 from cliptide.sources.tables import fresh_path
@@ -110,3 +111,32 @@ def test_stored_index_reads_in_proportion_to_the_range(spark):
         assert got.count() == want
         assert rows_scanned(got) <= want + 6 * 2 * 500
     assert rows_scanned(stored.where("clip_id = 1 and channel = 0 and end_sample > 5000 and start_sample < 6000")) <= 1500
+
+
+def test_digest_is_of_values_and_places_in_any_order(spark):
+    rng = random.Random(6)
+    prime = (1 << 31) - 1
+    data = [(t, b, p, rng.randrange(-(1 << 23), 1 << 23)) for t in range(2) for b in range(5) for p in (0, 1, 2, 1000, 70_000 + b)]
+    got = {(r.track_id, r.block_no): (r.samples, r.digest) for r in au.digest_from_samples(
+        spark.createDataFrame(data, "track_id int, block_no bigint, pos int, s24 int").repartition(7)).collect()}
+    for (t, b), (n, digest) in got.items():
+        sums = [sum((s + (1 << 23) + 1) * pow(base, p, prime) for tt, bb, p, s in data if (tt, bb) == (t, b)) % prime for base in au.DIGEST_BASES]
+        assert (n, digest) == (5, sums[0] * (1 << 31) + sums[1])
+
+
+def test_only_blocks_that_differ_are_compared_by_sample(spark):
+    schema = "track_id int, block_no bigint, pos int, s24 int"
+    a = [(1, b, p, b * 7 + p) for b in range(40) for p in range(8)] + [(2, 0, 0, 5)]
+    b = [(t, k, p, s + 1 if (k, p) == (3, 2) else s) for t, k, p, s in a if (k, p) != (5, 1) and t == 1] + [(1, 6, 99, 1), (3, 0, 0, 1)]
+    got = {r.track_id: tuple(r)[1:] for r in au.path_equivalence(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)).collect()}
+    assert got == {1: (321, 318, 1, 1, 1), 2: (1, 0, 0, 1, 0), 3: (1, 0, 0, 0, 1)}
+    swapped = [(t, k, {0: 1, 1: 0}.get(p, p), s) if k == 9 else (t, k, p, s) for t, k, p, s in a]
+    assert au.path_equivalence(spark.createDataFrame(a, schema), spark.createDataFrame(swapped, schema)).where("track_id = 1").first().different == 2
+
+
+def test_channels_past_the_limit_are_reported(spark):
+    rows = [(1, "pcm.63"), (1, "pcm.64"), (2, "pcm.12345678901"), (3, "pcm.x"), (3, "avc.99"), (4, "pcm.5")]
+    packets = spark.createDataFrame([(c, 0, k, 10) for c, k in rows], "clip_id bigint, channel int, essence_key string, payload_len bigint")
+    assert sorted((r.clip_id, r.c) for r in packets.select("clip_id", ix.pcm_channel(F.col("essence_key")).alias("c")).where("c is not null").collect()) == [(1, 63), (4, 5)]
+    found = ix.limit_audit(packets, {"channel_number": 63}).where("cap = 'channel_number'").collect()
+    assert {(r.clip_id, r.value) for r in found} == {(1, 64), (2, 12345678901)}
