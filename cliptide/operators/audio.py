@@ -178,11 +178,17 @@ def reading_comparison(samples: DataFrame) -> DataFrame:
 DIGEST_PRIME, DIGEST_BASES = (1 << 31) - 1, (48271, 69621)
 
 
+#: Bits of a position that one table of powers covers.
+POWER_BITS = 8
+
+
 def _power(base: int, pos: Column) -> Column:
-    """base ^ pos modulo the prime, from the powers of two in a position."""
+    """base ^ pos modulo the prime: one power from a table for each byte of the position, multiplied."""
     out = F.lit(1).cast("bigint")
-    for k in range(31):
-        out = out * F.when(F.shiftright(pos, k).bitwiseAND(F.lit(1)) == 1, pow(base, 1 << k, DIGEST_PRIME)).otherwise(1) % DIGEST_PRIME
+    for shift in range(0, 32, POWER_BITS):
+        powers = ",".join(f"{pow(base, k << shift, DIGEST_PRIME)}L" for k in range(1 << POWER_BITS))
+        byte = F.shiftright(pos, shift).bitwiseAND(F.lit((1 << POWER_BITS) - 1)).cast("int")
+        out = out * F.get(F.expr(f"array({powers})"), byte) % DIGEST_PRIME
     return out
 
 

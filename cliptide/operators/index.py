@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .interval import covered_measure, interval_join
 from ..sources.sinks import store_clustered
+from ..sources.tables import stage
 from .scan import ROWS_PER_CHUNK, div, ordered_scan
 
 # Samples per bucket of an interval join: about one packet of a 48 kHz clip at 25 frames per second.
@@ -200,7 +201,7 @@ def frame_coverage(frames: DataFrame, index: DataFrame, tracks: int, chunk_width
     entries = index.select("clip_id", "channel", "start_sample", "end_sample")
     # A clip has at most 64 tracks, so the channels of a clip stay a short list.
     channels = entries.groupBy("clip_id").agg(F.collect_set("channel").alias("channels"))
-    per_track = asked.join(channels, "clip_id").withColumn("channel", F.explode("channels")).drop("channels")
+    per_track = stage(asked.join(channels, "clip_id").withColumn("channel", F.explode("channels")).drop("channels"), "asked")
     found = covered_measure(
         per_track, entries, ["clip_id", "channel"], ("f_start", "f_end"), ("start_sample", "end_sample"), "got", chunk_width
     ).groupBy("clip_id", "frame").agg(

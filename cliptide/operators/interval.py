@@ -158,7 +158,8 @@ def interval_join(
     (ls, le), (rs, re_) = left_span, right_span
     floor = lambda x: div(x - F.pmod(x, F.lit(width)), width)
     bucket = lambda df, s, e, names: df.where(F.col(s) < F.col(e)).withColumns({names[0]: floor(F.col(s)), names[1]: floor(F.col(e) - 1) + 1})
-    a, b = bucket(left, ls, le, ("_ls", "_le")), bucket(right, rs, re_, ("_rs", "_re"))
+    # Each side is read for its blocks, their levels and its beginnings.
+    a, b = stage(bucket(left, ls, le, ("_ls", "_le")), "left-spans"), stage(bucket(right, rs, re_, ("_rs", "_re")), "right-spans")
     rights = _starts_inside(b, "_rs", a, keys, F.col("_ls"), F.col("_le"))
     lefts = _starts_inside(a, "_ls", b, keys, F.col("_rs") + 1, F.col("_re"))
     columns = [*keys, *[c for c in left.columns if c not in keys], *[c for c in right.columns if c not in keys]]

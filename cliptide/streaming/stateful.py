@@ -48,11 +48,12 @@ class MachineProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.row_type)
 
     def _load(self):
-        *state, last = self.kept.get() if self.kept.exists() else (*self.machine.initial, self.first - 1)
+        *state, last = self.kept.get() or (*self.machine.initial, self.first - 1)
         at = self.machine.inputs.index(self.seq)
         # The second number keeps rows of equal sequence number apart without comparing the rows.
-        heap = [(row[at], i, tuple(row)) for i, row in enumerate(self.waiting.get() if self.waiting.exists() else ())]
+        heap = [(row[at], i, tuple(row)) for i, row in enumerate(self.waiting.get())]
         heapify(heap)
+        self.waited = bool(heap)
         return self.machine.thaw(tuple(state)), last, heap
 
     def _save(self, state, last, heap) -> None:
@@ -60,7 +61,7 @@ class MachineProcessor(StatefulProcessor):
         if heap:
             self.waiting.put([row for *_, row in heap])
             self.handle.registerTimer(max(0, min(row[-1] for *_, row in heap)) + 1)
-        elif self.waiting.exists():
+        elif self.waited:
             self.waiting.clear()
 
     def _replay(self, key, state, last, heap, upto: int, out: list):
@@ -99,6 +100,11 @@ class MachineProcessor(StatefulProcessor):
             # A row without a time waits until the watermark moves on from here.
             times = [watermark + 1 if ms < 0 else ms for ms in frame["event_ms"].tolist()]
             for row in zip(*[plain_column(frame[n], n in self.whole) for n in self.machine.inputs], times):
+                if not heap and row[at] == last + 1:  # the usual case: the row's turn
+                    last = row[at]
+                    state, produced = self.machine.step(state, row[:-1])
+                    out.extend((key[0], False, *p) for p in produced)
+                    continue
                 heappush(heap, (row[at], number, row))
                 number += 1
                 state, last = self._replay(key[0], state, last, heap, -1, out)
