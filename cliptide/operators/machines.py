@@ -34,10 +34,10 @@ def player_refusal(state, command, target, count, expected):
         return "SourceAlreadyLoaded" if loaded else None
     if not loaded:
         return "SourceNotLoaded"
-    if command in ("Cue", "Seek"):
+    if command in ("Cue", "Seek") or (command == "Preroll" and target is not None):
         if not has_range:
             return "PrepareRequired"
-        return None if start <= target < end else f"{command}OutsideActiveRange"
+        return None if start <= target < end else f"{'Seek' if command == 'Seek' else 'Cue'}OutsideActiveRange"
     if command == "Preroll":
         return "PrepareRequired" if frame is None else None
     if command == "Play":
@@ -61,7 +61,7 @@ def player_apply(state, command, target, count, given):
     elif command == "Cue":
         status, frame, armed = "Ready", target, True
     elif command == "Preroll":
-        armed = True
+        frame, armed = frame if target is None else target, True
     elif command == "Play":
         status, frame = "Playing", frame + (count or 0)
         if frame >= end:

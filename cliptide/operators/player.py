@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rules import lane_label
 from ..functions.timing import interval_ns
 from . import machines
 from .fold import ordered_fold
@@ -121,36 +122,67 @@ def fault_counters(faults: DataFrame) -> DataFrame:
         F.sum("f").alias("fatal"))
 
 
+LANE = "struct<lane_index:int,label:string,source_track_index:int,source_channel_index:int>"
+
+
+def source_lanes(lane_count: Column, channels_per_track: int = 2) -> Column:
+    """Labelled lanes of a source whose channels are numbered through its tracks; none for a null or zero count."""
+    lane = lambda i: F.struct(
+        i.alias("lane_index"), lane_label(i).alias("label"), div(i, channels_per_track).cast("int").alias("source_track_index"),
+        (i % channels_per_track).alias("source_channel_index"))
+    return F.when(lane_count > 0, F.transform(F.sequence(F.lit(0), lane_count - 1), lane)).otherwise(F.array().cast(f"array<{LANE}>"))
+
+
 def passive_view(snapshots: DataFrame) -> DataFrame:
-    """What an observer may see of a session; everything is blank where a private path shows or proxy
-    audio claims authority, and a picture needs visual verification. The playhead is never invented."""
+    """What an observer may see of a session: monitor, timeline, wave and status block.
+
+    Everything is blank where a private path shows or proxy audio claims authority, and a picture needs visual
+    verification. The playhead is never invented. Lanes and sample cursor are shown for original audio only, the URI and
+    labels while a source is loaded. ``last_rejection`` is the refusal of the row's own command, which an accepted
+    command clears.
+    """
     c = F.col
     hidden = c("private_path_exposed") | c("proxy_aac_authoritative")
-    timebase = (c("rate_num") > 0) & (c("rate_den") > 0)
-    placed = c("loaded") & c("frame").isNotNull()
-    confirmed = placed & timebase
+    confirmed = c("loaded") & c("frame").isNotNull() & (c("rate_num") > 0) & (c("rate_den") > 0)
     real_range = c("loaded") & c("has_range") & (c("range_start") < c("range_end"))
     presented = c("visual_verified") & c("frame").isNotNull()
+    original = c("loaded") & (c("audio_authority") == "Original")
     mode = F.when(c("source_mode") == "OriginalMedia", "original").when(c("source_mode") == "ProxyPreview", "proxy").otherwise("none")
+    no_lanes = F.array().cast(f"array<{LANE}>")
+    # Name -> (value, what a hidden row shows instead).
     shown = {
-        "monitor": F.when(presented, "picture").when(c("loaded"), F.concat(F.lit("status:"), "status")).otherwise("empty"),
-        "timeline_start": F.when(real_range, c("range_start")).otherwise(0),
-        "timeline_frames": F.when(real_range, c("range_end") - c("range_start")).when(c("loaded"), 1).otherwise(0),
-        "playhead": F.when(c("loaded"), c("frame")),
-        "cue_enabled": confirmed,
-        "wave": F.when(c("loaded") & (c("audio_authority") == "Original"), "original").otherwise("none"),
-        "picture": F.when(c("loaded"), mode).otherwise("none"),
-        "play_enabled": c("transport_ready") & confirmed,
-        "pause_enabled": c("status") == "Playing",
+        "monitor": (F.when(presented, "picture").when(c("loaded"), F.concat(F.lit("status:"), "status")).otherwise("empty"), "empty"),
+        "monitor_frame": (F.when(presented, c("frame")), None),
+        "timeline_start": (F.when(real_range, c("range_start")).otherwise(0), 0),
+        "timeline_frames": (F.when(real_range, c("range_end") - c("range_start")).when(c("loaded"), 1).otherwise(0), 0),
+        "playhead": (F.when(c("loaded"), c("frame")), None),
+        "cue_enabled": (confirmed, False),
+        "wave": (F.when(original, "original").otherwise("none"), "none"),
+        "lanes": (F.when(original, F.coalesce("lanes", no_lanes)).otherwise(no_lanes), no_lanes),
+        "sample_start": (F.when(original, c("sample_start")), None),
+        "sample_end": (F.when(original, c("sample_end")), None),
+        "transport": (c("status"), "Empty"),
+        "public_uri": (F.when(c("loaded"), c("public_uri")), None),
+        "picture": (F.when(c("loaded"), mode).otherwise("none"), "none"),
+        "audio": (F.when(c("loaded"), F.coalesce("audio_authority", F.lit("none"))).otherwise("none"), "none"),
+        "play_enabled": (c("transport_ready") & confirmed, False),
+        "pause_enabled": (c("status") == "Playing", False),
+        "source_loaded": (c("loaded"), False),
+        "prepared_frames": (c("prepared_frames"), 0),
+        "video_payload_ready": (c("video_payload_ready"), False),
+        "audio_payload_ready": (c("audio_payload_ready"), False),
+        "presented": (presented, False),
+        "last_rejection": (c("reason"), None),
+        **{f"{n}_verified": (c(f"{n}_verified"), False) for n in ("realtime", "visual", "audio_device", "av_sync")},
     }
-    blank = {"monitor": "empty", "timeline_start": 0, "timeline_frames": 0, "playhead": None, "cue_enabled": False,
-             "wave": "none", "picture": "none", "play_enabled": False, "pause_enabled": False}
-    kept = lambda n, e: F.when(hidden, F.lit(blank[n])).otherwise(e)
-    return snapshots.select("session_id", "seq", *[kept(n, e).alias(n) for n, e in shown.items()])
+    return snapshots.select("session_id", "seq", *[F.when(hidden, blank).otherwise(e).alias(n) for n, (e, blank) in shown.items()])
 
 
 def client_predicates(snapshots: DataFrame) -> DataFrame:
-    """Confirmed position, ready, can start, playing and frame interval."""
+    """Confirmed position, ready, can start, playing, frame interval, and the refusal that a client shows as its error.
+
+    The error is shown on hidden rows too: it is a kind of fault and names no source.
+    """
     c = F.col
     confirmed = (
         c("loaded") & c("frame").isNotNull() & c("has_range") & (c("range_start") < c("range_end"))
@@ -160,7 +192,7 @@ def client_predicates(snapshots: DataFrame) -> DataFrame:
     return snapshots.select(
         "session_id", "seq", confirmed.alias("confirmed_position"), ready.alias("ready"), ready.alias("can_start"),
         (c("status") == "Playing").alias("playing"),
-        F.when(confirmed, interval_ns(c("rate_num"), c("rate_den"))).alias("interval_ns"))
+        F.when(confirmed, interval_ns(c("rate_num"), c("rate_den"))).alias("interval_ns"), c("reason").alias("error"))
 
 
 def duplicate_commands(commands: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timing import sample_at
 from ..operators import pictures as pic
 from ..operators import player as pl
 from ..operators.scan import ROWS_PER_CHUNK, div, ordered_scan
@@ -13,7 +14,8 @@ from .registry import query
 c = F.col
 
 # One command at a time by recursion: the sequential definition of the replay.
-REPLAY = """, calls as materialized (select session_id, seq, command, frame as target, frame_count, expected_generation as expected,
+REPLAY = """, calls as materialized (select session_id, seq, command,
+    case when command <> 'Preroll' or command_id % 7 = 0 then frame end as target, frame_count, expected_generation as expected,
     range_start as rs, range_end as re from ranged_log),
 states as (
   select distinct session_id, cast(0 as bigint) as seq, cast(null as varchar) as command, true as accepted, cast(null as varchar) as reason,
@@ -29,6 +31,7 @@ states as (
     case when reason is not null then has_range when command = 'Prepare' then true when command in ('LoadPreparedInput', 'Unload') then false
       else has_range end,
     case when reason is not null then frame when command in ('LoadPreparedInput', 'Unload') then null when command in ('Cue', 'Seek') then target
+      when command = 'Preroll' then coalesce(target, frame)
       when command = 'Play' then least(frame + coalesce(frame_count, 0), range_end - 1) else frame end,
     case when reason is not null then armed when command in ('LoadPreparedInput', 'Unload', 'Seek', 'Stop') then false
       when command in ('Cue', 'Preroll') then true when command = 'Prepare' then armed or frame is not null
@@ -41,8 +44,9 @@ states as (
         when k.expected is not null and k.expected <> s.generation then 'StaleGeneration'
         when k.command = 'LoadPreparedInput' then case when s.loaded then 'SourceAlreadyLoaded' end
         when not s.loaded then 'SourceNotLoaded'
-        when k.command in ('Cue', 'Seek') then case when not s.has_range then 'PrepareRequired'
-          when k.target < s.range_start or k.target >= s.range_end then k.command || 'OutsideActiveRange' end
+        when k.command in ('Cue', 'Seek') or (k.command = 'Preroll' and k.target is not null) then case
+          when not s.has_range then 'PrepareRequired' when k.target < s.range_start or k.target >= s.range_end
+          then case k.command when 'Seek' then 'Seek' else 'Cue' end || 'OutsideActiveRange' end
         when k.command = 'Preroll' then case when s.frame is null then 'PrepareRequired' end
         when k.command = 'Play' then case when (s.status = 'Playing' and k.frame_count is not null)
             or (s.armed and s.status in ('Ready', 'Paused')) then null
@@ -52,8 +56,13 @@ states as (
 replayed as materialized (select * from states where seq > 0)"""
 
 
+def targets(command_log):
+    """The log with a target frame on one Preroll in seven; the others take the frame at hand."""
+    return command_log.withColumn("frame", F.when((c("command") != "Preroll") | (c("command_id") % 7 == 0), c("frame")))
+
+
 def _replayed(command_log):
-    return pl.replay(command_log)
+    return pl.replay(targets(command_log))
 
 
 def _settled(command_log):
@@ -71,7 +80,7 @@ def r1(command_log):
 select session_id, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
 def r1_blocks(command_log):
     """The same replay with every session cut into blocks of 24 commands."""
-    return pl.replay(command_log, block_rows=24)
+    return pl.replay(targets(command_log), block_rows=24)
 
 
 @query("r3_generation_check", ["ranged_log"], REPLAY + """
@@ -293,42 +302,71 @@ def a13(command_log):
     return pl.duplicate_commands(command_log.withColumn("command_id", c("command_id") % 40))
 
 
-FACTS = REPLAY + """, snap as (select *, session_id % 31 = 0 as private_path_exposed,
-    session_id % 37 = 0 as proxy_aac_authoritative, session_id % 5 = 0 as visual_verified, armed and status in ('Ready', 'Paused') as transport_ready,
-    case session_id % 3 when 0 then 'OriginalMedia' when 1 then 'ProxyPreview' end as source_mode, 'Original' as audio_authority,
-    case when session_id % 41 = 0 then 0 else 25 end as rate_num, 1 as rate_den from replayed)"""
-
-
-def facts(outcomes):
-    s = c("session_id")
-    return outcomes.withColumns({
+FACTS = REPLAY + """, rated as (select r.*, l.public_uri, coalesce(l.lane_count, 0) as lane_count, coalesce(l.audio_authority, 'Original') as audio_authority,
+    case when session_id % 41 = 0 then 0 else 25 end as rate_num, 1 as rate_den
+  from replayed r left join clip l on l.clip_id = r.session_id),
+snap as (select *, session_id % 31 = 0 as private_path_exposed,
+    session_id % 37 = 0 as proxy_aac_authoritative, armed and status in ('Ready', 'Paused') as transport_ready,
+    case session_id % 3 when 0 then 'OriginalMedia' when 1 then 'ProxyPreview' end as source_mode,
+    case when rate_num > 0 then frame * 1920 end as sample_start, case when rate_num > 0 then frame * 1920 + 1920 end as sample_end,
+    case when armed then greatest(least(range_end - frame, 8), 0) else 0 end as prepared_frames,
+    armed and range_end - frame >= 3 as video_payload_ready, armed and rate_num > 0 as audio_payload_ready,
+    session_id % 5 = 0 as visual_verified, session_id % 7 = 0 as realtime_verified, session_id % 11 = 0 as audio_device_verified,
+    session_id % 13 = 0 as av_sync_verified from rated)"""
+
+
+def facts(outcomes, clip):
+    """Outcomes with what a snapshot says besides the state: the clip's URI, lanes and authority, flags by rule."""
+    s, left = c("session_id"), c("range_end") - c("frame")
+    source = clip.select(c("clip_id").alias("session_id"), "public_uri", "lane_count", "audio_authority")
+    timed = outcomes.join(source, "session_id", "left").withColumns({"rate_num": F.when(s % 41 == 0, 0).otherwise(25), "rate_den": F.lit(1)})
+    first = lambda frame: F.when(c("rate_num") > 0, sample_at(frame, F.lit(48000), c("rate_num"), c("rate_den")))
+    return timed.withColumns({
+        "lanes": pl.source_lanes(c("lane_count")), "audio_authority": F.coalesce("audio_authority", F.lit("Original")),
         "private_path_exposed": s % 31 == 0, "proxy_aac_authoritative": s % 37 == 0,
-        "visual_verified": s % 5 == 0, "transport_ready": c("armed") & c("status").isin("Ready", "Paused"),
-        "source_mode": F.when(s % 3 == 0, "OriginalMedia").when(s % 3 == 1, "ProxyPreview"), "audio_authority": F.lit("Original"),
-        "rate_num": F.when(s % 41 == 0, 0).otherwise(25), "rate_den": F.lit(1)})
+        "transport_ready": c("armed") & c("status").isin("Ready", "Paused"),
+        "source_mode": F.when(s % 3 == 0, "OriginalMedia").when(s % 3 == 1, "ProxyPreview"),
+        "sample_start": first(c("frame")), "sample_end": first(c("frame") + 1),
+        "prepared_frames": F.when(c("armed"), F.greatest(F.least(left, F.lit(8)), F.lit(0))).otherwise(0),
+        "video_payload_ready": c("armed") & (left >= 3), "audio_payload_ready": c("armed") & (c("rate_num") > 0),
+        **{f"{n}_verified": s % k == 0 for n, k in (("visual", 5), ("realtime", 7), ("audio_device", 11), ("av_sync", 13))}})
 
 
-@query("p16_passive_view", ["ranged_log"], FACTS + """
-, h as (select *, private_path_exposed or proxy_aac_authoritative as hidden, loaded and frame is not null and rate_num > 0 as confirmed from snap)
+@query("p16_passive_view", ["ranged_log", "clip"], FACTS + """
+, h as (select *, private_path_exposed or proxy_aac_authoritative as hidden, loaded and frame is not null and rate_num > 0 as confirmed,
+    loaded and audio_authority = 'Original' as original from snap)
 select session_id, seq,
   case when hidden then 'empty' when visual_verified and frame is not null then 'picture' when loaded then 'status:' || status else 'empty' end as monitor,
+  case when not hidden and visual_verified then frame end as monitor_frame,
   case when hidden then 0 when loaded and has_range and range_start < range_end then range_start else 0 end as timeline_start,
   case when hidden then 0 when loaded and has_range and range_start < range_end then range_end - range_start when loaded then 1 else 0 end as timeline_frames,
   case when not hidden and loaded then frame end as playhead, not hidden and confirmed as cue_enabled,
-  case when not hidden and loaded then 'original' else 'none' end as wave,
+  case when not hidden and original then 'original' else 'none' end as wave,
+  case when hidden or not original then '' else array_to_string(list_transform(range(0, lane_count),
+    lambda x: 'A' || (x + 1) || ':' || (x // 2) || '.' || (x % 2)), ',') end as lanes,
+  case when not hidden and original then sample_start end as sample_start, case when not hidden and original then sample_end end as sample_end,
+  case when hidden then 'Empty' else status end as transport, case when not hidden and loaded then public_uri end as public_uri,
   case when hidden or not loaded then 'none' when source_mode = 'OriginalMedia' then 'original' when source_mode = 'ProxyPreview' then 'proxy'
     else 'none' end as picture,
-  not hidden and transport_ready and confirmed as play_enabled, not hidden and status = 'Playing' as pause_enabled from h""", recursive=True)
-def p16(command_log):
-    return pl.passive_view(facts(_replayed(command_log)))
-
-
-@query("p17_client_predicates", ["ranged_log"], FACTS + """
+  case when hidden or not loaded then 'none' else audio_authority end as audio,
+  not hidden and transport_ready and confirmed as play_enabled, not hidden and status = 'Playing' as pause_enabled,
+  not hidden and loaded as source_loaded, case when hidden then 0 else prepared_frames end as prepared_frames,
+  not hidden and video_payload_ready as video_payload_ready, not hidden and audio_payload_ready as audio_payload_ready,
+  not hidden and visual_verified and frame is not null as presented, case when not hidden then reason end as last_rejection,
+  not hidden and realtime_verified as realtime_verified, not hidden and visual_verified as visual_verified,
+  not hidden and audio_device_verified as audio_device_verified, not hidden and av_sync_verified as av_sync_verified from h""", recursive=True)
+def p16(command_log, clip):
+    lane = lambda x: F.concat(x["label"], F.lit(":"), x["source_track_index"], F.lit("."), x["source_channel_index"])
+    seen = pl.passive_view(facts(_replayed(command_log), clip))
+    return seen.withColumn("lanes", F.array_join(F.transform("lanes", lane), ","))
+
+
+@query("p17_client_predicates", ["ranged_log", "clip"], FACTS + """
 , h as (select *, loaded and frame is not null and has_range and range_start < range_end and rate_num > 0 and not private_path_exposed and not proxy_aac_authoritative as ok from snap)
 select session_id, seq, ok as confirmed_position, ok and transport_ready as ready, ok and transport_ready as can_start, status = 'Playing' as playing,
-  case when ok then cast(40000000 as bigint) end as interval_ns from h""", recursive=True)
-def p17(command_log):
-    return pl.client_predicates(facts(_replayed(command_log)))
+  case when ok then cast(40000000 as bigint) end as interval_ns, reason as error from h""", recursive=True)
+def p17(command_log, clip):
+    return pl.client_predicates(facts(_replayed(command_log), clip))
 
 
 WINDOWS = """, w as (select session_id, seq, frame, case when greatest(frame - 2, range_start) <= least(frame + 5, range_end - 1)

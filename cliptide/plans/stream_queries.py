@@ -12,7 +12,7 @@ from ..streaming import source as src
 from ..streaming import windows as win
 from ..streaming.stateful import replay_stream
 from .registry import query
-from .session_queries import REPLAY
+from .session_queries import REPLAY, targets
 from .snippets import EXPOSED
 
 c = F.col
@@ -57,7 +57,7 @@ def snk2(command_log):
 @query("st1_streaming_replay", ["ranged_log"], REPLAY + """
 select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
 def st1(command_log):
-    return src.run_to_table(command_log.sparkSession, replay_stream(_stream([command_log, _heartbeat(command_log)]), machines.player()), "replay")
+    return src.run_to_table(command_log.sparkSession, replay_stream(_stream([targets(command_log), _heartbeat(command_log)]), machines.player()), "replay")
 
 
 @query("st2_streaming_dedup", ["command_log"], "select distinct session_id, command_id from command_log")

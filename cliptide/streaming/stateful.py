@@ -16,9 +16,12 @@ from ..operators.fold import Machine
 
 
 def plain_column(column: pd.Series, whole: bool) -> list:
-    """Values as the step functions take them. A nullable integer reaches pandas as float."""
+    """Values as the step functions take them.
+
+    Integers reach pandas as floats where any row of the batch is null, if of another key.
+    """
     missing = column.isna()
-    if whole and missing.any():
+    if whole and column.dtype.kind != "i":
         column = column.fillna(0).astype(np.int64)
     return [None if m else v for v, m in zip(column.tolist(), missing)]
 

@@ -63,6 +63,57 @@ def test_completion_at_the_end_of_the_range(spark):
     assert got[5].reason == "IllegalCommandForState" and got[6].status == "Ready"
 
 
+@pytest.mark.parametrize("block_rows", [4, 1000])
+def test_preroll_with_a_target(spark, block_rows):
+    """A target moves the frame and arms at once; outside the range or without one it is refused and changes nothing."""
+    script = [("LoadPreparedInput",), ("Preroll", 20), ("Prepare",), ("Preroll",), ("Preroll", 90), ("Cue", 10), ("Preroll", 12), ("Play",), ("Pause",),
+              ("Seek", 30), ("Play",), ("Preroll", 9), ("Preroll", 30), ("Play", None, 2)]
+    got = outcome(spark, script, block_rows=block_rows)
+    assert [r.reason for r in got] == [
+        None, "PrepareRequired", None, "PrepareRequired", "CueOutsideActiveRange", None, None, None, None, None, "PrepareRequired",
+        "CueOutsideActiveRange", None, None]
+    assert [r.frame for r in got] == [None] * 5 + [10, 12, 12, 12, 30, 30, 30, 30, 32]
+    assert [r.armed for r in got] == [False] * 5 + [True] * 4 + [False] * 3 + [True] * 2
+
+
+SNAPSHOT = """session_id bigint, seq bigint, reason string, status string, loaded boolean, has_range boolean, frame bigint, range_start bigint,
+    range_end bigint, rate_num int, rate_den int, public_uri string, source_mode string, audio_authority string, lane_count int, sample_start bigint,
+    sample_end bigint, prepared_frames bigint, video_payload_ready boolean, audio_payload_ready boolean, transport_ready boolean,
+    private_path_exposed boolean, proxy_aac_authoritative boolean, realtime_verified boolean, visual_verified boolean,
+    audio_device_verified boolean, av_sync_verified boolean"""
+
+
+def seen_by_observers(spark, **change):
+    row = {"session_id": 1, "seq": 1, "reason": None, "status": "Ready", "loaded": True, "has_range": True, "frame": 12, "range_start": 10,
+           "range_end": 90, "rate_num": 25, "rate_den": 1, "public_uri": "media://a", "source_mode": "OriginalMedia", "audio_authority": "Original",
+           "lane_count": 3, "sample_start": 23040, "sample_end": 24960, "prepared_frames": 6, "video_payload_ready": True, "audio_payload_ready": True,
+           "transport_ready": True, "private_path_exposed": False, "proxy_aac_authoritative": False, "realtime_verified": False,
+           "visual_verified": False, "audio_device_verified": True, "av_sync_verified": False, **change}
+    df = spark.createDataFrame([row], SNAPSHOT).withColumn("lanes", pl.source_lanes(F.col("lane_count")))
+    return pl.passive_view(df).first(), pl.client_predicates(df).first()
+
+
+def test_passive_view(spark):
+    v, p = seen_by_observers(spark)
+    assert [tuple(x) for x in v.lanes] == [(0, "A1", 0, 0), (1, "A2", 0, 1), (2, "A3", 1, 0)]
+    assert (v.sample_start, v.sample_end, v.transport, v.public_uri, v.audio, v.prepared_frames) == (23040, 24960, "Ready", "media://a", "Original", 6)
+    assert (v.monitor, v.monitor_frame, v.presented, v.audio_device_verified, v.last_rejection, p.error) == ("status:Ready", None, False, True, None, None)
+    v, p = seen_by_observers(spark, visual_verified=True, reason="PrepareRequired")
+    assert (v.monitor, v.monitor_frame, v.presented, v.last_rejection, p.error) == ("picture", 12, True, "PrepareRequired", "PrepareRequired")
+    # Other audio than the original shows neither lanes nor a cursor.
+    v, _ = seen_by_observers(spark, audio_authority="ProxyAac")
+    assert (v.wave, v.lanes, v.sample_start, v.audio) == ("none", [], None, "ProxyAac")
+    v, _ = seen_by_observers(spark, loaded=False, frame=None, status="Empty", lane_count=None)
+    assert (v.public_uri, v.audio, v.picture, v.lanes, v.source_loaded) == (None, "none", "none", [], False)
+
+
+@pytest.mark.parametrize("flag", ["private_path_exposed", "proxy_aac_authoritative"])
+def test_hidden_rows_are_blank(spark, flag):
+    v, p = seen_by_observers(spark, visual_verified=True, reason="SourceNotLoaded", **{flag: True})
+    assert [x for x in v[2:] if x not in ("empty", "none", "Empty", None, False, 0, [])] == []
+    assert p.error == "SourceNotLoaded" and not p.confirmed_position
+
+
 def random_log(rng, sessions, length, careful):
     """Commands of which a share carries an expected generation, right for a careful client."""
     names = ["LoadPreparedInput", "Prepare", "Cue", "Preroll", "Play", "Play", "Pause", "Seek", "Stop", "Unload", "Snapshot"]

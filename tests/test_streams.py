@@ -143,3 +143,14 @@ def test_upserts_write_what_their_batch_holds_and_can_be_run_again(spark):
     assert max(p for i, p in enumerate(plain) if i % table.FAN_OUT != table.FAN_OUT - 1 and i) < plain[0] / 5
     assert table.runs(18) == [f"{path}/1-0", f"{path}/1-1", f"{path}/0-16", f"{path}/0-17", f"{path}/0-18"]
     assert table.read(spark, 0).count() == 2000  # an earlier version is still whole
+
+
+def test_whole_numbers_stay_whole_beside_nulls_of_other_keys():
+    """A batch with a null anywhere comes as floats; a key without nulls must still see whole numbers."""
+    import pandas as pd
+
+    from cliptide.streaming.stateful import plain_column
+
+    batch = pd.Series([47.0, 12.0, None])
+    assert [type(x) for x in plain_column(batch[:2], True)] == [int, int] and plain_column(batch, True) == [47, 12, None]
+    assert plain_column(pd.Series([None, None], dtype=object), True) == [None, None]
