@@ -109,3 +109,16 @@ def test_tree_paths():
     told = "Tree\n  If (feature 0 <= 1.5)\n   If (feature 2 > 0.25)\n    Predict: 1.0\n   Else (feature 2 <= 0.25)\n    Predict: 0.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0"
     a, c = quality.STATS[0], quality.STATS[2]
     assert quality.tree_rules(told) == [((a, True, 1.5),), ((a, True, 1.5), (c, False, 0.25)), ((a, True, 1.5), (c, True, 0.25)), ((a, False, 1.5),)]
+
+
+def test_letters_beyond_the_first_plane():
+    """They have keys of their own: none is taken for a letter of another script, and neighbours differ."""
+    far = [chr(c) for c in range(0x20061, 0x20061 + 500)]
+    chars, _, letters = langid.stream(["".join(far), "abc", "\U0001F600 \U0001D165"])
+    own = chars[4:504]  # after the pads and a space
+    assert len(set(own.tolist())) == 500 and own.min() >= 0xD800 and own.max() < 0xF900
+    assert letters.tolist() == [500, 3, 0]
+
+
+def test_without_labels_all_documents_stay(sf_docs):
+    assert langid.identified(sf_docs, None).count() == sf_docs.count()
