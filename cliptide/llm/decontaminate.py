@@ -170,10 +170,18 @@ class Shard:
 
     @staticmethod
     def _votes(s: np.ndarray, begin: np.ndarray, wide: int) -> np.ndarray:
-        low, high = int(begin[0]), int(begin[-1]) + wide
-        sums = np.zeros((high - low + 1, 64), np.int32)
-        np.cumsum(_bits(s[low:high]), axis=0, out=sums[1:])
-        return sums[begin - low + wide] - sums[begin - low]
+        """Set bits, by bit, of the windows that begin at ``begin``; only what windows cover is summed, however far apart."""
+        new = np.ones(len(begin), bool)
+        new[1:] = np.diff(begin) > wide
+        head = np.flatnonzero(new)
+        low, run = begin[head], np.cumsum(new) - 1
+        length = begin[np.append(head[1:], len(begin)) - 1] + wide - low
+        at = np.cumsum(length) - length
+        covered = np.repeat(low - at, length) + np.arange(length.sum())
+        sums = np.zeros((len(covered) + 1, 64), np.int32)
+        np.cumsum(_bits(s[covered]), axis=0, out=sums[1:])
+        here = at[run] + begin - low[run]
+        return sums[here + wide] - sums[here]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:

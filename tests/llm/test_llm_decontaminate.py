@@ -77,3 +77,19 @@ def test_planted_items(spark):
     plain = lambda t: " ".join(dc.words(t))
     want = {(d.doc_id, b.item_id) for d in docs.collect() for b in items.collect() if f" {plain(b.text)} " in f" {plain(d.text)} "}
     assert want <= {(r.doc_id, r.item_id) for r in dc.leaks(docs, items).collect()}
+
+
+def test_windows_far_apart_cost_what_they_cover():
+    """Votes of windows at both ends of a long text, against sums of each window; what lies between is not summed."""
+    import numpy as np
+
+    s = np.random.default_rng(1).integers(0, 1 << 63, 3_000_000, dtype=np.uint64)
+    begin = np.array([0, 3, 40, 1000, 1021, len(s) - 25, len(s) - 20])
+    plain = [dc._bits(s[b : b + 20]).sum(axis=0, dtype=np.int64) for b in begin]
+    import tracemalloc
+
+    tracemalloc.start()
+    votes = dc.Shard._votes(s, begin, 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (votes == np.array(plain)).all() and peak < 1_000_000
