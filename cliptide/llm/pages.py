@@ -61,6 +61,18 @@ NAMED = frozenset(
     "search skip complementary contentinfo toolbar".split()
 )
 NAMED_OUTSIDE = frozenset("header masthead topbar top hero toc".split())
+#: Words of NAMED that also head sections of an article ("related-work", "share-prices"): inside one they count only in a
+#: name made of such words and words of layout alone.
+UNSURE = frozenset(
+    "ad ads promotion banner consent notice notices alert related recommended recommendations share sharing social comment comments reply "
+    "replies respond menu navigation search skip login subscription complementary".split()
+)
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box btn button buttons card center col column container content element first frame grid "
+    "group head header heading icon icons id inline inner item items js large last left link links list main mobile module news outer page "
+    "pane panel part post posts primary right row secondary section side site slot small sticky stories story strip tab tabs text thread "
+    "title tool tools top unit view wrap wrapper zone".split()
+)
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -79,9 +91,15 @@ def _left_out(name: str, rest: str, inside: bool) -> bool:
     if not rest or name in ("html", "body", "article", "main"):
         return False
     for m in _NAMES.finditer(rest):
-        parts = _PART.findall((m[1] or m[2] or m[3] or "").lower())
-        if any(p in NAMED or not inside and p in NAMED_OUTSIDE for p in parts):
-            return True
+        for word in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = _PART.findall(word)
+            if not inside:
+                if any(p in NAMED or p in NAMED_OUTSIDE for p in parts):
+                    return True
+                continue
+            named = [p for p in parts if p in NAMED]
+            if named and (any(p not in UNSURE for p in named) or all(p in NAMED or p in LAYOUT for p in parts)):
+                return True
     return bool(_HIDDEN.search(rest))
 
 

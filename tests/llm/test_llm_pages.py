@@ -15,6 +15,10 @@ CASES = [
     ("<article><p>Cut off <a href='x", "Cut off"),
     ("<p title=\"a > b\">Quoted</p><p hidden>Not shown</p><p>x < y</p>", "Quoted\n\nx < y"),
     ("<article><script>unclosed <p>never text</p></article>", ""),
+    ("<article><p>Intro text.</p><section class='related-work'><p>Earlier studies found it.</p></section><p class='notice-of-motion'>The motion text.</p>"
+     "<div id='share-prices'><p>Prices rose.</p></div><p>End.</p></article>", "Intro text.\n\nEarlier studies found it.\n\nThe motion text.\n\nPrices rose.\n\nEnd."),
+    ("<article><p>A</p><div class='related-posts'>More</div><div class='x share-buttons'>Share</div><div class='post-comments'>Said</div>"
+     "<div class='weather-sidebar'>Rain</div><p>B</p></article><div class='related-work'>Out</div>", "A\n\nB"),
     ("just words", "just words"),
     ("", ""),
     (None, ""),
