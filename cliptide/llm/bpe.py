@@ -5,9 +5,13 @@ it may write a token when the bytes form one and the pair (last token, token) is
 bytes gives the pair back. A token sequence is the BPE of its bytes exactly when all its neighbours are stable pairs, so
 for every prefix one path, and one only, stands at a token boundary.
 
-The deterministic transducer's state is the set of live paths with what each has still to write. Output that all live
-paths share is written at once: a token leaves after a lookahead of at most the longest token. States and transitions
-are made when first met and kept up to a bound, so memory does not grow with the corpus.
+The deterministic transducer's state is the set of live paths with what each has still to write. The bytes that a path
+has read are a suffix of the input that begins some longer token, so the longest of them, the place, gives them all: a
+state is a place and one (last token, what is to write) for each path, oldest first. Which paths stay open after a byte
+and which close a token follow from place and byte alone and are found once (an arc); a move has only to ask the closing
+paths, longest first, for the one whose pair is stable. Output that all live paths share is written at once: a token
+leaves after a lookahead of at most the longest token. Arcs, states and moves are made when first met and kept up to a
+bound, so memory does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -41,16 +45,24 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], keep: int = KEEP_TRANSITIONS):
         self.ranks, self.keep = ranks, keep
         self.piece = {i: t for t, i in ranks.items()}
-        self.prefix: set[bytes] = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        #: What a longer token begins with.
+        self.open: set[bytes] = {t[:n] for t in ranks for n in range(len(t))}
         self.stable: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.single = [bytes((i,)) for i in range(256)]
         self._clear()
 
     def _clear(self) -> None:
-        start = ((-1, b"", ()),)
+        #: Places by number: their bytes, and where in them the open paths start, oldest first.
+        self.places: list[tuple[bytes, tuple[int, ...]]] = [(b"", (0,))]
+        self.place_number = {b"": 0}
+        #: By place and byte: the next place, (path, token) for what closes, longest first, and the paths that stay open.
+        self.arcs: dict[int, tuple[int, list[tuple[int, int]], list[int]]] = {}
+        self._clear_states()
+
+    def _clear_states(self) -> None:
+        start = (0, ((-1, ()),))
         self.number = {start: 0}
-        self.states = [start]
+        self.states: list[tuple[int, tuple[tuple[int, tuple[int, ...]], ...]]] = [start]
         #: By state and byte: the next state, with the ids written if there are any.
         self.moves: dict[int, int | tuple[int, tuple[int, ...]]] = {}
 
@@ -98,21 +110,47 @@ class Transducer:
             self.stable[key] = ok
         return ok
 
+    def _arc(self, place: int, byte: int) -> tuple[int, list[tuple[int, int]], list[int]]:
+        read, starts = self.places[place]
+        read += bytes((byte,))
+        closing, staying = [], []
+        for path, start in enumerate(starts):
+            token = self.ranks.get(read[start:])
+            if token is not None and self.reached(token):
+                closing.append((path, token))
+            if read[start:] in self.open:
+                staying.append(path)
+        base = starts[staying[0]] if staying else len(read)
+        target = self.place_number.get(read[base:])
+        if target is None:
+            target = self.place_number[read[base:]] = len(self.places)
+            self.places.append((read[base:], (*(starts[path] - base for path in staying), len(read) - base)))
+        arc = self.arcs[place << 8 | byte] = (target, closing, staying)
+        return arc
+
     def _move(self, state: int, byte: int) -> int | tuple[int, tuple[int, ...]]:
-        live: list[tuple[int, bytes, tuple[int, ...]]] = []
-        one, prefix, find = self.single[byte], self.prefix, self.ranks.get
-        for last, read, out in self.states[state]:
-            read += one
-            if read in prefix:
-                live.append((last, read, out))
-                token = find(read)
-                if token is not None and self.pair_ok(last, token):
-                    live.append((token, b"", (*out, token)))
-        outs = [p[2] for p in live]
-        low, high, shared = min(outs), max(outs), 0
-        while shared < len(low) and low[shared] == high[shared]:
-            shared += 1
-        key = tuple([(last, read, out[shared:]) for last, read, out in live]) if shared else tuple(live)
+        place, live = self.states[state]
+        arc = self.arcs.get(place << 8 | byte)
+        if arc is None:
+            arc = self._arc(place, byte)
+        target_place, closing, staying = arc
+        for path, token in closing:
+            last, out = live[path]
+            if self.pair_ok(last, token):
+                break
+        else:
+            raise ValueError(f"the vocabulary has no token for byte {byte}")
+        paths = [live[path] for path in staying]
+        paths.append((token, (*out, token)))
+        shared, low = 0, paths[0][1]
+        if low:  # else the oldest path waits for nothing, and nothing is shared
+            outs = [out for _, out in paths]
+            low, high = min(outs), max(outs)
+            while shared < len(low) and low[shared] == high[shared]:
+                shared += 1
+            if shared:
+                paths = [(last, out[shared:]) for last, out in paths]
+        key = (target_place, tuple(paths))
         target = self.number.get(key)
         if target is None:
             target = self.number[key] = len(self.states)
@@ -124,8 +162,10 @@ class Transducer:
         whole = self.ranks.get(match)
         if whole is not None:
             return [whole]
-        if len(self.moves) > self.keep:
+        if len(self.arcs) > self.keep:
             self._clear()
+        elif len(self.moves) > self.keep:
+            self._clear_states()
         state, out, known = 0, [], self.moves.get
         for byte in match:
             step = known(state << 8 | byte)
@@ -136,9 +176,7 @@ class Transducer:
                 out.extend(ids)
             else:
                 state = step
-        for _, read, rest in self.states[state]:
-            if not read:
-                out.extend(rest)
+        out.extend(self.states[state][1][-1][1])  # the newest path stands at a token boundary
         return out
 
 
