@@ -94,11 +94,13 @@ class Transducer:
         if ok is None:
             ok = self.reached(token)
             left, right, before = last, token, 1 << 60
+            rank, piece, split = self.ranks.get, self.piece, self.split
             while ok:
-                if self.ranks.get(self.piece[left] + self.piece[right], 1 << 60) < before:
+                if rank(piece[left] + piece[right], 1 << 60) < before:
                     ok = False
                     break
-                one, two = self.halves(left), self.halves(right)
+                one = split[left] if left in split else self.halves(left)
+                two = split[right] if right in split else self.halves(right)
                 if one is None and two is None:
                     break
                 if two is None or one is not None and left > right:
@@ -134,9 +136,11 @@ class Transducer:
         if arc is None:
             arc = self._arc(place, byte)
         target_place, closing, staying = arc
+        known = self.stable.get
         for path, token in closing:
             last, out = live[path]
-            if self.pair_ok(last, token):
+            ok = known(last << 32 | token)
+            if ok or ok is None and self.pair_ok(last, token):
                 break
         else:
             raise ValueError(f"the vocabulary has no token for byte {byte}")
@@ -222,6 +226,7 @@ class Codec:
         self.fst = Transducer(read_ranks(rank_path))
         self.find = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.decimal = {i: str(i) for i in self.fst.piece}
 
     def _new(self, match: str) -> tuple[int, ...]:
         if len(self.known) >= KEEP_MATCHES:
@@ -290,6 +295,7 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         gc.disable()  # the tables hold no cycles, and scanning them again and again is most of a task's time
         try:
             c = codec(rank_path, pattern)
+            decimal = c.decimal
             sha = lambda raw: hashlib.sha256(raw).hexdigest()
             for batch in batches:
                 for at in range(0, batch.num_rows, 500):
@@ -298,7 +304,7 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                     for text in part.column(1).to_pylist():
                         ids = c.encode(text or "")
                         n.append(len(ids))
-                        a.append(sha(",".join(map(str, ids)).encode()))
+                        a.append(sha(",".join([decimal[i] for i in ids]).encode()))
                         b.append(sha(c.decode(ids).encode()))
                     yield rows_out(schema, doc_id=part.column(0), n_tokens=n, ids_sha256=a, decoded_sha256=b)
         finally:
