@@ -1,4 +1,4 @@
 from .adapters import view
-from .tables import load, shared_dir, stage
+from .tables import load, shared_dir, stage, staging
 
-__all__ = ["load", "shared_dir", "stage", "view"]
+__all__ = ["load", "shared_dir", "stage", "staging", "view"]

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,8 +53,33 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: The folder, below the shared one, of the innermost ``staging`` block.
+_BLOCK: ContextVar[str] = ContextVar("staging block", default="")
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{_BLOCK.get()}{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Let what is staged inside the block go when the block ends, also by an error; gives the folder.
+
+    A DataFrame made inside may read staged tables for as long as it is used, so results are read or written inside the
+    block. Blocks may be nested: an inner one lets go of its own tables only. A block sees what its own thread stages, so
+    blocks of several threads do not meet. A driver that is lost leaves a folder ``block-*``, which no running job of
+    another block uses.
+    """
+    outer = _BLOCK.get()
+    mine = f"{outer}block-{uuid.uuid4().hex}/"
+    folder = f"{shared_dir(spark)}/{mine}".rstrip("/")
+    token = _BLOCK.set(mine)
+    try:
+        yield folder
+    finally:
+        _BLOCK.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
