@@ -2,7 +2,6 @@
 
 import random
 
-
 from cliptide.operators import index as ix
 from test_ranges import plan_of
 
