@@ -10,7 +10,7 @@ from ..sources import sinks
 from ..sources.tables import fresh_path
 from ..streaming import source as src
 from ..streaming import windows as win
-from ..streaming.stateful import replay_stream
+from ..streaming.stateful import buckets_for, replay_stream
 from .registry import query
 from .session_queries import REPLAY, targets
 from .snippets import EXPOSED
@@ -55,9 +55,10 @@ def snk2(command_log):
 
 
 @query("st1_streaming_replay", ["ranged_log"], REPLAY + """
-select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True)
+select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True, settle=["ranged_log"])
 def st1(command_log):
-    return src.run_to_table(command_log.sparkSession, replay_stream(_stream([targets(command_log), _heartbeat(command_log)]), machines.player()), "replay")
+    stream = _stream([targets(command_log), _heartbeat(command_log)])
+    return src.run_to_table(command_log.sparkSession, replay_stream(stream, machines.player(), buckets=buckets_for(command_log)), "replay")
 
 
 @query("st2_streaming_dedup", ["command_log"], "select distinct session_id, command_id from command_log")
@@ -82,10 +83,10 @@ st as (
     submitted or (not reset and frame * 960 >= covered_until),
     submissions + case when not reset and frame * 960 >= covered_until then 1 else 0 end
   from (select s.covered_until, s.submitted, s.submissions, k.* from st s join ops k on k.session_id = s.session_id and k.seq = s.seq + 1) x)
-select session_id, seq, label, covered_until, submissions from st where seq > 0""", recursive=True)
+select session_id, seq, label, covered_until, submissions from st where seq > 0""", recursive=True, settle=["command_log"])
 def st3(command_log):
     ticks = _stream([command_log, _heartbeat(command_log)]).withColumn("op", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick"))
-    return src.run_to_table(command_log.sparkSession, replay_stream(ticks, machines.coverage()), "coverage").drop("late")
+    return src.run_to_table(command_log.sparkSession, replay_stream(ticks, machines.coverage(), buckets=buckets_for(command_log)), "coverage").drop("late")
 
 
 SLICED = """, b as (select min(epoch_ms(ts) // 1000) as low, max(epoch_ms(ts) // 1000) as high from events),
