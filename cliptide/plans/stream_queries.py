@@ -10,7 +10,7 @@ from ..sources import sinks
 from ..sources.tables import fresh_path
 from ..streaming import source as src
 from ..streaming import windows as win
-from ..streaming.stateful import buckets_for, replay_stream
+from ..streaming.stateful import replay_stream, sizes_for
 from .registry import query
 from .session_queries import REPLAY, targets
 from .snippets import EXPOSED
@@ -19,11 +19,11 @@ c = F.col
 SLICES = 4
 
 
-def _stream(waves, order=("ts", "seq"), files=SLICES, ts="ts"):
-    """A log, or waves of one, as a stream that takes a file per micro-batch."""
+def _stream(waves, order=("ts", "seq"), files=SLICES, ts="ts", per_batch=1):
+    """A log, or waves of one, as a stream that takes ``per_batch`` files per micro-batch."""
     waves = waves if isinstance(waves, list) else [waves]
     spark, schema = waves[0].sparkSession, waves[0].schema
-    return src.open_stream(spark, src.land(waves, fresh_path(spark, "landed"), order, files), schema, ts)
+    return src.open_stream(spark, src.land(waves, fresh_path(spark, "landed"), order, files), schema, ts, per_batch)
 
 
 def _heartbeat(log):
@@ -57,8 +57,9 @@ def snk2(command_log):
 @query("st1_streaming_replay", ["ranged_log"], REPLAY + """
 select session_id, false as late, seq, command, accepted, reason, status, loaded, has_range, frame, armed, generation, range_start, range_end from replayed""", recursive=True, settle=["ranged_log"])
 def st1(command_log):
-    stream = _stream([targets(command_log), _heartbeat(command_log)])
-    return src.run_to_table(command_log.sparkSession, replay_stream(stream, machines.player(), buckets=buckets_for(command_log)), "replay")
+    buckets, per_batch = sizes_for(command_log)
+    stream = _stream([targets(command_log), _heartbeat(command_log)], per_batch=per_batch)
+    return src.run_to_table(command_log.sparkSession, replay_stream(stream, machines.player(), buckets=buckets), "replay")
 
 
 @query("st2_streaming_dedup", ["command_log"], "select distinct session_id, command_id from command_log")
@@ -85,8 +86,10 @@ st as (
   from (select s.covered_until, s.submitted, s.submissions, k.* from st s join ops k on k.session_id = s.session_id and k.seq = s.seq + 1) x)
 select session_id, seq, label, covered_until, submissions from st where seq > 0""", recursive=True, settle=["command_log"])
 def st3(command_log):
-    ticks = _stream([command_log, _heartbeat(command_log)]).withColumn("op", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick"))
-    return src.run_to_table(command_log.sparkSession, replay_stream(ticks, machines.coverage(), buckets=buckets_for(command_log)), "coverage").drop("late")
+    buckets, per_batch = sizes_for(command_log)
+    log = _stream([command_log, _heartbeat(command_log)], per_batch=per_batch)
+    ticks = log.withColumn("op", F.when(c("command").isin("Seek", "Stop"), "reset").otherwise("tick"))
+    return src.run_to_table(command_log.sparkSession, replay_stream(ticks, machines.coverage(), buckets=buckets), "coverage").drop("late")
 
 
 SLICED = """, b as (select min(epoch_ms(ts) // 1000) as low, max(epoch_ms(ts) // 1000) as high from events),

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fold import Machine
+from . import source as src
 
 
 def plain_column(column: pd.Series, whole: bool) -> list:
@@ -30,12 +31,27 @@ def plain_column(column: pd.Series, whole: bool) -> list:
 ROWS_PER_FRAME = 10_000
 #: Keys that share a bucket of state, about, and least number of buckets.
 KEYS_PER_BUCKET, LEAST_BUCKETS = 1024, 64
+#: Rows of a batch for each key of the log, about: a batch may read and write the states of all keys.
+ROWS_PER_KEY = 4
+#: Rows of one key in a batch of several files, about: files are read side by side, so rows may wait for those before them.
+ROWS_SIDE_BY_SIDE = 250_000
+
+
+def sizes_for(log: DataFrame, key: str = "session_id") -> tuple[int, int]:
+    """Buckets of state for a log like this one, and how many of its landed files make a batch.
+
+    Buckets are fixed for a stream's life, as its state is kept by bucket. Batches grow with the number of keys, so that each
+    row pays for a fixed number of states at most; a log of few keys, or one that a single key fills, goes a file at a time.
+    """
+    keys, rows, most = log.groupBy(key).count().agg(F.count("*"), F.sum("count"), F.max("count")).first()
+    wanted = -(-ROWS_PER_KEY * keys // src.ROWS_PER_FILE)
+    bearable = ROWS_SIDE_BY_SIDE * rows // (most * src.ROWS_PER_FILE) if keys else 1
+    return max(LEAST_BUCKETS, -(-keys // KEYS_PER_BUCKET)), max(1, min(wanted, bearable))
 
 
 def buckets_for(log: DataFrame, key: str = "session_id") -> int:
-    """Buckets of state for a log like this one; fixed for a stream's life, as its state is kept by bucket."""
-    keys = log.agg(F.approx_count_distinct(key)).first()[0]
-    return max(LEAST_BUCKETS, -(-keys // KEYS_PER_BUCKET))
+    """Buckets of state for a log like this one; see ``sizes_for``."""
+    return sizes_for(log, key)[0]
 
 
 class MachineProcessor(StatefulProcessor):
@@ -170,7 +186,7 @@ def replay_stream(
 ) -> DataFrame:
     """A machine over a stream keyed by session; needs the RocksDB state of ``stream_session``.
 
-    State is kept in ``buckets`` by a hash of the key, see ``buckets_for``; a batch reads and writes the buckets that it meets.
+    State is kept in ``buckets`` by a hash of the key, see ``sizes_for``; a batch reads and writes the buckets that it meets.
     ``first`` is the sequence number that a session begins with, ``bound`` how late a row may be. Rows without a sequence
     number only move the watermark. A row without a time waits, ahead of a gap, until the watermark moves on.
     """
