@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import stage
-from .packed import bucket_count, earlier, exchange, pack, thin, unpack
+from .packed import apart, bucket_count, earlier, exchange, pack, thin, unpack
 from .text import inverse, mix, narrow, portions, powers, rows_out, slices, utf8
 
 SPAN, K = 50, 18
@@ -237,7 +237,7 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     asked = found.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("lo", F.col("hi").alias("sides"))).alias("at"))
     asked = stage(asked, "asked")
     near, _ = thin(rows, asked)
-    tested = _test_strings(near.join(asked, "doc_id").select("doc_id", "text", "at"), buckets)
+    tested = _test_strings(near.join(apart(asked), "doc_id").select("doc_id", "text", "at"), buckets)
     return found.where("not open").select("doc_id", "lo", "hi").union(tested.select("doc_id", "lo", "hi"))
 
 
@@ -279,7 +279,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
     untouched = far.select("doc_id", F.octet_length(whole).cast("long"), F.lit(0).cast("long"), whole, none)
-    return near.join(ranges, "doc_id", "left").select("doc_id", "text", "at").mapInArrow(cut, out).union(untouched)
+    return near.join(apart(ranges), "doc_id", "left").select("doc_id", "text", "at").mapInArrow(cut, out).union(untouched)
 
 
 def digest(kept: DataFrame) -> DataFrame:

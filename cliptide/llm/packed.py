@@ -120,3 +120,12 @@ def thin(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataF
 
     id_at = rows.columns.index(id_col)
     return part(True), part(False)
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """``found`` for a join with rows that ``thin`` has kept: met by a shuffle, however small it is.
+
+    Broadcast, it would leave the filter of ``thin`` and what reads the join in one stage, with two Python workers a core;
+    Spark keeps those as long as the executor works, and each holds what its largest task took.
+    """
+    return found.hint("merge")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import stage
-from .packed import bucket_count, exchange, pack, thin, unpack
+from .packed import apart, bucket_count, exchange, pack, thin, unpack
 from .text import let_go, lower_ascii, mix, narrow, portions, rows_out, shingle_hash, slices, span_hash, utf8, word_spans
 
 #: Words of a shingle and of the shortest passage, and the least part of its shingles found earlier.
@@ -275,7 +275,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = stage(_shared_windows(rows, buckets), "windows")
     regions = stage(_regions(shared), "regions")
     near, _ = thin(rows, regions)
-    found = stage(_earlier_shingles(near.join(regions, "doc_id").select("doc_id", "text", "at"), buckets), "found")
+    found = stage(_earlier_shingles(near.join(apart(regions), "doc_id").select("doc_id", "text", "at"), buckets), "found")
 
     def run(batches):
         for batch in batches:
@@ -338,5 +338,5 @@ def without_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             left = [t is None or bool(t.strip()) or not own.is_valid for t, own in zip(texts, batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array(left, pa.bool_()))
 
-    joined = near.join(cuts, near[id_col] == cuts["__cut_id"], "left").select(*[near[c] for c in docs.columns], "__cuts")
+    joined = near.join(apart(cuts), near[id_col] == F.col("__cut_id"), "left").select(*[near[c] for c in docs.columns], "__cuts")
     return joined.mapInArrow(run, docs.schema).union(far)
