@@ -6,6 +6,8 @@ compared with the items through blocks of bits: two fingerprints at most RADIUS
 bits apart in some block, so only items that near in a block are looked at. What is within the radius is
 verified by the weighted Jaccard similarity of the two shingle multisets, exactly.
 
+Most texts share no shingle with any item. They are told away first, many texts at a time (``Shard.suspects``).
+
 Items travel in shards of bounded size. A shard is broadcast and the documents are scanned once for each shard, so a
 benchmark of any size is covered; one that fits a shard needs one scan and no shuffle of texts.
 """
@@ -13,13 +15,14 @@ benchmark of any size is covered; one that fits a shard needs one scan and no sh
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import let_go, mix, narrow, rows_out
+from .text import SLICE_CHARS, let_go, mix, narrow, rows_out, shingle_hash, slices, span_hash
 
 #: Words of a shingle and the least similarity of a match.
 WORDS, SIMILAR = 5, 0.8
@@ -35,6 +38,50 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+@lru_cache(1)
+def _in_words() -> np.ndarray:
+    """For each code point: do words have it."""
+    out = np.zeros(0x110000, bool)
+    for m in _WORD.finditer("".join(map(chr, range(len(out))))):
+        out[m.start() : m.end()] = True
+    return out
+
+
+def shared_shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of every shingle of WORDS words of several texts, the text of each, and the number of words of each text.
+
+    The words are those of ``words``. Equal shingles have equal hashes, which are quicker than those of ``shingles`` and
+    tell only where to look.
+    """
+    low = [(t or "").lower() for t in texts]
+    code = np.frombuffer("\n".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.flatnonzero(np.diff(_in_words()[code], prepend=False, append=False))
+    begin, end = edges[::2], edges[1::2]
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in low]), begin, side="right")
+    whole = row[WORDS - 1 :] == row[: max(0, len(row) - WORDS + 1)]
+    return shingle_hash(span_hash(code, begin, end), WORDS)[whole], row[WORDS - 1 :][whole], np.bincount(row, minlength=len(texts))
+
+
+def _among(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``values``, which are not none."""
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+class Filter:
+    """Low bits of hashes, so that most others are told away by one look."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self._low(hashes)] = True
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.seen[self._low(h)])
+
+    @staticmethod
+    def _low(h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64((1 << 20) - 1)).astype(np.int64)
+
+
 def word_hashes(tokens: list[str], known: dict[str, int]) -> np.ndarray:
     """64-bit hash of each word; ``known`` is a small memory of recent words."""
     if len(known) > 200_000:
@@ -98,28 +145,39 @@ class Shard:
         self.owner = np.array([i for _, i in of], np.int64)
         self.prints = np.array([x[4] for x in self.items], np.uint64)
         self.size = np.array([x[1] for x in self.items], np.int64)
-        # Filter of the low shingle bits, so that most places of a text are told away by one look.
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.shingle & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.filter = Filter(self.shingle)
+        self.of_size = {n: np.unique(self.shingle[self.size[self.owner] == n]) for n in np.unique(self.size).tolist()}
+        texts = [text for _, text in items]
+        shared = [shared_shingles(texts[lo:hi])[0] for lo, hi in slices([len(t) for t in texts])]
+        self.shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *shared]))
+        self.shared_filter = Filter(self.shared)
         width = 64 // BLOCKS
-        self.near = []
-        for b in range(BLOCKS):
-            part = ((self.prints >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
-            values, at = np.unique(part, return_inverse=True)
-            members = [np.flatnonzero(at == k) for k in range(len(values))]
-            self.near.append((values, members))
+        self.blocks = [(self.prints >> np.uint64(b * width)).astype(f"u{width // 8}") for b in range(BLOCKS)]
+
+    def suspects(self, texts: list[str | None]) -> np.ndarray:
+        """Places of the texts that share a shingle with an item, or are short where an item is; no other holds an item.
+
+        Texts longer than a slice are not looked into here and are suspects, so that memory does not follow their length.
+        """
+        found = np.array([len(t or "") > SLICE_CHARS for t in texts], bool)
+        texts = [None if long else t for t, long in zip(texts, found.tolist())]
+        for lo, hi in slices([len(t or "") for t in texts]):
+            shingle, row, count = shared_shingles(texts[lo:hi])
+            if self.short:
+                found[lo:hi] |= (count > 0) & (count < WORDS)
+            if len(self.shared):
+                at = self.shared_filter.places(shingle)
+                found[lo + row[at[_among(self.shared, shingle[at])]]] = True
+        return np.flatnonzero(found)
 
     def near_items(self, fingerprint: int) -> np.ndarray:
         """Items whose fingerprint is within RADIUS, through the blocks."""
         width = 64 // BLOCKS
-        found: set[int] = set()
-        for b, (values, members) in enumerate(self.near):
-            mine = np.uint32((fingerprint >> (b * width)) & ((1 << width) - 1))
-            for k in np.flatnonzero(np.bitwise_count(values ^ mine) <= RADIUS // BLOCKS):
-                found.update(members[k].tolist())
-        if not found:
-            return np.zeros(0, np.int64)
-        at = np.fromiter(sorted(found), np.int64)
+        near = np.zeros(len(self.prints), bool)
+        for b, block in enumerate(self.blocks):
+            mine = block.dtype.type((fingerprint >> (b * width)) & ((1 << width) - 1))
+            near |= np.bitwise_count(block ^ mine) <= RADIUS // BLOCKS
+        at = np.flatnonzero(near)
         return at[np.bitwise_count(self.prints[at] ^ np.uint64(fingerprint)) <= RADIUS]
 
     def matches(self, text: str | None, known: dict[str, int]) -> list[tuple[int, float, int, int]]:
@@ -130,7 +188,7 @@ class Shard:
         if not len(self.shingle):
             return []
         s = shingles(word_hashes(w, known))
-        places = np.flatnonzero(self.seen[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        places = self.filter.places(s)
         if not len(places):
             return []
         lo = np.searchsorted(self.shingle, s[places])
@@ -164,9 +222,7 @@ class Shard:
 
     def _hits(self, s: np.ndarray, size: int) -> np.ndarray:
         """For each place of a text: is its shingle one of an item of this size."""
-        own = np.unique(self.shingle[self.size[self.owner] == size])
-        at = np.minimum(np.searchsorted(own, s), len(own) - 1)
-        return own[at] == s
+        return _among(self.of_size[size], s)
 
     @staticmethod
     def _votes(s: np.ndarray, begin: np.ndarray, wide: int) -> np.ndarray:
@@ -218,7 +274,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
             let_go()
             known: dict[str, int] = {}
             for batch in batches:
-                found = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for m in shared.value.matches(t.as_py(), known)]
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                found = [(ids[i], *m) for i in shared.value.suspects(texts).tolist() for m in shared.value.matches(texts[i], known)]
                 yield rows_out(schema, **{f.name: [x[i] for x in found] for i, f in enumerate(schema)})
 
         part = rows.mapInArrow(run, "doc_id long, item_id long, similarity double, word_start long, word_end long")
@@ -236,8 +293,10 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             let_go()
             known: dict[str, int] = {}
             for batch in batches:
-                clean = [not shared.value.matches(t.as_py(), known) for t in batch.column(at)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                texts, clean = batch.column(at).to_pylist(), np.ones(len(batch), bool)
+                for i in shared.value.suspects(texts).tolist():
+                    clean[i] = not shared.value.matches(texts[i], known)
+                yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
