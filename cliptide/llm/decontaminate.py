@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import SLICE_CHARS, let_go, mix, narrow, rows_out, shingle_hash, slices, span_hash
+from .text import SLICE_CHARS, mix, narrow, portions, rows_out, shingle_hash, slices, span_hash
 
 #: Words of a shingle and the least similarity of a match.
 WORDS, SIMILAR = 5, 0.8
@@ -42,7 +42,8 @@ def words(text: str | None) -> list[str]:
 def _in_words() -> np.ndarray:
     """For each code point: do words have it."""
     out = np.zeros(0x110000, bool)
-    for m in _WORD.finditer("".join(map(chr, range(len(out))))):
+    every = np.arange(len(out), dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    for m in _WORD.finditer(every):
         out[m.start() : m.end()] = True
     return out
 
@@ -271,9 +272,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         shared = spark.sparkContext.broadcast(shard)
 
         def run(batches, shared=shared):
-            let_go()
             known: dict[str, int] = {}
-            for batch in batches:
+            for batch in portions(batches):
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 found = [(ids[i], *m) for i in shared.value.suspects(texts).tolist() for m in shared.value.matches(texts[i], known)]
                 yield rows_out(schema, **{f.name: [x[i] for x in found] for i, f in enumerate(schema)})
@@ -290,9 +290,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = spark.sparkContext.broadcast(shard)
 
         def run(batches, shared=shared):
-            let_go()
             known: dict[str, int] = {}
-            for batch in batches:
+            for batch in portions(batches, at):
                 texts, clean = batch.column(at).to_pylist(), np.ones(len(batch), bool)
                 for i in shared.value.suspects(texts).tolist():
                     clean[i] = not shared.value.matches(texts[i], known)
